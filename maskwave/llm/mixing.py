@@ -42,29 +42,36 @@ def _coin(*parts) -> float:
 
 
 def _pivot(group: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """One pass over a group, largest sizes first: the open unit and the next trade words until one of them is integral.
+    """One pass over a group, largest sizes first: each open unit is paired with the pool of the smaller ones, and words are moved
+    between the two, one way or the other, until one of them is integral.
 
-    Trading keeps the group's expected words exactly and every unit's probability in expectation, so at most one unit stays open."""
+    The pool's members share what it gains by their room and what it loses by their mass, so their masses stay an affine function of
+    mass and size that the pass carries along. The chances of the two ways keep every unit's expectation (but for a unit so large that the
+    pool can close it only one way, which happens in small groups: then that way is taken), and a group's sum of words never
+    changes, so at most one unit, a small one, stays open."""
     group = group.sort_values(["size", "unit"], ascending=[False, True], kind="stable").reset_index(drop=True)
     mass, sizes, units = group["mass"].tolist(), group["size"].tolist(), group["unit"].tolist()
-    tiny = 1e-9
-    held = None
-    for j in range(len(mass)):
-        if not tiny < mass[j] < sizes[j] - tiny:
-            mass[j] = 0.0 if mass[j] <= tiny else float(sizes[j])
-            continue
-        if held is None:
-            held = j
-            continue
-        i = held
-        up, down = min(sizes[i] - mass[i], mass[j]), min(mass[i], sizes[j] - mass[j])
-        moved = up if _coin(seed, units[i], units[j]) * (up + down) < down else -down
-        mass[i], mass[j] = mass[i] + moved, mass[j] - moved
-        open_ = [k for k in (i, j) if tiny < mass[k] < sizes[k] - tiny]
-        for k in (i, j):
-            if k not in open_:
-                mass[k] = 0.0 if mass[k] <= tiny else float(sizes[k])
-        held = open_[0] if open_ else None
+    tiny = 1e-7
+    scale, lift = 1.0, 0.0
+    room, held = float(sum(sizes)), float(sum(mass))
+    for i, w in enumerate(sizes):
+        m = min(max(scale * mass[i] + lift * w, 0.0), float(w))
+        room, held = max(room - w, 0.0), max(held - m, 0.0)
+        up, down, spare = w - m, m, max(room - held, 0.0)
+        if (up <= held) != (down <= spare):  # the pool can take only one of the ways in full
+            up, down = (0.0, down) if up > held else (up, 0.0)
+            chance = float(up > 0)
+        else:
+            up, down = min(up, held), min(down, spare)
+            chance = down / (up + down) if up + down > tiny else 0.0
+        if up + down > tiny:
+            if _coin(seed, units[i]) < chance:
+                keep = 1 - up / held
+                scale, lift, m, held = scale * keep, lift * keep, m + up, held - up
+            elif down > 0:
+                gain = down / (room - held)
+                scale, lift, m, held = scale * (1 - gain), lift * (1 - gain) + gain, m - down, held + down
+        mass[i] = 0.0 if m <= tiny else float(w) if m >= w - tiny else m
     group["mass"] = mass
     return group
 

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media import op5_media
 from .mixing import op10_mix
+from .repeats import OP2_SQL, op2_repeats
 from .secrets import op1_secrets
+from .simhash import op8_simhash
 from .urls import op7_sql, op7_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_repeats": op2_repeats,
     "op5_media": op5_media,
     "op7_urls": op7_urls,
+    "op8_simhash": op8_simhash,
     "op10_mix": op10_mix,
 }
-ORACLE_SQL: dict[str, str] = {"op7_urls": op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_repeats": OP2_SQL, "op7_urls": op7_sql()}
