@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op9_language
 from .media import op5_media
 from .mixing import op10_mix
 from .repeats import OP2_SQL, op2_repeats
 from .secrets import op1_secrets
 from .simhash import op8_simhash
+from .toxicity import op6_toxicity
 from .urls import op7_sql, op7_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_repeats": op2_repeats,
     "op5_media": op5_media,
+    "op6_toxicity": op6_toxicity,
     "op7_urls": op7_urls,
     "op8_simhash": op8_simhash,
+    "op9_language": op9_language,
     "op10_mix": op10_mix,
 }
 ORACLE_SQL: dict[str, str] = {"op2_repeats": OP2_SQL, "op7_urls": op7_sql()}
