@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -65,8 +65,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple:
     Fitted on ``sample`` documents of each language at most (the smallest hashes of their texts) and the ``grams`` most frequent grams,
     the two bounds of the model; scoring covers every word of every text.
     """
-    from pyspark.sql import Window
-
     keyed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     # The hashes bound the sample before anything is ordered: a cut of the hash range, by counts of each language.
     counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP4_SQL, op4_leaks
+from .html import op3_html
 from .language import op9_language
 from .media import op5_media
 from .mixing import op10_mix
@@ -18,6 +20,8 @@ from .urls import op7_sql, op7_urls
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_repeats": op2_repeats,
+    "op3_html": op3_html,
+    "op4_leaks": op4_leaks,
     "op5_media": op5_media,
     "op6_toxicity": op6_toxicity,
     "op7_urls": op7_urls,
@@ -25,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_mix": op10_mix,
 }
-ORACLE_SQL: dict[str, str] = {"op2_repeats": OP2_SQL, "op7_urls": op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_repeats": OP2_SQL, "op4_leaks": OP4_SQL, "op7_urls": op7_sql()}
