@@ -1,11 +1,72 @@
-"""The training-data pipeline over documents."""
+"""A training-data pipeline over documents: five operators in a row, each on all that its predecessor kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
+All but the last return the columns of documents. The stages work on the columns doc_id, text, lang, source and n_chars; other
+columns of docs are dropped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwave.llm import decontaminate, mixing, secrets, simhash, toxicity
+from maskwave.llm.common import doc_key, table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents with a toxicity of 0.5 or more; the lexicon is learned from the labelled rows outside the held-out fold."""
+    known = toxicity.labelled(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = toxicity.toxicity(docs.select(*COLUMNS), toxicity.learn_lexicon(known))
+    return scored.where("toxic_score < 0.5").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate group, and of rows that share an id, one."""
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(doc_key(F.col("doc_id")).alias("key")).distinct()
+    keyed = docs.select(*COLUMNS).withColumn("key", doc_key(F.col("doc_id")))
+    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    found = decontaminate.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    leaked = found.select(doc_key(F.col("doc_id")).alias("key")).distinct()
+    keyed = docs.select(*COLUMNS).withColumn("key", doc_key(F.col("doc_id")))
+    return keyed.join(leaked, "key", "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret by its kind; n_chars follows the new text."""
+    out = secrets.redact(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each copy that is taken, numbered by copy, with the document's columns and its source's target."""
+    docs = docs.select(*COLUMNS)
+    taken = mixing.mix(docs).where("copies > 0").select(doc_key(F.col("doc_id")).alias("key"), "size", "source_size", "target", "copies").distinct()
+    out = docs.withColumn("key", doc_key(F.col("doc_id"))).join(taken, "key").drop("key")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("secret_scans", redact_secrets),
+    ("mixing", mix_sources),
+]
+
+#: SQL can't express the learned lexicon, the fingerprints or the rounding; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
