@@ -1,4 +1,6 @@
 """Every query of the engine by name, and the SQL that each is compared with."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import signal_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
