@@ -184,7 +184,9 @@ def extract(traces: DataFrame, protocol: Protocol, definitions=PAPER_SET, keep_f
 
     A definition whose window has no sample is NULL and fails the row; the first one in order names the error. Windows with
     samples that are all missing give NULL and leave the row ok. ``keep_failed`` False drops failed rows."""
-    wide = biomarkers(traces, protocol)
+    every = traces.select(*TRACE).distinct().withColumn("cycle_index", F.explode(F.array(*[F.lit(c.index) for c in protocol.cycles])))
+    wide = every.join(biomarkers(traces, protocol), [*TRACE, "cycle_index"], "left")
+    wide = wide.withColumns({n: F.coalesce(n, F.lit(0)) for n in sorted({n for d in definitions for n in d.needs})})
     fails = [(d, ~F.coalesce(*[F.when(F.col(n) == 0, F.lit(False)) for n in d.needs], F.lit(True))) for d in definitions]
     stage, error = F.lit(None).cast("string"), F.lit(None).cast("string")
     for d, failed in reversed(fails):

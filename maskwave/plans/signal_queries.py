@@ -252,7 +252,7 @@ def parameters_default(spark, sf_dir):
     return rounded(out.select(*SEG, "cycle_index", "ok", "max_dilation", "max_constriction", "dilation_amplitude"), "dilation_amplitude")
 
 
-@query("parameters_short_recording", TRACES_SQL + f"""SELECT DISTINCT {IDS}, k AS cycle_index, k < 2 AS ok, CASE WHEN k = 2 THEN 'ValueError: empty window' END AS error, CASE WHEN k = 2 THEN 'compute:max_dilation' END AS error_stage FROM tr, (VALUES (0), (1), (2)) v(k)""")
+@query("parameters_short_recording", TRACES_SQL + f"""SELECT DISTINCT {IDS}, k AS cycle_index, k < 1 AS ok, CASE WHEN k >= 1 THEN 'ValueError: empty window' END AS error, CASE WHEN k >= 1 THEN 'compute:max_dilation' END AS error_stage FROM tr, (VALUES (0), (1), (2)) v(k)""")
 def parameters_short_recording(spark, sf_dir):
-    """A recording that stops before the last flicker: its last cycle fails and is kept as a failed row."""
-    return B.extract(traces(spark, sf_dir).where("t < 245"), P, B.DEFAULT_SET).select(*SEG, "cycle_index", "ok", "error", "error_stage")
+    """A recording that stops before the second flicker: its later cycles fail and are kept as failed rows."""
+    return B.extract(traces(spark, sf_dir).where("t < 150"), P, B.DEFAULT_SET).select(*SEG, "cycle_index", "ok", "error", "error_stage")
