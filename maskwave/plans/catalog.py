@@ -1,6 +1,6 @@
 """Every query of the engine by name, and the SQL that each is compared with."""
 
-from . import sequence_queries, signal_queries  # noqa: F401
+from . import sequence_queries, signal_queries, table_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
