@@ -17,30 +17,41 @@ from ..functions.protocol import Protocol
 from ..sources.cells import KEY
 
 TRACE = [*KEY, "vessel_type", "method"]
-Y, T, I = F.col("y"), F.col("t"), F.col("t_idx")
+
+
+def _y() -> Column:
+    return F.col("y")
+
+
+def _t() -> Column:
+    return F.col("t")
+
+
+def _i() -> Column:
+    return F.col("t_idx")
 
 
 def inside(start: Column | float, end: Column | float) -> Column:
-    return (T >= start) & (T < end)
+    return (_t() >= start) & (_t() < end)
 
 
 def level(at: Column, stat: str = "median") -> Column:
     """Mean, median, max or min of the samples of a window: baselines, dilations and constrictions."""
-    return statistic(F.when(at, Y), stat)
+    return statistic(F.when(at, _y()), stat)
 
 
 def first_max_time(at: Column) -> Column:
     """Time of the first largest value."""
-    return F.max_by(F.when(at & Y.isNotNull(), T), F.when(at & Y.isNotNull(), F.struct(Y, -I)))
+    return F.max_by(F.when(at & _y().isNotNull(), _t()), F.when(at & _y().isNotNull(), F.struct(_y(), -_i())))
 
 
 def first_min_time(at: Column) -> Column:
-    return F.min_by(F.when(at & Y.isNotNull(), T), F.when(at & Y.isNotNull(), F.struct(Y, I)))
+    return F.min_by(F.when(at & _y().isNotNull(), _t()), F.when(at & _y().isNotNull(), F.struct(_y(), _i())))
 
 
 def value_from(t_end: Column) -> Column:
     """The value at the first sample at or after a time; NULL if it is missing there."""
-    return F.min_by(Y, F.when(T >= t_end, I))
+    return F.min_by(_y(), F.when(_t() >= t_end, _i()))
 
 
 def percent_of(value: Column, base: Column) -> Column:
@@ -53,7 +64,7 @@ def slope(rise: Column, run: Column) -> Column:
 
 def trapezoid(start: Column, end: Column, f=lambda y: y) -> Column:
     """Area between a sample and the one before it that is there, if both lie in the window; needs columns pt and py."""
-    return F.when(inside(start, end) & Y.isNotNull() & (F.col("pt") >= start), (T - F.col("pt")) * (f(Y) + f(F.col("py"))) / 2)
+    return F.when(inside(start, end) & _y().isNotNull() & (F.col("pt") >= start), (_t() - F.col("pt")) * (f(_y()) + f(F.col("py"))) / 2)
 
 
 def spread(traces: DataFrame, protocol: Protocol) -> DataFrame:
@@ -64,7 +75,7 @@ def spread(traces: DataFrame, protocol: Protocol) -> DataFrame:
         base = protocol.baseline_of(c)
         values = (c.index, base.start, base.end, c.flicker.start, c.flicker.end, c.recovery.start, c.recovery.end)
         rows.append(F.struct(*[F.lit(v if n == "cycle_index" else float(v)).alias(n) for n, v in zip(names, values, strict=True)]))
-    near = F.filter(F.array(*rows), lambda c: ((T >= c["bs"]) & (T < c["be"])) | ((T >= c["fs"] - 21) & (T < c["re"] + 81)))
+    near = F.filter(F.array(*rows), lambda c: ((_t() >= c["bs"]) & (_t() < c["be"])) | ((_t() >= c["fs"] - 21) & (_t() < c["re"] + 81)))
     return traces.withColumn("c", F.explode(near)).select(*TRACE, "t_idx", "t", "y", *[F.col(f"c.{n}").alias(n) for n in names])
 
 
@@ -79,15 +90,15 @@ def biomarkers(traces: DataFrame, protocol: Protocol) -> DataFrame:
     base, fl, ext, rec = inside(bs, be), inside(fs, fe), inside(fs, fe + 10), inside(rs, re)
     bd = F.col("bd")
     rows = spread(traces, protocol)
-    seen = F.when(Y.isNotNull(), F.struct(T.alias("t"), Y.alias("y")))
+    seen = F.when(_y().isNotNull(), F.struct(_t().alias("t"), _y().alias("y")))
     rows = rows.withColumn("before", F.last(seen, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))).withColumns({"pt": F.col("before.t"), "py": F.col("before.y")})
     rows = rows.withColumns({"bd": level(base).over(whole), "top": level(fl, "max").over(whole), "top_ext": level(ext, "max").over(whole), "at_max": first_max_time(fl).over(whole), "at_min": first_min_time(rec).over(whole)})
     over = lambda y: F.when(bd.isNotNull(), F.greatest(y - bd, F.lit(0.0)))
     under = lambda y: F.when(bd.isNotNull(), F.greatest(bd - y, F.lit(0.0)))
     rows = rows.withColumn("step", trapezoid(fs, re, over))
     rows = rows.withColumns({"cum": F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0)), "total": F.sum("step").over(whole)})
-    near = lambda at: (T >= F.col(at) - 2) & (T < F.col(at) + 2)
-    rise = lambda top: Y >= bd + 0.3 * (F.col(top) - bd)
+    near = lambda at: (_t() >= F.col(at) - 2) & (_t() < F.col(at) + 2)
+    rise = lambda top: _y() >= bd + 0.3 * (F.col(top) - bd)
     aggs = {
         "baseline_dynamic": level(inside(fs - 20, fs), "mean"),
         "bd": F.first("bd"),
@@ -101,13 +112,13 @@ def biomarkers(traces: DataFrame, protocol: Protocol) -> DataFrame:
         "dil_max_2": level(inside(fe - 2, fe + 3), "max"),
         "dil_max_3": level(inside(fe - 3, fe + 3), "mean"),
         "dil_flicker": level(fl, "mean"),
-        "dil_max_30_t": F.min(F.when(fl & rise("top"), T)) - F.first(fs),
-        "dil_max_30_t_ext": F.min(F.when(ext & rise("top_ext"), T)) - F.first(fs),
-        "dil_mmd": F.median(F.when(near("at_max"), Y)),
+        "dil_max_30_t": F.min(F.when(fl & rise("top"), _t())) - F.first(fs),
+        "dil_max_30_t_ext": F.min(F.when(ext & rise("top_ext"), _t())) - F.first(fs),
+        "dil_mmd": F.median(F.when(near("at_max"), _y())),
         "dfc": value_from(fe),
         "con_max": level(rec, "min"),
         "con_max_t": F.first(F.col("at_min") - fs),
-        "con_mmc": F.median(F.when(near("at_min"), Y)),
+        "con_mmc": F.median(F.when(near("at_min"), _y())),
         "con_avg": level(inside(rs, rs + 40), "mean"),
         "auc": F.sum(trapezoid(fs, fe)),
         "auc_af": F.sum(trapezoid(rs + 50, rs + 80)),
