@@ -26,6 +26,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1))
+    per = written(per, "sources")
     total = per.agg(F.sum("source_size")).first()[0] or 0
     rate, full = 0.0, -1
     while True:
@@ -88,7 +89,7 @@ def mix(df: DataFrame, seed: int = 7, leaf: int = LEAF, weights=WEIGHTS, share:
     the same; null ids are units by their size. Extra columns are ignored. An empty table gives an empty result.
     """
     words = F.size(spark_words(F.col("text"))).cast("long")
-    docs = df.select("doc_id", "source", words.alias("size"))
+    docs = written(df.select("doc_id", "source", words.alias("size")), "sizes")  # the texts are read once
     targets = source_targets(docs, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     docs = docs.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")), "left").withColumn("rate", rate)
