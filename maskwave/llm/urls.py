@@ -63,9 +63,9 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     wanted = rows.select("host", "path").distinct().select("host", "path", F.explode(digests).alias("want")).withColumn("short", F.substring("want", 1, short))
     near = wanted.join(listed.withColumn("short", F.substring("digest", 1, short)), "short").where(F.col("want") == F.col("digest"))
     rank = F.struct((~F.col("own")).alias("given"), F.length("r_host").alias("h"), F.length("r_path").alias("p"), (F.col("verdict") == "allow").alias("a"))
-    best = near.groupBy("host", "path").agg(F.max_by(F.struct("verdict", "own", F.concat("r_host", "r_path").alias("said")), rank).alias("best"))
+    best = near.groupBy("host", "path").agg(F.max_by(F.struct("verdict", "own", F.concat("r_host", "r_path").alias("said")), rank).alias("__best"))
     out = rows.join(best, ["host", "path"], "left")
-    return out.withColumns({"rule": F.when(~F.col("best.own"), F.col("best.said")), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best")
+    return out.withColumns({"rule": F.when(~F.col("__best.own"), F.col("__best.said")), "verdict": F.coalesce("__best.verdict", F.lit(default))}).drop("__best")
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
