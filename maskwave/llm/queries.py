@@ -12,7 +12,7 @@ from .language import op9_language
 from .media import op5_media
 from .mixing import op10_mix
 from .repeats import OP2_SQL, op2_repeats
-from .secrets import op1_secrets
+from .secrets import op1_secrets, op1_sql
 from .simhash import op8_simhash
 from .toxicity import op6_toxicity
 from .urls import op7_sql, op7_urls
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_mix": op10_mix,
 }
-ORACLE_SQL: dict[str, str] = {"op2_repeats": OP2_SQL, "op4_leaks": OP4_SQL, "op7_urls": op7_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_secrets": op1_sql(), "op2_repeats": OP2_SQL, "op4_leaks": OP4_SQL, "op7_urls": op7_sql()}

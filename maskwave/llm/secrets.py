@@ -99,3 +99,23 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
+
+
+def op1_sql() -> str:
+    """Positions from the pieces between matches: a match starts after all pieces and matches before it."""
+
+    def one(order: int, kind: str, pattern: str) -> str:
+        quoted = pattern.replace("'", "''")
+        if kind == "assign":
+            quoted = quoted.replace('[A-Za-z0-9+/_.=-]+', '([A-Za-z0-9+/_.=-]+)')
+        held = {"assign": "len(g) >= 6", "jwt": "len(string_split(rtrim(m, '.'), '.')) = 3 AND list_min(list_transform(string_split(rtrim(m, '.'), '.'), lambda x: len(x))) >= 8"}.get(kind, f"len(m) >= {LEAST.get(kind, 0)}")
+        return f"""(SELECT doc_id, '{kind}' AS kind, {order} AS o, s, s + len(m) AS e FROM (
+  SELECT *, CAST(sum(len(pre)) OVER (PARTITION BY doc_id ORDER BY i) + coalesce(sum(len(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(gs) AS g, unnest(list_slice(ps, 1, len(ms))) AS pre, unnest(range(len(ms))) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '{quoted}', 0) AS ms, regexp_extract_all(t, '{quoted}', {int(kind == "assign")}) AS gs, string_split_regex(t, '{quoted}') AS ps FROM d))) WHERE {held})"""
+
+    spans = " UNION ALL ".join(one(k, kind, pattern) for k, (kind, pattern) in enumerate(RULES))
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({spans})
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, sha256(coalesce({joined} FILTER (o < 3), '')) AS base_sha256, coalesce({joined}, '') AS spans
+FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id"""
