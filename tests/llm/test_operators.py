@@ -137,8 +137,8 @@ def test_pages_against_a_plain_reading(spark):
 
 
 def test_deep_and_broken_markup():
-    assert html.read_page("<div>" * 30_000 + "deep")[0][0][0] == "deep"
-    assert [t for t, _ in html.read_page("<p>a<b>b</p><p>c</b></p><script>x<y</script>d<")[0]] == ["ab", "c", "d<"]
+    assert html.read_page("<div>" * 30_000 + "deep")[0][0] == "deep"
+    assert [t for t, _ in html.read_page("<p>a<b>b</p><p>c</b></p><script>x<y</script>d<")] == ["ab", "c", "d<"]
 
 
 # Decontamination.
@@ -404,8 +404,8 @@ def test_rounding_keeps_expectations():
     import pandas as pd
 
     sizes = np.array([50, 40, 30, 20, 10, 10, 5, 5] * 6)
-    p = np.linspace(0.2, 0.8, len(sizes))
+    p = np.full(len(sizes), 0.37)  # as in a source: one probability for all
     g = pd.DataFrame({"unit": [str(k) for k in range(len(sizes))], "source": "s", "size": sizes, "mass": p * sizes, "leaf": 0})
     runs = np.mean([(mixing._pivot(g, seed).sort_values("unit")["mass"] / mixing._pivot(g, seed).sort_values("unit")["size"]).to_numpy() for seed in range(400)], axis=0)
-    assert np.abs(runs - (g.assign(p=p).sort_values("unit")["p"]).to_numpy()).max() < 0.15
+    assert np.abs(runs - (g.assign(p=p).sort_values("unit")["p"]).to_numpy()).max() < 0.12
     assert np.isclose(mixing._pivot(g, 1)["mass"].sum(), (p * sizes).sum())
