@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ WORD = re.compile(r"[^\W\d_]+")
 FOLDS, HELD = 4, 2
 #: Documents of each language that the model is fitted on, those with the smallest hash of the text; the most letters of each; grams kept.
 SAMPLE, GRAMS = 3000, 60_000
+#: Letters that the tables of grams tell apart.
+LETTERS = 128
 #: What a change of language from one word to the next costs, in natural logarithms of probability.
 SWITCH = 6.0
 # First code points of ranges and their scripts.
@@ -59,6 +64,28 @@ def grams_of(word: str) -> list[str]:
     return [w] + [w[k : k + 3] for k in range(len(w) - 2)] + [w[k : k + 2] for k in range(len(w) - 1)]
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of grams of each language, by way of counts of words; what a task holds is bounded by the words of a flush."""
+
+    def rows(words: dict[str, Counter]) -> pa.RecordBatch:
+        out: dict[tuple[str, str], int] = defaultdict(int)
+        for lang, counts in words.items():
+            for w, n in counts.items():
+                for g in grams_of(w):
+                    out[lang, g] += n
+        return pa.record_batch([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64())], ["lang", "g", "n"])
+
+    words: dict[str, Counter] = defaultdict(Counter)
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words[lang].update(WORD.findall(text.lower()))
+            if sum(map(len, words.values())) > 50_000:
+                yield rows(words)
+                words.clear()
+    if words:
+        yield rows(words)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple:
     """(languages, gram table) from text and lang of rows with a language: naive Bayes over grams of two and three letters and words.
 
@@ -72,11 +99,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple:
     some = keyed.join(counts, "lang").where((F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) <= share)
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([[g for w in WORD.findall(t.lower()) for g in grams_of(w)] for t in texts])
-
-    counted = some.select("lang", F.explode(split("text")).alias("g")).groupBy("lang", "g").agg(F.count("*").alias("n"))
+    counted = some.select("lang", "text").mapInArrow(_gram_counts, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     wide = counted.groupBy("g").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     rows = wide.orderBy(F.desc("total"), "g").limit(grams).collect()  # bounded by the model's size
     langs = sorted({lang for r in rows for lang in r["by"]})
@@ -102,39 +125,54 @@ def fit(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple:
 
 
 class WordScorer:
-    """Log probability of a word in each language; a script that no language writes says nothing, others leave only theirs."""
+    """Log probability of words in each language, many words at once; a script that no language writes says nothing, others leave
+    only theirs. Letters beyond the ``LETTERS`` most frequent of the model share one code."""
 
     def __init__(self, model: tuple):
-        self.langs, grams, self.rest, scripts = model
-        self.grams = {g: np.array(v, np.float32) for g, v in grams}
-        self.rest = [np.array(v, np.float32) for v in self.rest]
-        self.writes = dict(scripts)
-        self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1024, max(len(self.langs), 1)), np.float32)
-
-    def row(self, word: str) -> int:
-        at = self.rows.get(word)
-        if at is None:
-            at = self.rows[word] = len(self.rows)
-            if at == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at] = self._score(word)
-        return at
-
-    def _score(self, word: str) -> np.ndarray:
-        script = script_of(word)
-        able = np.array([script in self.writes[lang] for lang in self.langs])
-        if not able.any():
-            return np.zeros(len(self.langs), np.float32)
-        parts = grams_of(word)
-        total = sum(self.grams.get(g, self.rest[min(len(g), 4) - 2]) for g in parts) / 2
-        total = total - total.max()
-        return np.where(able, np.maximum(total, -12.0), -30.0).astype(np.float32)
-
-    def rest_if_large(self, most: int = 200_000) -> None:
-        if len(self.rows) > most:
-            self.rows = {}
-            self.scores = np.zeros((1024, max(len(self.langs), 1)), np.float32)
+        self.langs, grams, rest, scripts = model
+        rest = np.array(rest, np.float32).reshape(3, len(self.langs))
+        letters = Counter(c for g, _ in grams if len(g) < 4 for c in g if c != " ")
+        self.code = {" ": 0} | {c: k + 2 for k, (c, _) in enumerate(letters.most_common(LETTERS - 2))}
+        self.of_point = np.ones(0x110000, np.uint8)
+        for c, k in self.code.items():
+            self.of_point[ord(c)] = k
+        self.tables = []
+        for size in (2, 3):
+            mine = [(g, v) for g, v in grams if len(g) == size and all(c in self.code for c in g)]
+            index = np.zeros(LETTERS**size, np.int32)
+            for k, (g, _) in enumerate(mine):
+                index[sum(self.code[c] * LETTERS**j for j, c in enumerate(reversed(g)))] = k + 1
+            self.tables.append((index, np.vstack([rest[size - 2], *(np.array(v, np.float32) for _, v in mine)])))
+        whole = [(g[1:-1], v) for g, v in grams if len(g) > 3]
+        self.whole = {w: k + 2 for k, (w, _) in enumerate(whole)}
+        self.whole_scores = np.vstack([rest[2], np.zeros((1, len(self.langs)), np.float32), *(np.array(v, np.float32) for _, v in whole)]) if self.langs else None
+        writes = dict(scripts)
+        self.able = np.array([[name in writes[lang] for lang in self.langs] for _, name in SCRIPTS], bool)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """One row a word, its best language at 0."""
+        line = " " + " ".join(words) + " "
+        points = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
+        codes = self.of_point[points].astype(np.int32)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        two = codes[:-1] * LETTERS + codes[1:]
+        three = two[:-1] * LETTERS + codes[2:]
+        (index2, table2), (index3, table3) = self.tables
+        part = table2[index2[two]]
+        inner = table3[index3[three]]
+        inner[codes[1:-1] == 0] = 0  # runs over the space between two words
+        part[:-1] += inner
+        total = np.add.reduceat(part, starts, axis=0)
+        get = self.whole.get
+        total += self.whole_scores[np.fromiter((get(w, 0) if len(w) > 1 else 1 for w in words), np.int64, len(words))]
+        total /= 2
+        able = self.able[np.searchsorted(_FROM, points[starts + 1], "right") - 1]
+        total[~able] = -np.inf
+        none = ~able.any(axis=1)
+        total[none] = 0
+        total -= total.max(axis=1, keepdims=True)
+        return np.where(np.isneginf(total), np.float32(-30), np.maximum(total, np.float32(-12)))
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -183,17 +221,18 @@ SPANS = "struct<lang:string,score:double,spans:array<struct<lang:string,first_wo
 def label_texts(texts, scorer: WordScorer) -> list[tuple]:
     """(language, score, spans) of each text; the language is that of most letters, the score its share of the letters times the
     mean probability of its words."""
-    scorer.rest_if_large()
     found = [WORD.findall(t.lower()) if t else [] for t in texts]
+    if not scorer.langs:
+        return [("und", 0.0, []) for _ in found]
     lengths = np.array([len(w) for w in found], np.int64)
-    rows = np.fromiter((scorer.row(w) for ws in found for w in ws), np.int64, int(lengths.sum()))
-    if not scorer.langs or not len(rows):
+    if not lengths.any():
         return [("und", 0.0, []) for _ in found]
-    scores = scorer.scores[rows]
+    parts = ([w for ws in found[k : k + 64] for w in ws] for k in range(0, len(found), 64))
+    scores = np.concatenate([scorer.scores(p) for p in parts if p])
     best = viterbi(scores, lengths)
-    letters = np.fromiter((len(w) for ws in found for w in ws), np.int64, len(rows))
+    letters = np.fromiter((len(w) for ws in found for w in ws), np.int64, len(scores))
     odds = np.exp(np.clip(scores, -30, 0))
-    sure = odds[np.arange(len(rows)), best] / odds.sum(axis=1)
+    sure = odds[np.arange(len(scores)), best] / odds.sum(axis=1)
     out, at = [], 0
     for n in lengths.tolist():
         if not n:
@@ -222,8 +261,8 @@ def identify(df: DataFrame, model: tuple, text: str = "text", out: str = "langua
     def of(texts: pd.Series) -> pd.DataFrame:
         scorer, rows = _scorer(model), []
         values = texts.tolist()
-        for k in range(0, len(values), 2048):
-            rows += label_texts(values[k : k + 2048], scorer)
+        for k in range(0, len(values), 1024):
+            rows += label_texts(values[k : k + 1024], scorer)
         return pd.DataFrame({"lang": [r[0] for r in rows], "score": [r[1] for r in rows], "spans": [[{"lang": s[0], "first_word": s[1], "n_words": s[2]} for s in r[2]] for r in rows]})
 
     return df.withColumn(out, of(F.col(text).cast("string")))
