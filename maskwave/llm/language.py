@@ -20,6 +20,8 @@ WORD = re.compile(r"[^\W\d_]+")
 FOLDS, HELD = 4, 2
 #: Documents of each language that the model is fitted on, those with the smallest hash of the text; the most letters of each; grams kept.
 SAMPLE, GRAMS = 3000, 60_000
+#: Languages that the model tells apart, at most.
+LANGUAGES = 500
 #: Letters that the tables of grams tell apart.
 LETTERS = 128
 #: What a change of language from one word to the next costs, in natural logarithms of probability.
@@ -93,10 +95,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple:
     the two bounds of the model; scoring covers every word of every text.
     """
     keyed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    # The hashes bound the sample before anything is ordered: a cut of the hash range, by counts of each language.
-    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(1.3 * sample) / F.col("n"))
-    some = keyed.join(counts, "lang").where((F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) <= share)
+    # The hashes bound the sample before any text moves: each language's share of the hash range, from the counts of the LANGUAGES largest.
+    counts = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    shares = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.3 * sample / r["n"]))]) if counts else F.lit(None).cast("map<string,double>")
+    some = keyed.where(F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) <= F.try_element_at(shares, F.col("lang")))
     some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample)
 
     counted = some.select("lang", "text").mapInArrow(_gram_counts, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
