@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwave.llm import decontaminate, mixing, secrets, simhash, toxicity
-from maskwave.llm.common import doc_key, table, written
+from maskwave.llm.common import doc_key, table, text_batches, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a toxicity of 0.5 or more; the lexicon is learned from the labelled rows outside the held-out fold."""
+    text_batches(spark)
     known = toxicity.labelled(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     scored = toxicity.toxicity(docs.select(*COLUMNS), toxicity.learn_lexicon(known))
     return scored.where("toxic_score < 0.5").select(*COLUMNS)
@@ -28,7 +29,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(doc_key(F.col("doc_id")).alias("key")).distinct()
     keyed = docs.select(*COLUMNS).withColumn("key", doc_key(F.col("doc_id")))
-    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    # The ids are the small side, so that no text is sorted; only rows that share an id are put together.
+    kept = keyed.join(first.hint("shuffle_hash"), "key", "left_semi")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    if shared.isEmpty():
+        return kept.select(*COLUMNS)
+    single = kept.join(shared, "key", "left_anti").unionByName(kept.join(shared, "key", "left_semi").dropDuplicates(["key"]))
+    return single.select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 #: Words of every contract: runs of bytes other than space and \x09-\x0D. ``bytes.split()`` cuts at the same six bytes.
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 LAST_KEY = (1 << 63) - 1
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of an Arrow batch for this session: rows here are whole texts, and workers hold a batch or two each."""
+    if int(spark.conf.get(BATCH)) > rows:
+        spark.conf.set(BATCH, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -108,9 +108,11 @@ def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -
         return pd.Series([[{"a": a, "b": b} for a, b in _forest(g, distance)] for g in groups])
 
     rows = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("free"))
+    # A fixed number of parts: few small rows become many here, so they may not be put together in a few tasks.
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, level, width = None, 0, 64
     while True:
-        rows = rows.mapInArrow(_variants(level, distance), "fp long, key long, free long")
+        rows = rows.repartition(parts, "fp").mapInArrow(_variants(level, distance), "fp long, key long, free long")
         segments = (distance + 2) // 2
         width = width - width // segments + 1
         last = 2 ** min(width, 40) <= 4 * bucket or width <= segments * 4
