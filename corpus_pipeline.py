@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwave.llm import decontaminate, mixing, secrets, simhash, toxicity
+from maskwave.llm import decontaminate, mixing, near_copies, secrets, toxicity
 from maskwave.llm.common import doc_key, table, text_batches, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,17 +25,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group, and of rows that share an id, one."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(doc_key(F.col("doc_id")).alias("key")).distinct()
-    keyed = docs.select(*COLUMNS).withColumn("key", doc_key(F.col("doc_id")))
-    # The ids are the small side, so that no text is sorted; only rows that share an id are put together.
-    kept = keyed.join(first.hint("shuffle_hash"), "key", "left_semi")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    if shared.isEmpty():
+    """Keeps the row with the smallest id of each group of near copies: texts that share 80 % of their five-word shingles, compared whole.
+
+    A row goes only for its own text's group; rows without an id come last in it."""
+    keyed = docs.select(*COLUMNS).withColumns({"key": doc_key(F.col("doc_id")), "t": near_copies.text_key(F.col("text"))})
+    rows = written(keyed.groupBy("key", "t").agg(F.count("*").alias("n")), "rows")
+    groups = near_copies.near_copies(docs.select("text"))
+    grouped = rows.join(groups, rows["t"] == groups["node"], "left").select("key", "t", "n", F.coalesce("root", "t").alias("root"))
+    first = written(grouped.groupBy("root").agg(F.min(F.struct("key", "t", "n")).alias("first")).select("first.*"), "firsts")
+    # The ids are the small side, so that no text is sorted; only rows that share an id and a text are put together.
+    kept = keyed.join(first.hint("shuffle_hash"), ["key", "t"])
+    if first.where("n > 1").isEmpty():
         return kept.select(*COLUMNS)
-    single = kept.join(shared, "key", "left_anti").unionByName(kept.join(shared, "key", "left_semi").dropDuplicates(["key"]))
-    return single.select(*COLUMNS)
+    return kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(["key", "t"])).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
