@@ -41,10 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    found = decontaminate.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    leaked = found.select(doc_key(F.col("doc_id")).alias("key")).distinct()
-    keyed = docs.select(*COLUMNS).withColumn("key", doc_key(F.col("doc_id")))
+    """Drops documents whose own text holds a benchmark item, whatever other rows of their id hold."""
+    keyed = docs.select(*COLUMNS).withColumn("key", near_copies.text_key(F.col("text")))
+    leaked = decontaminate.held(keyed.select("key", "text"), table(spark, sf_dir, "benchmark")).select("key").distinct()
     return keyed.join(leaked, "key", "left_anti").select(*COLUMNS)
 
 
@@ -55,10 +54,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy that is taken, numbered by copy, with the document's columns and its source's target."""
-    docs = docs.select(*COLUMNS)
-    taken = mixing.mix(docs).where("copies > 0").select(doc_key(F.col("doc_id")).alias("key"), "size", "source_size", "target", "copies").distinct()
-    out = docs.withColumn("key", doc_key(F.col("doc_id"))).join(taken, "key").drop("key")
+    """The mix: a row for each copy that is taken, numbered by copy, with the document's columns and its source's target.
+
+    A document is an id and a text: rows without an id, or of one id, are rounded and joined each by its own text."""
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), near_copies.text_key(F.col("text")))
+    keyed = docs.select(*COLUMNS).withColumn("key", own)
+    units = mixing.mix(keyed.select(F.col("key").alias("doc_id"), "source", "text"))
+    taken = units.where("copies > 0").select(F.col("doc_id").alias("key"), F.col("source").alias("from"), "size", "source_size", "target", "copies").distinct()
+    joined = keyed.alias("d").join(taken, (F.col("d.key") == taken["key"]) & F.col("d.source").eqNullSafe(F.col("from")))
+    out = joined.select(*[f"d.{c}" for c in COLUMNS], "size", "source_size", "target", "copies")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 
 

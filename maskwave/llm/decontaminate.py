@@ -90,12 +90,21 @@ def leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> Da
     a null doc_id; rows that repeat an id and text are one document; items under five words are one shingle. Extra columns are
     ignored. An empty table on either side gives an empty result.
     """
+    out = held(docs.select(doc_key(F.col("doc_id")).alias("key"), "text"), items, contained)
+    doc_id = F.when(F.col("key") != (1 << 63) - 1, F.col("key"))
+    return out.select(doc_id.alias("doc_id"), "item_id", "n_shingles", "n_shared", "containment")
+
+
+def held(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
+    """As ``leaks``, for documents of a key (long or string, never null) and a text; the rows of a key count as one document."""
     spark = docs.sparkSession
     shingled = item_shingles(items)
+    kind = docs.schema["key"].dataType
+    arrow_kind = pa.string() if kind.simpleString() == "string" else pa.int64()
     bitmap = spark.sparkContext.broadcast(filter_bits(shingled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bitmap.value
+        bits = bitmap.value
         shift = np.uint64(64 - FILTER_BITS)
         for batch in batches:
             keys, hs, texts = [], [], []
@@ -103,20 +112,19 @@ def leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> Da
                 parts = shingles_of(text)
                 h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
                 at = (h >> shift).astype(np.int64)
-                hits = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                hits = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 if len(hits):
                     mine = {int(h[k]): parts[k] for k in hits}
                     keys += [key] * len(mine)
                     hs += map(_signed, mine)
                     texts += [s.decode() for s in mine.values()]
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(hs, pa.int64()), pa.array(texts, pa.string())], ["key", "h", "shingle"])
+            yield pa.record_batch([pa.array(keys, arrow_kind), pa.array(hs, pa.int64()), pa.array(texts, pa.string())], ["key", "h", "shingle"])
 
-    found = docs.select(doc_key(F.col("doc_id")).alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, h long, shingle string")
+    found = docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(run, f"key {kind.simpleString()}, h long, shingle string")
     near = found.select("key", "h").join(sketches(shingled, contained), "h").groupBy("key", "item_id").agg(F.count_distinct("h").alias("hits"), F.first("least").alias("least"), F.first("n").alias("n_shingles")).where("hits >= least")
     whole = near.join(shingled, "item_id").select("key", "item_id", "n_shingles", "h", "shingle").join(found.distinct(), ["key", "h", "shingle"])
     out = whole.groupBy("key", "item_id").agg(F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_shared")).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
-    doc_id = F.when(F.col("key") != (1 << 63) - 1, F.col("key"))
-    return out.where(F.col("containment") >= contained - 1e-9).select(doc_id.alias("doc_id"), "item_id", "n_shingles", "n_shared", "containment")
+    return out.where(F.col("containment") >= contained - 1e-9).select("key", "item_id", "n_shingles", "n_shared", "containment")
 
 
 def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
