@@ -29,8 +29,8 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
 FURNITURE = frozenset("nav footer aside form dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = frozenset("ad ads advert advertisement adsbygoogle banner breadcrumb breadcrumbs comment comments comment-list consent cookie cookies cookie-banner disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related share sharing sidebar site-footer site-header social sponsored subscribe toolbar widget".split())
-#: A subtree is a template if this many pages of its host have it.
-RECURS = 10
+#: A subtree is a template if this share of its host's distinct pages has it, and at least so many of them.
+SHARE, LEAST = 0.3, 3
 #: Frames that a page's nesting may take; calls between Python functions use no C stack.
 DEEPEST = 1_000_000
 
@@ -208,26 +208,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns[:-1], pa.array(blob, pa.binary())], [*batch.schema.names[:-1], "blob"])
 
 
-def main_text(pages: DataFrame, recurs: int = RECURS) -> DataFrame:
+def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """page_id, url and text of every row of pages.
 
-    Each page is parsed into a tree; every element's subtree outside the marked article is hashed, the pages of each host that have a
-    hash are counted, and subtrees that recur on ``recurs`` pages of a host are deleted. What elements say of themselves (nav, footer,
-    form, class "ad", ...) removes furniture that differs from page to page; the marked article, where there is one, is the main text, so that
-    a paragraph that many articles quote is kept. Blocks are joined by line ends, white space in them becomes one space.
+    Each page is parsed into a tree; every element's subtree outside the marked article is hashed, the distinct pages of each host that
+    have a hash are counted, and subtrees that recur on a ``share`` of the host's distinct pages, and on ``least``, are deleted. What elements
+    say of themselves (nav, footer, form, class "ad", ...) removes furniture that differs from page to page; the marked article, where there is
+    one, is the main text, so that a paragraph that many articles quote is kept. Blocks are joined by line ends, white space in them
+    becomes one space.
 
-    Null, empty and textless pages give "". Rows without a host count together. Rows that repeat in all columns are one page, given
-    as often. Counting shuffles one pair of numbers a subtree, combined before the shuffle; pages meet only their own templates,
+    Null, empty and textless pages give "". Rows without a host count together. Rows of a host with the same html are one page, given
+    as often. Counting shuffles one row of numbers a page and subtree; pages meet only their own templates,
     so a host with a third of all pages is nowhere in one task. Extra columns are ignored.
     """
     host = url_parts(F.col("url"))[0]
-    key = F.struct(F.xxhash64("page_id", "url", "html").alias("a"), F.hash("html", "url", "page_id").alias("b"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    keyed = rows.select("page_id", "url", host.alias("host"), key.alias("key"), "html")
-    hashed = keyed.select("host", "key.a", "key.b", "html").mapInArrow(_hashes, "host string, a long, b int, hashes array<long>")
-    parsed = keyed.select("page_id", "url", "key.a", "key.b", "html").mapInArrow(_blocks, "page_id long, url string, a long, b int, blob binary")
-    seen = hashed.select("a", "b", "host", F.explode("hashes").alias("hash")).select("a", "b", "hash", F.xxhash64("host", "hash").alias("at"))
-    often = seen.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") >= recurs).select("at")
+    keyed = rows.select("page_id", "url", F.xxhash64(host).alias("host"), "html")
+    keyed = keyed.select("page_id", "url", "host", F.xxhash64("host", "html").alias("a"), F.hash("html", "host").alias("b"), "html")
+    hashed = keyed.select("host", "a", "b", "html").mapInArrow(_hashes, "host long, a long, b int, hashes array<long>")
+    parsed = keyed.select("page_id", "url", "a", "b", "html").mapInArrow(_blocks, "page_id long, url string, a long, b int, blob binary")
+    seen = hashed.select("a", "b", "host", F.explode("hashes").alias("hash")).distinct().withColumn("at", F.xxhash64("host", "hash"))
+    sizes = keyed.select("host", "a", "b").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    counted = seen.groupBy("at").agg(F.count("*").alias("n"), F.first("host").alias("host")).where(F.col("n") >= least)
+    often = counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * share - 1e-9).select("at")
     mine = seen.join(often, "at").groupBy("a", "b").agg(F.collect_set("hash").alias("templates"))
     out = parsed.join(mine, ["a", "b"], "left")
 
