@@ -25,10 +25,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title svg math iframe object select button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = frozenset("article main".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th caption figcaption hgroup address header hr".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 FURNITURE = frozenset("nav footer aside form dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = frozenset("ad ads advert advertisement adsbygoogle banner breadcrumb breadcrumbs comment comments comment-list consent cookie cookies cookie-banner disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related share sharing sidebar site-footer site-header social sponsored subscribe toolbar widget".split())
+#: Articles of these classes are readers' remarks wherever they stand.
+REMARKS = frozenset("comment comments comment-list".split())
 #: A subtree is a template if this share of its host's distinct pages has it, and at least so many of them.
 SHARE, LEAST = 0.3, 3
 #: Frames that a page's nesting may take; calls between Python functions use no C stack.
@@ -43,7 +46,8 @@ class _Node:
         self.parts: list = []
         inside = bool(parent and parent.main)
         self.main = inside or tag in MAIN
-        body = tag in ("html", "body") or tag in MAIN
+        remark = tag == "article" and bool(names & (NAMES if inside else REMARKS))
+        body = tag in ("html", "body") or (tag in MAIN and not remark)
         self.skip = bool(parent and parent.skip) or (not body and (tag in FURNITURE or (tag == "header" and not inside) or bool(names & NAMES)))
 
 
@@ -121,8 +125,10 @@ def parse(page: str | None) -> _Node:
 
 
 def _digest(node: _Node, out: dict[int, int]) -> str:
-    """Hash of an element's subtree; ``out`` gets that of every block outside the article, by the element's identity."""
+    """Hash of an element's subtree; ``out`` gets that of every block outside the article, and of boxes inside it, by the element's identity."""
     if node.main:
+        if not node.skip:
+            _boxes(node, out)
         return "main"
     parts = [p if isinstance(p, str) else "|" if p is None else _digest(p, out) for p in node.parts]
     if node.tag in ("", "html", "body", "head"):
@@ -133,13 +139,44 @@ def _digest(node: _Node, out: dict[int, int]) -> str:
     return f"{h:x}"
 
 
+def _boxes(top: _Node, out: dict[int, int]) -> None:
+    """Hashes of the boxes in an article: blocks that are no prose (div, section, ul, ...) and hold less than half of its text.
+
+    Paragraphs may be quoted and a wrapper may hold the article itself, so neither is ever a template; prose outside boxes isn't hashed."""
+    found: list[tuple[int, int, int]] = []
+
+    def weigh(node: _Node, boxed: bool) -> tuple[str, int]:
+        if node.skip:
+            return "", 0
+        box = node is not top and node.tag not in INLINE and node.tag not in PROSE
+        boxed, parts, size = boxed or box, [], 0
+        for p in node.parts:
+            if isinstance(p, _Node):
+                digest, n = weigh(p, boxed)
+                size += n
+            else:
+                digest = "|" if p is None else p
+                size += len(digest.strip())
+            if boxed:
+                parts.append(digest)
+        if not boxed:
+            return "", size
+        h = xxhash.xxh64_intdigest(f"box {node.tag} {' '.join(sorted(node.names))}<{' '.join(' '.join(parts).split())}>".encode("utf-8", "replace"))
+        if box and size:
+            found.append((id(node), h, size))
+        return f"{h:x}", size
+
+    total = weigh(top, False)[1]
+    out.update((k, h - (1 << 64) if h >> 63 else h) for k, h, size in found if 2 * size < total)
+
+
 def _tree(page: str | None) -> _Node:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
     return parse(page)
 
 
 def subtree_hashes(page: str | None) -> list[int]:
-    """The distinct hashes of the page's blocks outside the article."""
+    """The distinct hashes of the page's blocks outside the article and of the boxes inside it."""
     out: dict[int, int] = {}
     _digest(_tree(page), out)
     return sorted(set(out.values()))
@@ -188,6 +225,7 @@ def read_page(page: str | None) -> list[tuple[str, list[int]]]:
                     yield from articles(p)
 
     for top in articles(root):
+        _boxes(top, hashes)
         walk(top, ())
     if not blocks:
         _digest(root, hashes)
@@ -211,10 +249,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """page_id, url and text of every row of pages.
 
-    Each page is parsed into a tree; every element's subtree outside the marked article is hashed, the distinct pages of each host that
-    have a hash are counted, and subtrees that recur on a ``share`` of the host's distinct pages, and on ``least``, are deleted. What elements
+    Each page is parsed into a tree; every element's subtree outside the marked article is hashed, and inside it every box (no prose, and less
+    than half of its text); the distinct pages of each host that have a hash are counted, and subtrees that recur on a ``share`` of the host's distinct pages, and on ``least``, are deleted. What elements
     say of themselves (nav, footer, form, class "ad", ...) removes furniture that differs from page to page; the marked article, where there is
-    one, is the main text, so that a paragraph that many articles quote is kept. Blocks are joined by line ends, white space in them
+    one, is the main text without its recurring boxes; a paragraph in it that many articles quote is kept. Blocks are joined by line ends, white space in them
     becomes one space.
 
     Null, empty and textless pages give "". Rows without a host count together. Rows of a host with the same html are one page, given

@@ -18,3 +18,13 @@ def test_templates_are_a_share_of_distinct_pages(spark):
     assert got[5] == "Story 5\nquoted by some" and got[50] == "Story 50"
     assert got[1003] == "Story again" and got[2000] == "Story x"
     assert got[3001] == "Story s1" and got[4001] == "Our site\nStory same"
+
+
+def test_boxes_inside_the_article(spark):
+    page = lambda k: f"""<body><nav>n{k}</nav><main><div class="body"><h1>T{k}</h1><p>Story {k} of the long kind, with words enough</p><p>quoted by all</p>
+        <div class="ad-slot"><p>Buy <b>now</b></p></div>{'<div class="quote">seen on some</div>' if k < 5 else ''}<article class="comment">remark {k}</article></div></main><article class="comment">remark {k}</article></body>"""
+    got = texts(spark, [(k, f"http://a.com/{k}", page(k)) for k in range(30)] + [(k, "http://b.com/one", page(k)) for k in range(100, 102)])
+    story = "T{0}\nStory {0} of the long kind, with words enough\nquoted by all"
+    assert got[20] == story.format(20) and got[3] == story.format(3) + "\nseen on some"
+    assert got[100] == story.format(100) + "\nBuy now"
+    assert texts(spark, [(k, f"http://c.com/{k}", f"<nav>{k}</nav><article><div>The same text</div></article>") for k in range(12)])[4] == "The same text"
