@@ -45,6 +45,12 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def word_hashes_128(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(len(words), 2)
+    return both[:, 0], both[:, 1]
+
+
 def rolling(hashes: np.ndarray, n: int, multiplier: int) -> np.ndarray:
     """Polynomial hash modulo 2**64 of every run of n items, by doubling: O(log n) array passes."""
     size = len(hashes) - n + 1
@@ -71,18 +77,61 @@ def rolling(hashes: np.ndarray, n: int, multiplier: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: A key that holds more than one in so many rows is hot; there are fewer such keys than this, whatever the table.
+HOT = 1000
+#: Parts that a hot key's rows are dealt into.
+SALTS = 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = HOT) -> list:
+    """Keys with more than one in ``share`` of all rows, from a table of counts: fewer than ``share`` values, so they may come to the driver."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > max(total / share, 2)).select(key).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list, by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Equi-join on ``key``, unique in ``right``; the left rows of hot keys are dealt into ``salts`` parts by ``by``, and the right row of each is
+    repeated for them. Nothing is dropped; without hot keys it is the plain join."""
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    dealt = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    each = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(each)), [key, "_salt"], how).drop("_salt")
+
+
+def _folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+
+
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """df written once to the shared folder and read again, which cuts its lineage and survives lost executors.
 
-    The folder is spark.checkpoint.dir; only a session that names none (tests) gets one of its own under its warehouse.
+    The folder is spark.checkpoint.dir; only a local session that names none (tests) gets one of its own under its warehouse.
+    ``instead_of``: a table written before that df replaces; its files are deleted once df is there.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # the shuffle files of this write have done their work when it ends
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        forget(instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(table_: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made and that no plan reads any more."""
+    path = table_.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table_.written_to)
+    path.getFileSystem(table_.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

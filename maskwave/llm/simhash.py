@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, table, written
+from .common import forget, hot_keys, spread_join, table, written
 
 # Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -32,7 +32,11 @@ def fingerprint_of(text: str | None, n: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])[: len(words) - n + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(line[s:e], SEED) for s, e in zip(begins, ends[n - 1 :].tolist(), strict=True)), np.uint64, len(begins))
+    return bits_of(np.fromiter((digest(line[s:e], SEED) for s, e in zip(begins, ends[n - 1 :].tolist(), strict=True)), np.uint64, len(begins)))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """Each bit that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 15):
         part = h[k : k + (1 << 15)]
@@ -108,26 +112,29 @@ def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -
         return pd.Series([[{"a": a, "b": b} for a, b in _forest(g, distance)] for g in groups])
 
     rows = distinct.select("fp", F.lit(0).cast("long").alias("key"), F.lit(-1).cast("long").alias("free"))
-    # A fixed number of parts: few small rows become many here, so they may not be put together in a few tasks.
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, level, width = None, 0, 64
     while True:
-        rows = rows.repartition(parts, "fp").mapInArrow(_variants(level, distance), "fp long, key long, free long")
+        # Few small rows become many here: they are dealt by another hash than the one they lie by, into a number of parts that stays.
+        dealt = rows.repartition(parts, F.xxhash64("fp", F.lit(level)))
+        rows = written(dealt.mapInArrow(_variants(level, distance), "fp long, key long, free long"), f"variants-{level}")
         segments = (distance + 2) // 2
         width = width - width // segments + 1
         last = 2 ** min(width, 40) <= 4 * bucket or width <= segments * 4
-        if last:
-            small = rows
-        else:
+        small, hot = rows, None
+        if not last:
             hot = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key"), f"hot-{level}")
-            small = rows.join(hot, "key", "left_anti")
+            if hot.isEmpty():
+                last = True
+            else:
+                small = rows.join(hot, "key", "left_anti")
         whole = small.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        new = whole.select(F.explode(forest("fps")).alias("l")).select("l.a", "l.b")
+        new = written(whole.select(F.explode(forest("fps")).alias("l")).select("l.a", "l.b"), f"links-{level}")
         found = new if found is None else found.unionByName(new)
-        if last or hot.isEmpty():
+        if last:
+            forget(rows)
             return found.distinct()
-        rows = written(rows.join(hot, "key", "left_semi").select("fp", "key", "free"), f"split-{level}")
-        level += 1
+        rows, level = written(rows.join(hot, "key", "left_semi").select("fp", "key", "free"), f"split-{level}", instead_of=rows), level + 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -139,25 +146,28 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = written(e, "links"), None
+    n = e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        # A node that a large share of all edges ends in would be one task's work.
+        hot = hot_keys(e.groupBy("v").agg(F.count("*").alias("n")), "v") if n > 200_000 else []
+        large = spread_join(e, low, "v", hot, F.col("u")).select("u", F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = written(small.select("x.u", "x.v").where("u <> v").distinct(), "round")
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
+        e = written(small.select("x.u", "x.v").where("u <> v").distinct(), "round", instead_of=e)
+        n, *rest = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (n, rest) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+        before = (n, rest)
 
 
 def near_duplicates(df: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp (signed long), component_id of every row of documents.
 
     component_id is the smallest doc_id that is reachable over links between fingerprints that differ in at most ``distance`` bits;
-    equal fingerprints are linked. Texts are first reduced to distinct fingerprints, so thousands of copies count once, and the rows
-    of a hot fingerprint meet again only in a join on it, which adaptive execution splits.
+    equal fingerprints are linked. Texts are first reduced to distinct fingerprints, so thousands of copies count once; the rows of a hot
+    fingerprint are dealt into parts where they meet its group again.
 
     Null and blank texts have fingerprint 0, linked like any other. Null ids belong to their group but are never its name, unless
     it has no other (then component_id is null). Repeated rows get the same group; extra columns are ignored; an empty table gives
@@ -165,11 +175,12 @@ def near_duplicates(df: DataFrame, distance: int = DISTANCE, bucket: int = BUCKE
     """
     docs = fingerprints(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))).select("doc_id", "fp")
     docs = written(docs, "fingerprints")
-    firsts = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = written(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     groups = components(links(firsts.select("fp"), distance, bucket))
     rooted = firsts.join(groups, firsts["fp"] == groups["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return docs.join(rooted.select("fp", "root").join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = rooted.select("fp", "root").join(names, "root").select("fp", "component_id")
+    return spread_join(docs, named, "fp", hot_keys(firsts, "fp"), F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def test_near_copies_are_pairs_at_the_similarity(spark):
     assert kept == set(top) and 0 < sum(x != k for k, x in enumerate(top)) < len(texts)
 
 
-@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("block", [1 << 20, 400])
 def test_blocks_of_a_large_group(spark, block):
     words = [f"w{k}" for k in range(300)]
     texts = [" ".join(["x"] * k + words[k:]) for k in range(0, 200, 8)] + ["alone in this table of texts"]
