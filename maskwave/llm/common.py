@@ -90,8 +90,8 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n", share: int = HOT) -> lis
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, hot: list, by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Equi-join on ``key``, unique in ``right``; the left rows of hot keys are dealt into ``salts`` parts by ``by``, and the right row of each is
-    repeated for them. Nothing is dropped; without hot keys it is the plain join."""
+    """Equi-join on ``key``; the left rows of hot keys are dealt into ``salts`` parts by ``by``, and the right rows of each are repeated
+    for them. Nothing is dropped; without hot keys it is the plain join."""
     if not hot:
         return left.join(right, key, how)
     is_hot = F.col(key).isin(hot)

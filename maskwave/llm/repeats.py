@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, rolling, table, word_hashes, words_of, written
+from .common import doc_key, hot_keys, rolling, spread_join, table, word_hashes, word_hashes_128, words_of, written
 
 # Words of a window; a period and a cover such that every difference modulo the period is one of two members.
 WINDOW = 20
@@ -31,11 +31,11 @@ def cover_positions(n_words: int) -> np.ndarray:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = words_of(text)
             if len(words) >= WINDOW:
                 at = cover_positions(len(words))
-                out.append((rolling(word_hashes(words), ANCHOR, FIRST)[at], np.full(len(at), key, np.int64), at))
+                out.append((rolling(word_hashes(words), ANCHOR, FIRST)[at], np.full(len(at), row, np.int64), at))
             if sum(len(x[0]) for x in out[-64:]) > 100_000:
                 yield _rows(out)
                 out = []
@@ -44,8 +44,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(parts) -> pa.RecordBatch:
-    h, key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.record_batch([_long(h), pa.array(key), pa.array(at.astype(np.int32))], ["h", "key", "at"])
+    h, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.record_batch([_long(h), pa.array(row), pa.array(at.astype(np.int32))], ["h", "row", "at"])
 
 
 def candidates(n_words: int, shared: np.ndarray) -> np.ndarray:
@@ -60,15 +60,15 @@ def candidates(n_words: int, shared: np.ndarray) -> np.ndarray:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extends shared anchors to whole windows: two hashes of each, with its place."""
+    """Extends shared anchors to whole windows: 128 bits of each, from two independent hashes of its words, with its place."""
     for batch in batches:
         out = []
-        for key, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, tie, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = words_of(text)
             at = candidates(len(words), np.array(shared, np.int64))
             if len(at):
-                h = word_hashes(words)
-                out.append((rolling(h, WINDOW, FIRST)[at], rolling(h, WINDOW, SECOND)[at], np.full(len(at), key, np.int64), at))
+                one, two = word_hashes_128(words)
+                out.append((rolling(one, WINDOW, FIRST)[at], rolling(two, WINDOW, SECOND)[at], np.full(len(at), key, np.int64), np.full(len(at), tie, np.int64), at))
             if sum(len(x[0]) for x in out[-64:]) > 100_000:
                 yield _window_rows(out)
                 out = []
@@ -77,8 +77,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(parts) -> pa.RecordBatch:
-    h1, h2, key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.record_batch([_long(h1), _long(h2), pa.array(key), pa.array(at.astype(np.int32))], ["h1", "h2", "key", "at"])
+    h1, h2, key, tie, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.record_batch([_long(h1), _long(h2), pa.array(key), pa.array(tie), pa.array(at.astype(np.int32))], ["h1", "h2", "key", "tie", "at"])
 
 
 def keep_mask(n_words: int, shared, firsts) -> np.ndarray:
@@ -110,22 +110,30 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     A window is 20 consecutive words; a word goes if some window over it has the same words as one that starts earlier, in a smaller
     doc_id or before it in the same text. Judged on the input, so overlapping repeats don't hide each other.
 
-    Three steps, each distributed by hashes or ids: anchors (runs of 8 words at cover positions modulo 13) that occur twice or more;
+    Three steps, each distributed by hashes or rows: anchors (runs of 8 words at cover positions modulo 13) that occur twice or more;
     their extension to windows, of which a map-side combined minimum finds the first; the words left. A passage in a third of all
-    texts is one row a task in both aggregates; only the join of anchors with the shared ones meets its rows, which adaptive
-    execution splits. What a task holds is one batch of texts.
+    texts is one row a task in both aggregates; where its anchors meet the shared ones they are dealt into parts. What a task holds
+    is one batch of texts.
 
-    Null texts have no words; null ids come last in the order; rows that repeat id and text are one document, given twice. Texts
-    under 20 words lose nothing. Extra columns are ignored; an empty table gives an empty result.
+    Null texts have no words. Null ids come last in the order. Rows without an id, and rows that share one, are documents of their own,
+    ordered by a hash of their texts; rows that repeat id and text are one document, given as often. Texts under 20 words lose nothing.
+    Extra columns are ignored; an empty table gives an empty result.
     """
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", doc_key(F.col("doc_id")))
-    anchors = docs.select("key", "text").mapInArrow(_anchors, "h long, key long, at int")
-    places = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    shared = written(anchors.join(places, "h").groupBy("key").agg(F.collect_list("at").alias("shared")), "anchors")
-    windows = docs.select("key", "text").join(shared, "key").mapInArrow(_windows, "h1 long, h2 long, key long, at int")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "at")).alias("first")).select("first.key", "first.at")
-    marks = written(shared.join(first.groupBy("key").agg(F.collect_list("at").alias("firsts")), "key", "left"), "windows")
-    return docs.join(marks, "key", "left").select("doc_id", "text", "shared", "firsts").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumns({"key": doc_key(F.col("doc_id")), "hash": F.xxhash64("text")})
+    # Where every id has one text, ids alone order the documents, and the second part of the order is a zero that costs nothing.
+    known = docs.where("doc_id is not null").groupBy("key").agg((F.min("hash") != F.max("hash")).alias("many"))
+    alone = known.where("many").isEmpty()
+    tie = F.when(F.col("doc_id").isNull(), F.col("hash")).otherwise(F.lit(0).cast("long") if alone else F.col("hash"))
+    docs = docs.withColumn("tie", tie).withColumn("row", F.xxhash64("key", "tie")).drop("hash")
+    anchors = docs.select("row", "text").mapInArrow(_anchors, "h long, row long, at int")
+    places = written(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "places")
+    met = spread_join(anchors, places.select("h"), "h", hot_keys(places, "h"), F.struct("row", "at"))
+    shared = written(met.groupBy("row").agg(F.collect_list("at").alias("shared")), "anchors")
+    windows = docs.select("row", "key", "tie", "text").join(shared, "row").select("key", "tie", "text", "shared").mapInArrow(_windows, "h1 long, h2 long, key long, tie long, at int")
+    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "tie", "at")).alias("first")).select(F.xxhash64("first.key", "first.tie").alias("row"), "first.at")
+    marks = written(shared.join(first.groupBy("row").agg(F.collect_list("at").alias("firsts")), "row", "left"), "windows")
+    return docs.join(marks, "row", "left").select("doc_id", "text", "shared", "firsts").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
