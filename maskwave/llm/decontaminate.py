@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, table
+from .common import hot_keys, spread_join, table, written
 
 # Words of a shingle, share of an item's shingles that a document must hold.
 SHINGLE, CONTAINED = 5, 0.8
@@ -47,7 +47,7 @@ def item_shingles(items: DataFrame) -> DataFrame:
 
 
 def sketches(shingled: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """item_id, h, least: each item's smallest hashes, and how many of them a document with enough of the item must hold.
+    """item_id, h, n, least: each item's smallest hashes, and how many of them a document with enough of the item must hold.
 
     Items are partitioned by size: a class holds those with as many shingles as between two powers of two, and its sketches have
     2m + 1 hashes, where m is the most shingles that the class's largest item may miss. A document that holds ``contained`` of an
@@ -62,6 +62,14 @@ def sketches(shingled: DataFrame, contained: float = CONTAINED) -> DataFrame:
     return ranked.where(F.col("k") <= keep).select("item_id", "h", "n", F.greatest(keep - missing, F.lit(1)).alias("least"))
 
 
+def rarest(sketched: DataFrame, found: DataFrame) -> DataFrame:
+    """The part of each sketch that documents are looked up by: a document must hold ``least`` of it, so it holds one that is not among the
+    least - 1 most frequent, and those that the fewest documents hold make the fewest candidates."""
+    often = found.groupBy("h").agg(F.count("*").alias("often"))
+    ranked = sketched.join(often, "h").withColumn("k", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("often"), "h")))
+    return ranked.where(F.col("k") >= F.col("least")).select("item_id", "h", "n")  # hashes that no document holds are not there
+
+
 def filter_bits(shingled: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A bitmap of fixed size with the leading bits of every item's shingle hashes, or-ed in tasks and only then on the driver."""
 
@@ -83,48 +91,58 @@ def filter_bits(shingled: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 def leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared, containment: every pair in which the document holds ``contained`` of the item's distinct shingles.
 
-    Documents are read once, whole: their shingles pass a bitmap of fixed size, those that do meet the items' sketches in an equi-join, pairs
-    with enough sketch hits are candidates, and each is verified on the items' whole sets of shingles, as text and not as hashes.
+    Documents are read once, whole: their shingles pass a bitmap of fixed size and are written; the rarest hashes of the items' sketches meet
+    them in an equi-join, and each candidate is verified on the item's whole set of shingles, as text and not as hashes.
 
-    Null and blank texts hold nothing and are in nothing; null ids of items are skipped, documents without an id come out with
-    a null doc_id; rows that repeat an id and text are one document; items under five words are one shingle. Extra columns are
-    ignored. An empty table on either side gives an empty result.
+    Null and blank texts hold nothing and are in nothing; null ids of items are skipped. A document is an id and a text: documents without
+    an id come out with a null doc_id, each by its own text, and so do texts that share an id; rows that repeat an id and text are one
+    document. Items under five words are one shingle. Extra columns are ignored. An empty table on either side gives an empty result.
     """
-    out = held(docs.select(doc_key(F.col("doc_id")).alias("key"), "text"), items, contained)
-    doc_id = F.when(F.col("key") != (1 << 63) - 1, F.col("key"))
-    return out.select(doc_id.alias("doc_id"), "item_id", "n_shingles", "n_shared", "containment")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
+    return held(keyed, items, contained, ("doc_id", "own")).drop("own")
 
 
-def held(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
-    """As ``leaks``, for documents of a key (long or string, never null) and a text; the rows of a key count as one document."""
+def held(docs: DataFrame, items: DataFrame, contained: float = CONTAINED, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """As ``leaks``, for documents of key columns (which may be null) and a text; rows of equal keys count as one document."""
     spark = docs.sparkSession
-    shingled = item_shingles(items)
-    kind = docs.schema["key"].dataType
-    arrow_kind = pa.string() if kind.simpleString() == "string" else pa.int64()
+    shingled = written(item_shingles(items), "items")
     bitmap = spark.sparkContext.broadcast(filter_bits(shingled))
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         shift = np.uint64(64 - FILTER_BITS)
         for batch in batches:
-            keys, hs, texts = [], [], []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, hs, texts = [], [], []
+            for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 parts = shingles_of(text)
                 h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
                 at = (h >> shift).astype(np.int64)
                 hits = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 if len(hits):
                     mine = {int(h[k]): parts[k] for k in hits}
-                    keys += [key] * len(mine)
+                    rows += [row] * len(mine)
                     hs += map(_signed, mine)
                     texts += [s.decode() for s in mine.values()]
-            yield pa.record_batch([pa.array(keys, arrow_kind), pa.array(hs, pa.int64()), pa.array(texts, pa.string())], ["key", "h", "shingle"])
-
-    found = docs.select("key", F.col("text").cast("string").alias("text")).mapInArrow(run, f"key {kind.simpleString()}, h long, shingle string")
-    near = found.select("key", "h").join(sketches(shingled, contained), "h").groupBy("key", "item_id").agg(F.count_distinct("h").alias("hits"), F.first("least").alias("least"), F.first("n").alias("n_shingles")).where("hits >= least")
-    whole = near.join(shingled, "item_id").select("key", "item_id", "n_shingles", "h", "shingle").join(found.distinct(), ["key", "h", "shingle"])
-    out = whole.groupBy("key", "item_id").agg(F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_shared")).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
-    return out.where(F.col("containment") >= contained - 1e-9).select("key", "item_id", "n_shingles", "n_shared", "containment")
+            own = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+            yield pa.record_batch([*own, pa.array(hs, pa.int64()), pa.array(texts, pa.string())], [*keys, "h", "shingle"])
+
+    # Rows that repeat a document's keys give its shingles as often; they are put together by number and text, both of which are short.
+    passed = docs.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{kinds}, h long, shingle string")
+    found = written(passed.distinct().withColumn("doc", F.xxhash64(*keys)), "passed")
+    index = written(rarest(sketches(shingled, contained), found), "index")
+    common = hot_keys(found.groupBy("h").agg(F.count("*").alias("n")), "h")
+    near = written(spread_join(found.select(*keys, "doc", "h"), index, "h", common, F.col("doc")).select(*keys, "doc", "item_id", "n").distinct(), "near")
+    # An item that a large share of all candidates is about is dealt into parts.
+    hot = hot_keys(near.groupBy("item_id").agg(F.count("*").alias("n")), "item_id")
+    sets = shingled.groupBy("item_id").agg(F.collect_list(F.struct("h", "shingle")).alias("set"))
+    whole = spread_join(near, sets, "item_id", hot, F.col("doc")).select(*keys, "doc", "item_id", "n", F.explode("set").alias("s")).select(*keys, "doc", "item_id", "n", "s.h", "s.shingle")
+    there = found.select("doc", *[F.col(k).alias(f"f_{k}") for k in keys], "h", "shingle")
+    same = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in keys]
+    on = (whole["doc"] == there["doc"]) & (whole["h"] == there["h"]) & (whole["shingle"] == there["shingle"])
+    both = whole.join(there, on & same[0] if len(same) == 1 else on & same[0] & same[1])
+    out = both.groupBy(*keys, "item_id").agg(F.first("n").alias("n_shingles"), F.count("*").alias("n_shared")).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    return out.where(F.col("containment") >= contained - 1e-9).select(*keys, "item_id", "n_shingles", "n_shared", "containment")
 
 
 def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from maskwave.llm import common, decontaminate, repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,3 +33,39 @@ def test_mixed_rows_are_the_rounded_ones(spark):
         mine = out[out["source"].isna()] if source is None else out[out["source"] == source]
         assert abs(mine["size"].sum() - mine["target"].iloc[0]) <= 20
     assert out.groupby(["text", "copy"]).size().max() == 1
+
+
+def test_repeats_of_rows_without_an_id_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 9000, n)]
+    shared = words(60)
+    rows = [(i, " ".join([*words(int(rng.integers(0, 40))), *shared[: int(rng.integers(20, 60))], *words(int(rng.integers(0, 900)))])) for i in (None, None, None, 7, 7, 7, 8, None)]
+    rows += [(None, " ".join(shared)), (7, " ".join(shared)), rows[0], rows[3]]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    tie = {r["text"]: r["h"] for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    first = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie[r[1]])):
+        w = t.split()
+        for s in range(len(w) - 19):
+            first.setdefault(tuple(w[s : s + 20]), (i, t, s))
+    want = Counter()
+    for i, t in rows:
+        w = t.split()
+        gone = {k for s in range(len(w) - 19) if first[tuple(w[s : s + 20])] != (i, t, s) for k in range(s, s + 20)}
+        want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    assert Counter(tuple(r) for r in repeats.remove_repeats(frame).collect()) == want
+
+
+def test_leaks_of_rows_without_an_id_of_their_own(spark):
+    item = [f"item{k}" for k in range(20)]
+    parts = [" ".join(item[:12]), " ".join(item[8:]), " ".join(item), "other " * 30]
+    rows = [(None, t) for t in parts] + [(5, t) for t in parts] + [(None, parts[2])]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, parts[2])], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_shared"], r["n_shingles"]) for r in got) == [("5", 16, 16), ("None", 16, 16)]
+
+
+def test_hot_keys_are_dealt(spark):
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    hot = common.hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "k")
+    assert hot == [0] and sorted(common.spread_join(left, right, "k", hot, F.col("id")).collect()) == sorted(left.join(right, "k").collect())
