@@ -13,17 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WORD = re.compile(r"[^\W\d_]+")
 # Folds, and the one that is held out.
 FOLDS, HELD = 4, 2
-#: Documents of each language that the model is fitted on, those with the smallest hash of the text; the most letters of each; grams kept.
-SAMPLE, GRAMS = 3000, 60_000
-#: Languages that the model tells apart, at most.
-LANGUAGES = 500
-#: Letters that the tables of grams tell apart.
-LETTERS = 128
+#: Different texts of each language that the model is fitted on, those with the smallest hashes.
+SAMPLE = 3000
+#: The model's size: its grams, dealt evenly to the languages (each has its own most frequent ones), and the least for each.
+GRAMS, LEAST_GRAMS = 60_000, 1000
+#: Cells of a table that grams are looked up in directly; where letters are too many for one, they are searched for.
+DIRECT = 1 << 24
 #: What a change of language from one word to the next costs, in natural logarithms of probability.
 SWITCH = 6.0
 # First code points of ranges and their scripts.
@@ -52,8 +52,12 @@ SCRIPTS = (
 _FROM = np.array([s for s, _ in SCRIPTS])
 
 
-def script_of(word: str) -> str:
-    return SCRIPTS[int(np.searchsorted(_FROM, ord(word[0]), "right")) - 1][1]
+_SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
+_SCRIPT_OF_RANGE = np.array([_SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
+
+
+def _script_number(word: str) -> int:
+    return int(_SCRIPT_OF_RANGE[np.searchsorted(_FROM, ord(word[0]), "right") - 1])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -61,6 +65,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters; numerals such as ½ or Ⅷ are none."""
+    found = WORD.findall(text.lower()) if text else []
+    return [p for w in found for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def grams_of(word: str) -> list[str]:
     w = f" {word} "
     return [w] + [w[k : k + 3] for k in range(len(w) - 2)] + [w[k : k + 2] for k in range(len(w) - 1)]
@@ -80,7 +90,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words[lang].update(WORD.findall(text.lower()))
+            words[lang].update(words_of(text))
             if sum(map(len, words.values())) > 50_000:
                 yield rows(words)
                 words.clear()
@@ -91,78 +101,106 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple:
     """(languages, gram table) from text and lang of rows with a language: naive Bayes over grams of two and three letters and words.
 
-    Fitted on ``sample`` documents of each language at most (the smallest hashes of their texts) and the ``grams`` most frequent grams,
-    the two bounds of the model; scoring covers every word of every text.
+    Fitted on ``sample`` different texts of each language at most (the smallest hashes; a text counts once, whatever its copies) and on
+    each language's most frequent grams, ``grams`` in all: the two bounds of the model. Every language that occurs is told apart; the
+    model grows with their number. Scoring covers every word of every text. Rows without text or language don't count.
     """
     keyed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    # The hashes bound the sample before any text moves: each language's share of the hash range, from the counts of the LANGUAGES largest.
-    counts = keyed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    shares = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 1.3 * sample / r["n"]))]) if counts else F.lit(None).cast("map<string,double>")
-    some = keyed.where(F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) <= F.try_element_at(shares, F.col("lang")))
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= sample)
-
-    counted = some.select("lang", "text").mapInArrow(_gram_counts, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    wide = counted.groupBy("g").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    rows = wide.orderBy(F.desc("total"), "g").limit(grams).collect()  # bounded by the model's size
+    texts = keyed.select("lang", "h").distinct()
+    # The hashes bound the sample before any text moves: each language's share of the hash range, from its number of texts.
+    counts = texts.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.least(F.lit(1.0), F.lit(1.3 * sample) / F.col("n")))
+    place = F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)
+    near = texts.join(counts, "lang").where(place <= F.col("share"))
+    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= sample).select("lang", "h")
+    some = keyed.join(F.broadcast(written(chosen, "sample")), ["lang", "h"])  # ``sample`` pairs of numbers a language
+    once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+    counted = once.select("lang", "text").mapInArrow(_gram_counts, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    counted = written(counted, "grams")
+    quota = max(LEAST_GRAMS, grams // max(counted.select("lang").distinct().count(), 1))
+    best = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("k") <= quota).select("g").distinct()
+    rows = counted.join(best, "g").groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy("g").collect()  # bounded by the model's size
     langs = sorted({lang for r in rows for lang in r["by"]})
-    table_ = {r["g"]: [r["by"].get(lang, 0) for lang in langs] for r in rows}
-    kinds = [sum(1 for g in table_ if len(g) == k) or 1 for k in (2, 3)] + [sum(1 for g in table_ if len(g) > 3) or 1]
-    sums = [[sum(v[i] for g, v in table_.items() if (len(g) == 2, len(g) == 3, len(g) > 3)[k]) for i in range(len(langs))] for k in range(3)]
-    out = {}
-    for g, v in table_.items():
-        k = min(len(g), 4) - 2
-        out[g] = tuple(float(np.log((n + 0.5) / (s + 0.5 * kinds[k] + 1))) for n, s in zip(v, sums[k], strict=True))
-    rest = [tuple(float(np.log(0.5 / (s + 0.5 * kinds[k] + 1))) for s in sums[k]) for k in range(3)]
-    scripts = {lang: frozenset({"latin"}) for lang in langs}
-    if langs:
-        first = lambda g: next((c for c in g if c != " "), None)
-        for i, lang in enumerate(langs):
-            weight: dict[str, int] = {}
-            for g, v in table_.items():
-                if c := first(g):
-                    weight[script_of(c)] = weight.get(script_of(c), 0) + v[i]
-            total = sum(weight.values()) or 1
-            scripts[lang] = frozenset(s for s, n in weight.items() if n >= 0.01 * total) or frozenset({"latin"})
-    return tuple(langs), tuple(out.items()), tuple(rest), tuple(sorted((k, tuple(sorted(v))) for k, v in scripts.items()))
+    place = {lang: k for k, lang in enumerate(langs)}
+    counts = np.zeros((len(rows), len(langs)))
+    for k, r in enumerate(rows):
+        for lang, n in r["by"].items():
+            counts[k, place[lang]] = n
+    names = tuple(r["g"] for r in rows)
+    kind = np.array([min(len(g), 4) - 2 for g in names], np.int64)
+    scores, rest = np.zeros(counts.shape, np.float32), np.zeros((3, len(langs)), np.float32)
+    for k in range(3):
+        mine = kind == k
+        whole = counts[mine].sum(axis=0) + 0.5 * max(int(mine.sum()), 1) + 1
+        scores[mine], rest[k] = np.log((counts[mine] + 0.5) / whole), np.log(0.5 / whole)
+    # A language writes the scripts that hold a hundredth of its grams.
+    script = np.array([_script_number(g.strip()) if g.strip() else -1 for g in names], np.int64)
+    weight = np.array([counts[script == k].sum(axis=0) for k in range(len(_SCRIPT_NAMES))]).reshape(len(_SCRIPT_NAMES), len(langs))
+    able = weight >= 0.01 * np.maximum(weight.sum(axis=0), 1)
+    return tuple(langs), names, scores.tobytes(), rest.tobytes(), able.tobytes()
+
+
+class _Table:
+    """Numbers of known pairs of codes, 0 for others: a direct table where that is small, else a sorted list."""
+
+    def __init__(self, pairs: np.ndarray, width: int):
+        self.width = width
+        self.keys = np.unique(pairs[:, 0].astype(np.int64) * width + pairs[:, 1])
+        self.size = len(self.keys) + 1
+        self.index = None
+        top = (int(self.keys[-1]) // width + 1) * width if len(self.keys) else 0
+        if top <= DIRECT:
+            self.index = np.zeros(top + 1, np.int32)
+            self.index[self.keys] = np.arange(1, self.size)
+
+    def number(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * self.width + b
+        if self.index is not None:
+            return self.index[np.minimum(key, len(self.index) - 1)]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at + 1, 0)
 
 
 class WordScorer:
     """Log probability of words in each language, many words at once; a script that no language writes says nothing, others leave
-    only theirs. Letters beyond the ``LETTERS`` most frequent of the model share one code."""
+    only theirs. Letters that no gram of the model holds share one code."""
 
     def __init__(self, model: tuple):
-        self.langs, grams, rest, scripts = model
-        rest = np.array(rest, np.float32).reshape(3, len(self.langs))
-        letters = Counter(c for g, _ in grams if len(g) < 4 for c in g if c != " ")
-        self.code = {" ": 0} | {c: k + 2 for k, (c, _) in enumerate(letters.most_common(LETTERS - 2))}
-        self.of_point = np.ones(0x110000, np.uint8)
-        for c, k in self.code.items():
+        self.langs, grams, scores, rest, able = model
+        size = len(self.langs)
+        scores = np.frombuffer(scores, np.float32).reshape(len(grams), size)
+        rest = np.frombuffer(rest, np.float32).reshape(3, size)
+        letters = sorted({c for g in grams if len(g) < 4 for c in g} - {" "})
+        code = {" ": 0} | {c: k + 2 for k, c in enumerate(letters)}
+        self.of_point = np.ones(0x110000, np.int32)
+        for c, k in code.items():
             self.of_point[ord(c)] = k
+        width = len(code) + 1
+        rows = [[k for k, g in enumerate(grams) if len(g) == n] for n in (2, 3)]
+        two, three = (np.array([[code[c] for c in grams[k]] for k in mine], np.int64).reshape(-1, n) for mine, n in zip(rows, (2, 3), strict=True))
+        self.two = _Table(np.vstack([two, three[:, :2]]), width)
+        begins = self.two.number(three[:, 0], three[:, 1])
+        self.three = _Table(np.column_stack([begins, three[:, 2]]), width)
         self.tables = []
-        for size in (2, 3):
-            mine = [(g, v) for g, v in grams if len(g) == size and all(c in self.code for c in g)]
-            index = np.zeros(LETTERS**size, np.int32)
-            for k, (g, _) in enumerate(mine):
-                index[sum(self.code[c] * LETTERS**j for j, c in enumerate(reversed(g)))] = k + 1
-            self.tables.append((index, np.vstack([rest[size - 2], *(np.array(v, np.float32) for _, v in mine)])))
-        whole = [(g[1:-1], v) for g, v in grams if len(g) > 3]
-        self.whole = {w: k + 2 for k, (w, _) in enumerate(whole)}
-        self.whole_scores = np.vstack([rest[2], np.zeros((1, len(self.langs)), np.float32), *(np.array(v, np.float32) for _, v in whole)]) if self.langs else None
-        writes = dict(scripts)
-        self.able = np.array([[name in writes[lang] for lang in self.langs] for _, name in SCRIPTS], bool)
+        for k, (table, at) in enumerate(((self.two, self.two.number(two[:, 0], two[:, 1])), (self.three, self.three.number(begins, three[:, 2])))):
+            held = np.tile(rest[k], (table.size, 1))
+            held[at] = scores[rows[k]]
+            self.tables.append(held)
+        whole = [k for k, g in enumerate(grams) if len(g) > 3]
+        self.whole = {grams[k][1:-1]: j + 2 for j, k in enumerate(whole)}
+        self.whole_scores = np.vstack([rest[2], np.zeros((1, size), np.float32), scores[whole]])
+        self.able = np.frombuffer(able, bool).reshape(len(_SCRIPT_NAMES), size)[_SCRIPT_OF_RANGE]
 
     def scores(self, words: list[str]) -> np.ndarray:
         """One row a word, its best language at 0."""
         line = " " + " ".join(words) + " "
         points = np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
-        codes = self.of_point[points].astype(np.int32)
+        codes = self.of_point[points]
         size = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-        two = codes[:-1] * LETTERS + codes[1:]
-        three = two[:-1] * LETTERS + codes[2:]
-        (index2, table2), (index3, table3) = self.tables
-        part = table2[index2[two]]
-        inner = table3[index3[three]]
+        pair = self.two.number(codes[:-1], codes[1:])
+        part = self.tables[0][pair]
+        inner = self.tables[1][self.three.number(pair[:-1], codes[2:])]
         inner[codes[1:-1] == 0] = 0  # runs over the space between two words
         part[:-1] += inner
         total = np.add.reduceat(part, starts, axis=0)
@@ -182,11 +220,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) ->
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     order = np.argsort(-lengths, kind="stable")
     live = lengths[order]
-    back = np.empty(scores.shape, np.int8)
+    back = np.empty(scores.shape, np.int32)
     value = np.zeros((len(lengths), scores.shape[1]), np.float32)
     steps = int(live[0]) if len(live) else 0
     alive = np.searchsorted(-live, -np.arange(1, steps + 1), "right")
-    stay = np.arange(scores.shape[1], dtype=np.int8)
+    stay = np.arange(scores.shape[1], dtype=np.int32)
     begin = starts[order]
     for t in range(steps):
         n = alive[t]
@@ -201,8 +239,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) ->
         value[:n] = v + scores[at]
         if t % 64 == 63:
             value[:n] -= value[:n].max(axis=1, keepdims=True)
-    out = np.empty(len(scores), np.int8)
-    now = value.argmax(axis=1).astype(np.int8)
+    out = np.empty(len(scores), np.int32)
+    now = value.argmax(axis=1).astype(np.int32)
     for t in range(steps - 1, -1, -1):
         n = alive[t]
         at = begin[:n] + t
@@ -223,7 +261,7 @@ SPANS = "struct<lang:string,score:double,spans:array<struct<lang:string,first_wo
 def label_texts(texts, scorer: WordScorer) -> list[tuple]:
     """(language, score, spans) of each text; the language is that of most letters, the score its share of the letters times the
     mean probability of its words."""
-    found = [WORD.findall(t.lower()) if t else [] for t in texts]
+    found = [words_of(t) for t in texts]
     if not scorer.langs:
         return [("und", 0.0, []) for _ in found]
     lengths = np.array([len(w) for w in found], np.int64)
@@ -256,7 +294,8 @@ def label_texts(texts, scorer: WordScorer) -> list[tuple]:
 def identify(df: DataFrame, model: tuple, text: str = "text", out: str = "language") -> DataFrame:
     """Adds ``out``: language, score and spans (language, first word, words) of each whole text; replaces a column of that name.
 
-    Null, empty and letterless texts are ``und`` with score 0 and no spans, as is every text under a model without languages.
+    Null, empty and letterless texts are ``und`` with score 0 and no spans, as is every text under a model without languages; repeated
+    rows get the same; an empty table gives an empty result.
     """
 
     @F.pandas_udf(SPANS)
