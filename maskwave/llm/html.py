@@ -5,7 +5,6 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-import sys
 import zlib
 from collections.abc import Iterator
 
@@ -34,16 +33,19 @@ NAMES = frozenset("ad ads advert advertisement adsbygoogle banner breadcrumb bre
 REMARKS = frozenset("comment comments comment-list".split())
 #: A subtree is a template if this share of its host's distinct pages has it, and at least so many of them.
 SHARE, LEAST = 0.3, 3
-#: Frames that a page's nesting may take; calls between Python functions use no C stack.
-DEEPEST = 1_000_000
+#: Elements that an open p, li, dt, dd, tr, td, th or option outside them isn't closed from within.
+BOUNDARIES = frozenset("div section article main body ul ol table td".split())
+#: End tags that don't reach out of an article, main or body.
+KEPT_INSIDE = INLINE | frozenset("p li div".split())
 
 
 class _Node:
-    __slots__ = ("tag", "names", "parent", "parts", "skip", "main", "text")
+    __slots__ = ("tag", "names", "parent", "parts", "skip", "main", "hash")
 
     def __init__(self, tag: str, names: frozenset, parent: _Node | None):
         self.tag, self.names, self.parent = tag, names, parent
         self.parts: list = []
+        self.hash = None
         inside = bool(parent and parent.main)
         self.main = inside or tag in MAIN
         remark = tag == "article" and bool(names & (NAMES if inside else REMARKS))
@@ -76,161 +78,206 @@ def _tokens(page: str) -> Iterator[re.Match]:
             return
 
 
+class _Open:
+    """The open elements, outermost first, and where those of each tag stand, so that a tag costs no climb."""
+
+    def __init__(self, root: _Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+        self.bounds: list[int] = [0]
+        self.bodies: list[int] = [0]
+
+    def push(self, node: _Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in BOUNDARIES:
+            self.bounds.append(at)
+        if node.tag in MAIN or node.tag == "body":
+            self.bodies.append(at)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.nodes) > at:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            for places in (self.bounds, self.bodies):
+                if places[-1] == len(self.nodes):
+                    places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        if at > 0 and not (tag in KEPT_INSIDE and self.bodies[-1] > at):
+            self.cut(at)
+
+    def begin(self, tag: str) -> None:
+        """Closes the nearest element that the new one ends, if no boundary lies between; a boundary itself may be ended too."""
+        near = max((self.last(t) for t, enders in CLOSED_BY.items() if tag in enders), default=-1)
+        if near > 0 and near >= self.bounds[-1]:
+            self.cut(near)
+
+
 def parse(page: str | None) -> _Node:
-    """A tree of elements and texts; unclosed elements end where HTML lets them, and a cut page ends all of them."""
-    root = node = _Node("", frozenset(), None)
-    page = page or ""
-    for m in _tokens(page):
+    """A tree of elements and texts; unclosed elements end where HTML lets them, and a cut page ends all of them. Linear in the page."""
+    root = _Node("", frozenset(), None)
+    opened = _Open(root)
+    for m in _tokens(page or ""):
         closing, tag = m.group(1), m.group(2)
         if tag is None:
             piece = m.group()
             if piece[0] != "<" or len(piece) == 1:
-                node.parts.append(piece)
+                opened.nodes[-1].parts.append(piece)
             continue
         tag = tag.lower()
         if closing:
-            up = node
-            while up.parent is not None and up.tag != tag:
-                if up.tag in MAIN | {"body"} and tag in INLINE | {"p", "li", "div"}:
-                    up = root
-                    break
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+            opened.end(tag)
             continue
         if tag in RAW:
             continue
         if tag == "br":
-            node.parts.append(" ")
+            opened.nodes[-1].parts.append(" ")
             continue
         if tag in VOID:
             if tag == "hr":
-                node.parts.append(None)
+                opened.nodes[-1].parts.append(None)
             continue
-        up = node
-        while up.parent is not None and up.tag not in ("div", "section", "article", "main", "body", "ul", "ol", "table", "td"):
-            if tag in CLOSED_BY.get(up.tag, ()):
-                node = up.parent
-                break
-            up = up.parent
-        else:
-            if up.parent is not None and tag in CLOSED_BY.get(up.tag, ()):
-                node = up.parent
+        opened.begin(tag)
         if m.group(3).endswith("/"):
             continue
+        node = opened.nodes[-1]
         child = _Node(tag, _names(m.group(3)), node)
         node.parts.append(child)
-        node = child
+        opened.push(child)
     return root
 
 
-def _digest(node: _Node, out: dict[int, int]) -> str:
-    """Hash of an element's subtree; ``out`` gets that of every block outside the article, and of boxes inside it, by the element's identity."""
-    if node.main:
-        if not node.skip:
-            _boxes(node, out)
-        return "main"
-    parts = [p if isinstance(p, str) else "|" if p is None else _digest(p, out) for p in node.parts]
-    if node.tag in ("", "html", "body", "head"):
-        return node.tag
-    h = xxhash.xxh64_intdigest(f"{node.tag} {' '.join(sorted(node.names))}<{' '.join(' '.join(parts).split())}>".encode("utf-8", "replace"))
-    if node.tag not in INLINE:
-        out[id(node)] = h - (1 << 64) if h >> 63 else h
-    return f"{h:x}"
+def _inside_out(top: _Node, enter) -> list[_Node]:
+    """top and the elements below it that ``enter`` lets in, in reverse page order, so that children come before parents."""
+    out, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo += [p for p in reversed(node.parts) if isinstance(p, _Node) and enter(p)]
+    return out[::-1]
 
 
-def _boxes(top: _Node, out: dict[int, int]) -> None:
-    """Hashes of the boxes in an article: blocks that are no prose (div, section, ul, ...) and hold less than half of its text.
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-    Paragraphs may be quoted and a wrapper may hold the article itself, so neither is ever a template; prose outside boxes isn't hashed."""
-    found: list[tuple[int, int, int]] = []
 
-    def weigh(node: _Node, boxed: bool) -> tuple[str, int]:
-        if node.skip:
-            return "", 0
-        box = node is not top and node.tag not in INLINE and node.tag not in PROSE
-        boxed, parts, size = boxed or box, [], 0
-        for p in node.parts:
-            if isinstance(p, _Node):
-                digest, n = weigh(p, boxed)
-                size += n
-            else:
-                digest = "|" if p is None else p
-                size += len(digest.strip())
-            if boxed:
-                parts.append(digest)
-        if not boxed:
-            return "", size
-        h = xxhash.xxh64_intdigest(f"box {node.tag} {' '.join(sorted(node.names))}<{' '.join(' '.join(parts).split())}>".encode("utf-8", "replace"))
-        if box and size:
-            found.append((id(node), h, size))
-        return f"{h:x}", size
+def _hash(node: _Node, kind: str) -> int:
+    """Hash of an element's subtree from its tag, its names, its texts and its children's hashes."""
+    parts = [p if isinstance(p, str) else "|" if p is None else "" if p.hash is None else f"{p.hash:x}" for p in node.parts]
+    return xxhash.xxh64_intdigest(f"{kind}{node.tag} {' '.join(sorted(node.names))}<{' '.join(' '.join(parts).split())}>".encode("utf-8", "replace"))
 
-    total = weigh(top, False)[1]
-    out.update((k, h - (1 << 64) if h >> 63 else h) for k, h, size in found if 2 * size < total)
 
+def _digest(root: _Node) -> dict[int, int]:
+    """Hashes of every block outside the article, and of boxes inside it, by the element's identity."""
+    out: dict[int, int] = {}
+    for node in _inside_out(root, lambda p: not (p.main and p.parent.main)):
+        if node.main:
+            if not node.skip:
+                out |= _boxes(node)
+            node.hash = 0
+        elif node.tag not in ("", "html", "body", "head"):
+            node.hash = _hash(node, "")
+            if node.tag not in INLINE:
+                out[id(node)] = _signed(node.hash)
+    return out
+
+
+def _boxes(top: _Node) -> dict[int, int]:
+    """Hashes of the boxes in an article: blocks that are no prose (div, section, ul, ...) and hold less than half of its text.
 
-def _tree(page: str | None) -> _Node:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
-    return parse(page)
+    Paragraphs may be quoted and a wrapper may hold the article itself, so neither is ever a template."""
+    size: dict[int, int] = {}
+    found: list[_Node] = []
+    for node in _inside_out(top, lambda p: not p.skip):
+        size[id(node)] = sum(size.get(id(p), 0) if isinstance(p, _Node) else 1 if p is None else len(p.strip()) for p in node.parts)
+        node.hash = _hash(node, "box ")
+        if node is not top and node.tag not in INLINE and node.tag not in PROSE and size[id(node)]:
+            found.append(node)
+    return {id(n): _signed(n.hash) for n in found if 2 * size[id(n)] < size[id(top)]}
 
 
 def subtree_hashes(page: str | None) -> list[int]:
     """The distinct hashes of the page's blocks outside the article and of the boxes inside it."""
-    out: dict[int, int] = {}
-    _digest(_tree(page), out)
-    return sorted(set(out.values()))
+    return sorted(set(_digest(parse(page)).values()))
+
 
+#: A page as read: the text of each block with the place of the innermost hashed element around it (-1: none), and of each hashed element its
+#: hash with the place of the next one around it.
+Page = tuple[list[tuple[str, int]], list[tuple[int, int]]]
 
-def read_page(page: str | None) -> list[tuple[str, list[int]]]:
-    """The text of each block in page order with the hashes of the subtrees that hold it.
 
-    Blocks in furniture (menus, footers, forms, adverts, ...) are left out, as are those outside the article where a page marks one."""
-    root = _tree(page)
-    blocks: list[tuple[str, list[int]]] = []
+def _read(top: _Node, hashes: dict[int, int], page: Page) -> None:
+    """Appends top's blocks and hashed elements in page order."""
+    blocks, elements = page
     line: list[str] = []
-    hashes: dict[int, int] = {}
 
-    def close(chain) -> None:
+    def close(place: int) -> None:
         if line:
             text = " ".join(entities.unescape("".join(line)).split())
             line.clear()
             if text:
-                blocks.append((text, list(chain)))
+                blocks.append((text, place))
 
-    def walk(node: _Node, chain: tuple[int, ...]) -> None:
+    def enter(node: _Node, place: int):
         block = node.tag not in INLINE
         if block:
-            close(chain)
+            close(place)
         if node.skip:
-            return
-        own = hashes.get(id(node))
-        inner = chain if own is None else (*chain, own)
-        for p in node.parts:
+            return None
+        if (own := hashes.get(id(node))) is not None:
+            elements.append((own, place))
+            place = len(elements) - 1
+        return iter(node.parts), place, block
+
+    first = enter(top, -1)
+    stack = [first] if first else []
+    while stack:
+        parts, place, block = stack[-1]
+        for p in parts:
             if p is None:
-                close(inner)
+                close(place)
             elif isinstance(p, str):
                 line.append(p)
             else:
-                walk(p, inner)
-        if block:
-            close(inner)
-
-    def articles(node: _Node) -> Iterator[_Node]:
-        for p in node.parts:
-            if isinstance(p, _Node) and not p.skip:
-                if p.main:
-                    yield p
-                else:
-                    yield from articles(p)
-
-    for top in articles(root):
-        _boxes(top, hashes)
-        walk(top, ())
-    if not blocks:
-        _digest(root, hashes)
-        walk(root, ())
-    return blocks
+                if (inner := enter(p, place)) is not None:
+                    stack.append(inner)
+                break
+        else:
+            stack.pop()
+            if block:
+                close(place)
+    close(-1)
+
+
+def read_page(page: str | None) -> Page:
+    """The blocks of a page that are no furniture (menus, footers, forms, adverts, ...): those of its article, where it marks one, else all."""
+    root = parse(page)
+    hashes = _digest(root)
+    out: Page = ([], [])
+    for node in _inside_out(root, lambda p: not p.skip and not (p.main and p.parent.main))[::-1]:
+        if node.main:
+            _read(node, hashes, out)
+    if not out[0]:
+        out[1].clear()
+        _read(root, hashes, out)
+    return out
+
+
+def text_without(page: Page, gone: set[int]) -> str:
+    """The blocks that no element of these hashes holds, joined by line ends."""
+    blocks, elements = page
+    dead: list[bool] = []
+    for own, outer in elements:  # outer elements come first
+        dead.append(own in gone or (outer >= 0 and dead[outer]))
+    return "\n".join(t for t, place in blocks if place < 0 or not dead[place])
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +321,8 @@ def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
 
     @F.pandas_udf("string")
     def text(blobs: pd.Series, templates: pd.Series) -> pd.Series:
-        def one(blob, gone):
-            gone = set() if gone is None else set(gone)
-            return "\n".join(t for t, chain in json.loads(zlib.decompress(blob)) if not gone.intersection(chain))
-
-        return pd.Series([one(b, g) for b, g in zip(blobs, templates, strict=True)], dtype=object)
+        gone = [set() if g is None else set(g) for g in templates]
+        return pd.Series([text_without(json.loads(zlib.decompress(b)), g) for b, g in zip(blobs, gone, strict=True)], dtype=object)
 
     return out.select("page_id", "url", text("blob", "templates").alias("text"))
 

@@ -3,6 +3,7 @@ clashing columns."""
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -137,8 +138,12 @@ def test_pages_against_a_plain_reading(spark):
 
 
 def test_deep_and_broken_markup():
-    assert html.read_page("<div>" * 30_000 + "deep")[0][0] == "deep"
-    assert [t for t, _ in html.read_page("<p>a<b>b</p><p>c</b></p><script>x<y</script>d<")] == ["ab", "c", "d<"]
+    began = time.perf_counter()
+    for broken in ("<div>" * 100_000, "<b>" * 50_000, "<div></x>" * 50_000, "<p>a<li>b" * 30_000, "<table><tr><td>x" * 20_000, '<div class="q">t' * 30_000):
+        assert html.text_without(html.read_page(broken + "deep"), set()).endswith("deep")
+    assert time.perf_counter() - began < 30
+    assert [t for t, _ in html.read_page("<p>a<b>b</p><p>c</b></p><script>x<y</script>d<")[0]] == ["ab", "c", "d<"]
+    assert [t for t, _ in html.read_page("<article><p>a<p>b</article><div>no</div><article><p>c</article>")[0]] == ["a", "b", "c"]
 
 
 # Decontamination.
@@ -365,6 +370,26 @@ def test_language_spans_scripts_and_odd_rows(spark):
     assert language.identify(d, empty).select("language.lang").distinct().collect()[0][0] == "und"
 
 
+def test_many_languages_and_scripts(spark):
+    """200 languages, each with letters of its own in Han or Latin, and none taken for another."""
+    rng = np.random.default_rng(7)
+    names = [f"l{k:03d}" for k in range(200)]
+    alphabets = [[chr(0x4E00 + 40 * k + j) if k % 2 else chr(0x100 + (k * 7 + j * 5) % 0x140) for j in range(14)] for k in range(200)]
+    text = lambda k: " ".join("".join(rng.choice(alphabets[k], 5)) for _ in range(40))
+    train = spark.createDataFrame([(text(k), names[k]) for k in range(200) for _ in range(3)], "text string, lang string")
+    model = language.fit(train)
+    scorer = language.WordScorer(model)
+    got = language.label_texts([text(k) for k in range(200)], scorer)
+    assert sum(g[0] == n for g, n in zip(got, names, strict=True)) >= 190 and got[199][0] == "l199"
+    assert [g[0] for g in language.label_texts(["½ ² Ⅷ 12", None, "", "_"], scorer)] == ["und"] * 4
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rows = [("the same text again", "en")] * 500 + [(f"other words {chr(97 + k % 26) * 5} number", "en") for k in range(40)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample=20)
+    assert "oth" in model[1]
+
+
 # Mixing.
 
 
