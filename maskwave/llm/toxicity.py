@@ -19,10 +19,11 @@ REPORTING = frozenset("said says quote quoted quotes wrote called calls dit disa
 OPENING, CLOSING = '"“«„‹', '"”»“›'
 #: Words around a term that its context covers; what a term counts for inside a quotation; the least support of a lexicon entry.
 CONTEXT, QUOTED, SUPPORT = 6, 0.35, 5
-#: The most entries of a lexicon (the strongest stay) and the most words of a stem; the model's size, whatever the corpus.
-ENTRIES = 20_000
-#: Labelled rows that the lexicon is learned from at most, those with the smallest hash of the id; scoring covers every text.
+#: Labelled rows that the lexicon is learned from at most, those with the smallest hash of the id; scoring covers every text. They bound the
+#: lexicon: an entry needs ``SUPPORT`` toxic ones of them.
 FIT_ROWS = 20_000
+#: States of the automaton and words that a worker keeps before it begins anew.
+KEPT = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -30,13 +31,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def learn_lexicon(labelled: DataFrame, entries: int = ENTRIES) -> list[tuple[str, float, bool, int]]:
+def learn_lexicon(labelled: DataFrame) -> list[tuple[str, float, bool, int]]:
     """(entry, weight, whether it is a stem, most edits) from text and toxic, by one count over all rows.
 
     An entry is a word that occurs in ``SUPPORT`` toxic texts or more and hardly in clean ones, or a stem of four or more letters
     with three or more such words and no clean one to speak of. Its weight is its share of toxic texts, shrunk by its support. A
     second pass over the counted words finds those within one and two edits of an entry: misspellings are allowed only as far as
-    clean words don't live there. Rows with a null label don't count; without toxic rows the lexicon is empty.
+    clean words don't live there. No entry is left out: their number is bounded by that of the rows given. Rows with a null label or text
+    don't count; repeated rows count as often; without toxic rows the lexicon is empty.
     """
 
     @F.pandas_udf("array<string>")
@@ -50,7 +52,7 @@ def learn_lexicon(labelled: DataFrame, entries: int = ENTRIES) -> list[tuple[str
     strong = (F.col("bad") >= SUPPORT) & (F.col("bad") / (F.col("bad") + 3 * F.col("good") + 1) >= 0.8)
     pure = (F.col("bad") >= 4 * SUPPORT) & (F.col("kinds") >= 3) & (F.col("good") * 50 <= F.col("bad"))
     both = per.where(strong).select("word", "bad", "good", F.lit(False).alias("stem")).unionByName(stems.where(pure).select("word", "bad", "good", F.lit(True).alias("stem")))
-    best = both.orderBy(F.desc("bad"), "word", "stem").limit(entries).collect()  # bounded by the model's size
+    best = both.collect()  # bounded by the rows that are learned from
     weight = lambda r: r["bad"] / (r["bad"] + r["good"] + 4)
     wide = tuple(sorted((r["word"], weight(r), r["stem"], 0 if r["stem"] else _edits(r["word"])) for r in best))
 
@@ -97,12 +99,15 @@ class LexiconMatcher:
             while node >= 0:
                 self.longest[node] = max(self.longest[node], limit)
                 node = self.parent[node]
-        self.start = self._closed({(0, 0)})
-        self.moves: dict[tuple[int, str], int] = {}
-        self.states: list[frozenset] = [self.start]
-        self.number = {self.start: 0}
-        self.result: list[tuple[float, int, str] | None] = [self._result(self.start)]
         self.known: dict[str, tuple[float, int, str] | None] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        start = self._closed({(0, 0)})
+        self.moves: dict[tuple[int, str], int] = {}
+        self.states: list[frozenset] = [start]
+        self.number = {start: 0}
+        self.result: list[tuple[float, int, str] | None] = [self._result(start)]
 
     def _closed(self, state: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         todo, best = list(state), {}
@@ -141,8 +146,10 @@ class LexiconMatcher:
     def match(self, word: str) -> tuple[float, int, str] | None:
         if word in self.known:
             return self.known[word]
-        if len(self.known) > 100_000:
+        if len(self.known) > KEPT:
             self.known.clear()
+        if len(self.moves) > KEPT:
+            self._begin()
         at, node, stem = 0, 0, None
         for c in word:
             if node is not None:
@@ -195,18 +202,19 @@ def score_text(text: str | None, matcher: LexiconMatcher, prior: float = 0.02) -
 def toxicity(df: DataFrame, lexicon: list[tuple[str, float, bool, int]], text: str = "text") -> DataFrame:
     """Adds toxic_score (0 to 1), toxic_terms and quoted_terms for each whole text; columns of those names are replaced.
 
-    Null and empty texts, and texts in which no term occurs, get the same low score; an empty lexicon gives it to all. The lexicon
-    goes to the tasks as a constant of at most ``ENTRIES`` entries.
+    Null and empty texts, and texts in which no term occurs, get the same low score; an empty lexicon gives it to all; repeated rows get
+    the same; an empty table gives an empty result. The lexicon goes to the tasks as a constant.
     """
     fixed = tuple(lexicon)
+    held = "toxicity" + "_" * max(map(len, df.columns), default=0)  # no column of df
 
     @F.pandas_udf("struct<toxic_score:double,toxic_terms:int,quoted_terms:int>")
     def score(texts: pd.Series) -> pd.DataFrame:
         matcher = _matcher(fixed)
         return pd.DataFrame([score_text(t, matcher) for t in texts], columns=["toxic_score", "toxic_terms", "quoted_terms"])
 
-    out = df.withColumn("_toxicity", score(F.col(text).cast("string")))
-    return out.withColumns({n: F.col(f"_toxicity.{n}") for n in ("toxic_score", "toxic_terms", "quoted_terms")}).drop("_toxicity")
+    out = df.withColumn(held, score(F.col(text).cast("string")))
+    return out.withColumns({n: F.col(f"{held}.{n}") for n in ("toxic_score", "toxic_terms", "quoted_terms")}).drop(held)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
