@@ -20,7 +20,23 @@ PARTS = "array<struct<mime:string,start:long,length:long,payload_start:long,payl
 Found = tuple[int, int, int] | None  # length, payload start, payload length; offsets from the medium's first byte
 
 
-def _wav(b: memoryview) -> Found:
+class _Value:
+    """A value's bytes, with the last answer of each search kept, so that many media in one value don't search its rest anew."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.seen: dict[bytes, tuple[int, int]] = {}
+
+    def find(self, what: bytes, start: int) -> int:
+        """First place of ``what`` at or after ``start``, or -1."""
+        asked, at = self.seen.get(what, (0, -2))
+        if at == -2 or asked > start or 0 <= at < start:
+            at = self.data.find(what, start)
+            self.seen[what] = (start, at)
+        return at
+
+
+def _wav(b: memoryview, value: _Value, start: int) -> Found:
     if len(b) < 44 or bytes(b[8:12]) != b"WAVE":
         return None
     length, at = struct.unpack_from("<I", b, 4)[0] + 8, 12
@@ -40,7 +56,7 @@ def _wav(b: memoryview) -> Found:
     return None
 
 
-def _png(b: memoryview) -> Found:
+def _png(b: memoryview, value: _Value, start: int) -> Found:
     at, first = 8, None
     while at + 12 <= len(b):
         size, name = struct.unpack_from(">I", b, at)[0], bytes(b[at + 4 : at + 8])
@@ -56,7 +72,7 @@ def _png(b: memoryview) -> Found:
     return None
 
 
-def _gif(b: memoryview) -> Found:
+def _gif(b: memoryview, value: _Value, start: int) -> Found:
     if len(b) < 14:
         return None
     at = 13 + (3 << (b[10] & 7) + 1 if b[10] & 0x80 else 0)
@@ -76,7 +92,7 @@ def _gif(b: memoryview) -> Found:
     return None
 
 
-def _jpeg(b: memoryview) -> Found:
+def _jpeg(b: memoryview, value: _Value, start: int) -> Found:
     at = 2
     while at + 4 <= len(b) and b[at] == 0xFF:
         kind, size = b[at + 1], struct.unpack_from(">H", b, at + 2)[0]
@@ -84,19 +100,19 @@ def _jpeg(b: memoryview) -> Found:
             return None
         at += 2 + size
         if kind == 0xDA:
-            end = bytes(b[at:]).find(b"\xff\xd9")
-            return (at + end + 2, at, end) if end >= 0 else None
+            end = value.find(b"\xff\xd9", start + at) - start
+            return (end + 2, at, end - at) if end >= at else None
     return None
 
 
-def _bmp(b: memoryview) -> Found:
+def _bmp(b: memoryview, value: _Value, start: int) -> Found:
     if len(b) < 30:
         return None
     size, spare, body, head = struct.unpack_from("<IIII", b, 2)
     return (size, body, size - body) if not spare and head in (12, 40, 108, 124) and 26 <= body < size <= len(b) else None
 
 
-def _gzip(b: memoryview) -> Found:
+def _gzip(b: memoryview, value: _Value, start: int) -> Found:
     if len(b) < 18 or b[2] != 8 or b[3] & 0xE0:
         return None
     d = zlib.decompressobj(31)
@@ -108,25 +124,30 @@ def _gzip(b: memoryview) -> Found:
     return (length, 10, length - 18) if d.eof else None
 
 
-def _zip(b: memoryview) -> Found:
+def _zip(b: memoryview, value: _Value, start: int) -> Found:
+    """Up to the first end record whose directory lies where it says; those of archives inside this one don't."""
     if len(b) < 30 or struct.unpack_from("<H", b, 4)[0] > 63:
         return None
-    raw = bytes(b)
-    end = raw.find(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, at, note = struct.unpack_from("<IIH", b, end + 12)
-    ok = at + size == end and raw[at : at + 4] == b"PK\x01\x02" and end + 22 + note <= len(b)
-    return (end + 22 + note, 0, at) if ok else None
+    end = value.find(b"PK\x05\x06", start)
+    while 0 <= end and end - start + 22 <= len(b):
+        size, at, note = struct.unpack_from("<IIH", b, end - start + 12)
+        if at + size == end - start and bytes(b[at : at + 4]) == b"PK\x01\x02" and end - start + 22 + note <= len(b):
+            return end - start + 22 + note, 0, at
+        end = value.data.find(b"PK\x05\x06", end + 4)
+    return None
 
 
-def _pdf(b: memoryview) -> Found:
-    end = bytes(b).find(b"%%EOF")
-    return (end + 5, 8, end - 8) if end > 8 and b[5] in b"12" and b[6:7] == b"." else None
+def _pdf(b: memoryview, value: _Value, start: int) -> Found:
+    """Up to its last end mark before the next document: updates append marks."""
+    if len(b) < 9 or b[5] not in b"12" or b[6] != 0x2E:
+        return None
+    after = value.find(b"%PDF-", start + 5)
+    end = value.data.rfind(b"%%EOF", start, after if after >= 0 else len(value.data)) - start
+    return (end + 5, 8, end - 8) if end > 8 else None
 
 
 # Magic bytes, type; beside each, the check of its structure and length.
-FORMATS: tuple[tuple[bytes, str, Callable[[memoryview], Found]], ...] = (
+FORMATS: tuple[tuple[bytes, str, Callable[[memoryview, _Value, int], Found]], ...] = (
     (b"RIFF", "audio/wav", _wav),
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
@@ -152,10 +173,10 @@ def parts_of(value: bytes | None) -> list[tuple[str, int, int, int, int]]:
     """Every valid medium in the bytes, by start; media inside media are listed too."""
     if not value:
         return []
-    view, out = memoryview(value), []
+    view, held, out = memoryview(value), _Value(bytes(value)), []
     for last, (k, length) in _magics().iter(str(value, "latin-1")):
         start = last - length + 1
-        if found := FORMATS[k][2](view[start:]):
+        if found := FORMATS[k][2](view[start:], held, start):
             out.append((FORMATS[k][1], start, found[0], start + found[1], found[2]))
     return sorted(out, key=lambda x: (x[1], -x[2]))
 
@@ -164,7 +185,8 @@ def sniff(df: DataFrame, media: str = "media", declared: str | None = None) -> D
     """Adds ``parts`` (each valid medium in the column, carved or whole), ``mime`` (the type of the medium that the value
     starts with, else the declared type, else application/octet-stream) and ``type_corrected`` (that differs from the declared).
 
-    Null and empty values have no parts; a truncated or damaged medium is none. Columns of those names are replaced.
+    Null and empty values have no parts; a truncated or damaged medium is none; repeated rows get the same; an empty table gives an empty
+    result. Columns of those names are replaced.
     """
 
     @F.pandas_udf(PARTS)
@@ -180,7 +202,8 @@ def sniff(df: DataFrame, media: str = "media", declared: str | None = None) -> D
 
 
 def carve(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row for each embedded medium of a sniffed frame: its type, start and bytes, beside the frame's other columns."""
+    """One row for each embedded medium of a sniffed frame: part (its type, start, length, ...) and carved (its bytes), beside the frame's other
+    columns; columns of those two names are replaced. Rows without media have none; repeated rows give theirs as often."""
     out = df.withColumn("part", F.explode("parts")).drop("parts")
     return out.withColumn("carved", F.substring(F.col(media), F.col("part.start").cast("int") + 1, F.col("part.length").cast("int")))
 
