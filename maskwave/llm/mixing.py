@@ -21,11 +21,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
     ``sizes`` has source and size. Targets share ``share`` of all sizes by weight; one above ``most`` times its source's size stops
     there and its excess goes to the others by weight, until none is above. Each round is one aggregate over the table of sources;
-    only three sums come to the driver. Numbering the sources needs one order over them: the table of sources, not of documents.
+    only three sums come to the driver. Sources are numbered by ranges: each part by itself, after the counts of the parts before it.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1))
+    ranged = written(per.orderBy(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}  # one number a part
+    before = {p: sum(n for q, n in counts.items() if q < p) for p in counts}
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("part")) if before else F.lit(0)
+    place = (offset + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
+    per = ranged.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))).drop("part")
     per = written(per, "sources")
     total = per.agg(F.sum("source_size")).first()[0] or 0
     rate, full = 0.0, -1
@@ -85,18 +89,23 @@ def mix(df: DataFrame, seed: int = 7, leaf: int = LEAF, weights=WEIGHTS, share:
     document; the open ones meet in groups again, until a source has one, which is rounded to the nearer side. Sums of taken words
     thus differ from the target by less than half of one document, and coins are hashes, so reruns agree.
 
-    Null and empty texts have size 0 and take nothing. Rows that repeat (same id, source and size) are rounded as one unit and take
-    the same; null ids are units by their size. Extra columns are ignored. An empty table gives an empty result.
+    Null and empty texts have size 0 and take nothing. A document is an id, a text and a source, so rows without an id, or of one id, are
+    rounded each by its own text; rows that repeat one share what it takes, and differ by a copy at most. Extra columns are ignored. An
+    empty table gives an empty result.
     """
     words = F.size(spark_words(F.col("text"))).cast("long")
-    docs = written(df.select("doc_id", "source", words.alias("size")), "sizes")  # the texts are read once
+    docs = written(df.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("own")), "sizes")  # the texts are read once
     targets = source_targets(docs, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     docs = docs.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")), "left").withColumn("rate", rate)
-    unit = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    unit = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("own").cast("string"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     whole = F.floor(F.col("rate") + 1e-12)
     docs = docs.withColumns({"unit": unit, "whole": whole, "part": F.greatest(F.col("rate") - whole, F.lit(0.0))})
-    units = docs.where((F.col("size") > 0) & (F.col("part") > 1e-12)).groupBy("unit").agg(F.first("source").alias("source"), (F.first("size") * F.count("*")).alias("size"), (F.first("size") * F.count("*") * F.first("part")).alias("mass"))
+    # Of rows that repeat a document, as many as their chances add up to are taken for certain, and the rest of the sum is one open unit.
+    sums = docs.where((F.col("size") > 0) & (F.col("part") > 1e-12)).groupBy("unit").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.first("part").alias("part"), F.count("*").alias("rows"))
+    sums = written(sums.withColumn("sure", F.floor(F.col("rows") * F.col("part") + 1e-12)), "units")
+    left = F.greatest(F.col("rows") * F.col("part") - F.col("sure"), F.lit(0.0))
+    units = sums.select("unit", "source", "size", (F.col("size") * left).alias("mass"))
     schema = "unit string, source string, size long, mass double, leaf long"
     level, settled = 0, None
     counted = units.groupBy("source").agg(F.count("*").alias("n"))
@@ -117,7 +126,14 @@ def mix(df: DataFrame, seed: int = 7, leaf: int = LEAF, weights=WEIGHTS, share:
         open_, widest, level = done.where(is_open), 0 if groups == 1 else groups, level + 1
     if settled is None:
         settled = units.select("unit", F.lit(0).alias("bit")).limit(0)
-    out = docs.join(settled, "unit", "left").withColumn("copies", (F.col("whole") + F.coalesce("bit", F.lit(0))).cast("long"))
+    extra = written(sums.join(settled, "unit", "left").select("unit", "rows", (F.col("sure") + F.coalesce("bit", F.lit(0))).alias("extra")), "extra")
+    given = docs.join(extra, "unit", "left")
+    alone = given.where("rows is null or rows = 1").withColumn("bit", F.coalesce("extra", F.lit(0)))
+    out = alone
+    if not extra.where("rows > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("unit").orderBy("size"))  # the rows are equal, so any of them may be the first
+        out = alone.unionByName(given.where("rows > 1").withColumn("bit", (nth <= F.col("extra")).cast("long")))
+    out = out.withColumn("copies", (F.col("whole") + F.col("bit")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -203,6 +203,29 @@ def test_media_odd_texts_and_carving(spark):
     assert bytes(media.carve(got).where("part.start > 0").first()["carved"]) == packed
 
 
+def test_many_magics_and_media_in_media(spark):
+    import io
+    import zipfile
+
+    began = time.perf_counter()
+    assert media.parts_of(b"%PDF-" * 100_000) == [] and media.parts_of(b"PK\x03\x04\x14" * 100_000) == []
+    assert media.parts_of(b"\xff\xd8\xff\xda\x00\x02" * 50_000) == []
+    assert time.perf_counter() - began < 10
+    inner, outer = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("a.txt", "inner text")
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("in.zip", inner.getvalue())
+    whole = outer.getvalue()
+    assert media.parts_of(whole + b"tail")[0][:3] == ("application/zip", 0, len(whole)) and len(media.parts_of(whole)) == 2
+    pdf = b"%PDF-1.4 first %%EOF update %%EOF"
+    assert media.parts_of(pdf + b" between " + pdf)[0][:3] == ("application/pdf", 0, len(pdf))
+    empty = spark.createDataFrame([], "media binary")
+    assert media.sniff(empty).count() == 0
+    twice = media.sniff(spark.createDataFrame([(bytearray(pdf),)] * 2, "media binary"))
+    assert media.carve(twice.withColumn("part", F.lit(1))).count() == 2
+
+
 # Toxicity.
 
 
@@ -254,6 +277,37 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(d.withColumn("toxic_score", F.lit("x")), []).where("toxic_score < 0.5").count() == 3
 
 
+def test_toxicity_of_odd_tables(spark):
+    d = docs(spark, (1, "you worthles idiot " + "calm words here " * 30_000), (1, "you idiot"), (1, "you idiot")).withColumn("_toxicity", F.lit("kept"))
+    got = toxicity.toxicity(d, [("worthless", 0.9, False, 2), ("idiot", 0.9, False, 0)])
+    rows = [(r["toxic_terms"], r["_toxicity"]) for r in got.collect()]
+    assert sorted(rows) == [(1, "kept"), (1, "kept"), (2, "kept")]
+    assert toxicity.toxicity(d.limit(0), []).count() == 0
+
+
+def test_score_is_that_of_a_plain_reading(spark):
+    """The query's score from every entry's edit distance to every word, and the fold's rows alone."""
+    rng = np.random.default_rng(9)
+    calm = [f"calm{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    rows = []
+    for k in range(400):
+        toxic = k % 4 == 0
+        words = [str(w) for w in rng.choice(calm, 12)] + ([str(rng.choice(["worthless", "stupidity", "dimwit"]))] if toxic else [])
+        rows.append((k, " ".join(words), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn_lexicon(toxicity.labelled(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")))
+    fold = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    plain = {w: sum(y for t, y in fold if w in t.split()) for w in ("worthless", "stupidity", "dimwit")}
+    assert {w: round(v, 9) for w, v, stem, _ in lexicon if not stem} == {w: round(n / (n + 4), 9) for w, n in plain.items()}
+    scored = {r["doc_id"]: r["toxic_score"] for r in toxicity.toxicity(frame.select("doc_id", "text"), lexicon).collect()}
+    for i, t, _ in rows:
+        clean = 0.98
+        for w in t.split():
+            if w in plain:
+                clean *= 1 - plain[w] / (plain[w] + 4)
+        assert np.isclose(scored[i], 1 - clean)
+
+
 # URLs.
 
 
@@ -268,11 +322,20 @@ def test_urls_are_brute_force(spark):
         host, path = (m[1].lower(), m[2]) if m else ("", "")
         fit = [x for x in urls.RULES if (host == x[1] or host.endswith("." + x[1])) and path.startswith(x[2])]
         best = max(fit, key=lambda x: len(x[1] + x[2]), default=None)
-        own = any(host == h or host.endswith("." + h) for h in urls.BAD_HOSTS)
+        own = bool(set(re.split("[.-]", host)) & set(urls.BAD_WORDS))
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best and best[1] + best[2], best[0] if best else "block" if own else "allow")
     assert urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.rules_frame(spark).limit(0)).where("verdict = 'allow'").count() == len(rows)
 
 
+def test_long_rules_and_hosts_of_many_labels(spark):
+    path = "/" + "p" * 10_000
+    rules = spark.createDataFrame([("block", "a.com", path, False), ("allow", "b.a.com", "/", False)], "verdict string, host string, path string, own boolean")
+    rows = [(1, f"http://x.a.com{path}/more"), (2, "http://a.com/p"), (3, "http://" + "l." * 20_000 + "b.a.com/q"), (4, f"http://b.a.com{path}")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("a.com" + path, "block"), 2: (None, "allow"), 3: ("b.a.com/", "allow"), 4: ("b.a.com/", "allow")}
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
 def test_urls_use_no_python(spark):
     plan = queries.QUERIES["op7_urls"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -425,6 +488,19 @@ def test_mix_meets_targets(spark, leaf):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_equal_rows_are_rounded_one_by_one(spark):
+    rows = [(None, "the same five words here", None, "s", None)] * 101 + [(k, "a b c", None, "t", None) for k in range(400)]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 5 and g["copies"].max() - g["copies"].min() <= 1
+    got = queries.QUERIES["op10_mix"](spark, DATA).toPandas()
+    text = spark.read.parquet(f"{DATA}/documents.parquet").toPandas().set_index("doc_id")
+    size = text["text"].map(lambda t: len((t or "").encode().split()))
+    assert (got.set_index("doc_id")["size"] == size).all() and (got["taken"] == got["copies"] * got["size"]).all()
+    for _, g in got.groupby(got["doc_id"].map(text["source"])):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= size.max() and g["source_size"].iloc[0] == g["size"].sum()
+
+
 def test_rounding_keeps_expectations():
     import pandas as pd
 
