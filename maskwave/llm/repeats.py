@@ -59,26 +59,36 @@ def candidates(n_words: int, shared: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edge)[: n_words - WINDOW + 1] > 0)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Extends shared anchors to whole windows: 128 bits of each, from two independent hashes of its words, with its place."""
-    for batch in batches:
-        out = []
-        for key, tie, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = words_of(text)
-            at = candidates(len(words), np.array(shared, np.int64))
-            if len(at):
-                one, two = word_hashes_128(words)
-                out.append((rolling(one, WINDOW, FIRST)[at], rolling(two, WINDOW, SECOND)[at], np.full(len(at), key, np.int64), np.full(len(at), tie, np.int64), at))
-            if sum(len(x[0]) for x in out[-64:]) > 100_000:
-                yield _window_rows(out)
-                out = []
-        if out:
-            yield _window_rows(out)
-
-
-def _window_rows(parts) -> pa.RecordBatch:
-    h1, h2, key, tie, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.record_batch([_long(h1), _long(h2), pa.array(key), pa.array(tie), pa.array(at.astype(np.int32))], ["h1", "h2", "key", "tie", "at"])
+#: Bits of a place inside a text, where a document's number and it fit one long.
+AT_BITS = 24
+
+
+def _windows(packed: bool):
+    """Extends shared anchors to whole windows: 128 bits of each, from two independent hashes of its words, with its place: the document's
+    number and the position, packed into one long or beside each other."""
+
+    def made(parts) -> pa.RecordBatch:
+        h1, h2, key, tie, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if packed:
+            return pa.record_batch([_long(h1), _long(h2), pa.array(key << AT_BITS | at)], ["h1", "h2", "place"])
+        return pa.record_batch([_long(h1), _long(h2), pa.array(key), pa.array(tie), pa.array(at)], ["h1", "h2", "key", "tie", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, tie, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
+                at = candidates(len(words), np.array(shared, np.int64))
+                if len(at):
+                    one, two = word_hashes_128(words)
+                    out.append((rolling(one, WINDOW, FIRST)[at], rolling(two, WINDOW, SECOND)[at], np.full(len(at), key, np.int64), np.full(len(at), tie, np.int64), at))
+                if sum(len(x[0]) for x in out[-64:]) > 100_000:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
+
+    return run
 
 
 def keep_mask(n_words: int, shared, firsts) -> np.ndarray:
@@ -121,17 +131,24 @@ def remove_repeats(df: DataFrame) -> DataFrame:
     """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumns({"key": doc_key(F.col("doc_id")), "hash": F.xxhash64("text")})
-    # Where every id has one text, ids alone order the documents, and the second part of the order is a zero that costs nothing.
-    known = docs.where("doc_id is not null").groupBy("key").agg((F.min("hash") != F.max("hash")).alias("many"))
-    alone = known.where("many").isEmpty()
-    tie = F.when(F.col("doc_id").isNull(), F.col("hash")).otherwise(F.lit(0).cast("long") if alone else F.col("hash"))
-    docs = docs.withColumn("tie", tie).withColumn("row", F.xxhash64("key", "tie")).drop("hash")
+    # Where every row has an id and every id one text, the ids alone order the documents, and place in text and id fit one long.
+    known = docs.groupBy("key").agg((F.min("hash") != F.max("hash")).alias("many"), F.max(F.octet_length("text")).alias("most"))
+    many, low, high, most = known.agg(F.max("many"), F.min("key"), F.max("key"), F.max("most")).first()
+    packed = not many and low is not None and low >= 0 and high < 1 << (62 - AT_BITS) and (most or 0) < 1 << (AT_BITS + 1)
+    tie = F.when(F.col("doc_id").isNull() | F.lit(bool(many)), F.col("hash")).otherwise(F.lit(0).cast("long"))
+    docs = docs.withColumn("tie", F.lit(0).cast("long") if packed else tie)
+    docs = docs.withColumn("row", F.col("key") if packed else F.xxhash64("key", "tie")).drop("hash")
     anchors = docs.select("row", "text").mapInArrow(_anchors, "h long, row long, at int")
     places = written(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "places")
     met = spread_join(anchors, places.select("h"), "h", hot_keys(places, "h"), F.struct("row", "at"))
     shared = written(met.groupBy("row").agg(F.collect_list("at").alias("shared")), "anchors")
-    windows = docs.select("row", "key", "tie", "text").join(shared, "row").select("key", "tie", "text", "shared").mapInArrow(_windows, "h1 long, h2 long, key long, tie long, at int")
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "tie", "at")).alias("first")).select(F.xxhash64("first.key", "first.tie").alias("row"), "first.at")
+    ready = docs.select("row", "key", "tie", "text").join(shared, "row").select("key", "tie", "text", "shared")
+    if packed:
+        windows = ready.mapInArrow(_windows(True), "h1 long, h2 long, place long")
+        first = windows.groupBy("h1", "h2").agg(F.min("place").alias("place")).select(F.shiftright("place", AT_BITS).alias("row"), F.col("place").bitwiseAND((1 << AT_BITS) - 1).alias("at"))
+    else:
+        windows = ready.mapInArrow(_windows(False), "h1 long, h2 long, key long, tie long, at long")
+        first = windows.groupBy("h1", "h2").agg(F.min(F.struct("key", "tie", "at")).alias("first")).select(F.xxhash64("first.key", "first.tie").alias("row"), "first.at")
     marks = written(shared.join(first.groupBy("row").agg(F.collect_list("at").alias("firsts")), "row", "left"), "windows")
     return docs.join(marks, "row", "left").select("doc_id", "text", "shared", "firsts").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
 

@@ -510,3 +510,11 @@ def test_rounding_keeps_expectations():
     runs = np.mean([(mixing._pivot(g, seed).sort_values("unit")["mass"] / mixing._pivot(g, seed).sort_values("unit")["size"]).to_numpy() for seed in range(400)], axis=0)
     assert np.abs(runs - (g.assign(p=p).sort_values("unit")["p"]).to_numpy()).max() < 0.12
     assert np.isclose(mixing._pivot(g, 1)["mass"].sum(), (p * sizes).sum())
+
+
+def test_repeats_of_plain_ids_are_brute_force(spark):
+    """Ids that order the documents by themselves."""
+    rng = np.random.default_rng(12)
+    shared = [f"s{k}" for k in range(50)]
+    rows = [(int(i), " ".join([*(f"w{k}" for k in rng.integers(0, 5000, 25)), *shared[int(rng.integers(0, 9)) : int(rng.integers(25, 50))]])) for i in rng.choice(1 << 30, 40, replace=False)]
+    assert sorted([tuple(r) for r in repeats.remove_repeats(docs(spark, *rows)).collect()], key=str) == brute_repeats(rows)
