@@ -122,3 +122,15 @@ def energy_ratio(components: DataFrame, by: list[str], artefact: str = "a", sign
     """Frobenius norm of the artefact over that of the signal on observed cells."""
     on = components.where("m")
     return on.groupBy(*by).agg((F.sqrt(F.sum(F.col(artefact) ** 2)) / (F.sqrt(F.sum(F.col(signal) ** 2)) + 1e-8)).alias("ratio"), F.count("*").alias("n_obs"))
+
+
+def colour_range(df: DataFrame, by: list[str], value: str, low: float = 0.01, high: float = 0.99, pad: float = 0.05) -> DataFrame:
+    """Two outer quantiles of each group, apart by ``pad`` of their distance on both sides."""
+    out = df.groupBy(*by).agg(F.percentile(F.col(value), F.array(F.lit(low), F.lit(high))).alias("q"))
+    wide = pad * (F.col("q")[1] - F.col("q")[0])
+    return out.select(*by, (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
+
+
+def deviates(multiplier: Column, tolerance: float = 0.05) -> Column:
+    """Whether a cycle's multiplier is further from 1 than the tolerance."""
+    return F.abs(multiplier - 1) > tolerance

@@ -73,7 +73,8 @@ def decompose(cells: DataFrame, protocol: Protocol, config: RpcaConfig = RpcaCon
                 parts = [K.lowpass_runs(row, on, fs, bpm / 60 + extra) for row, on in zip(x, m, strict=True)]
                 x, high = np.array([p[0] for p in parts]), np.nan_to_num(np.array([p[1] for p in parts]))
         mu, sd = _matrix(g, "mu"), _matrix(g, "sd")
-        s, a, info = K.masked_rpca((x - mu) / sd, m, **knobs)
+        own = {k: float(g[k].iloc[0]) for k in ("lam", "gamma") if k in g}  # levels of a grid
+        s, a, info = K.masked_rpca((x - mu) / sd, m, **(knobs | own))
         g["s"], g["a"], g["h"] = (s * sd + np.nan_to_num(mu)).ravel(), (a * sd).ravel(), high.ravel()
         g["iterations"], g["converged"], g["residual"] = info["iterations"], info["converged"], info["residual"]
         return g[[c.split()[0] for c in COMPONENTS.split(", ")]]
@@ -116,10 +117,16 @@ def group_rpca_trace(cells: DataFrame, protocol: Protocol, lam: float = 1e-2, mu
         g = g.sort_values(["joint_locus", "t_idx"], kind="stable").reset_index(drop=True)
         loci = g["joint_locus"].nunique()
         x = g["x"].to_numpy(float).reshape(loci, len(g) // loci)
-        if lowpass_extra is not None and np.isfinite(x).all():
-            rates = [K.heartbeat(x[rows].mean(axis=0), fs)[0] for rows in ([*range(loci)],)]
+        if lowpass_extra is not None:
+            # A heartbeat of each segment from its mean over observed loci, and their mean for the group.
+            label = g["segment_label"].to_numpy().reshape(x.shape)[:, 0]
+            seen = np.where(g["m"].to_numpy(bool).reshape(x.shape), x, np.nan)
+            with np.errstate(invalid="ignore"):
+                means = [np.nansum(seen[label == k], axis=0) / np.isfinite(seen[label == k]).sum(axis=0) for k in sorted(set(label))]
+            rates = np.array([K.heartbeat(y, fs)[0] for y in means])
             if np.isfinite(rates).any():
-                x = K.lowpass(x, fs, np.nanmean(rates) / 60 + lowpass_extra)
+                cutoff = float(np.nanmean(rates)) / 60 + lowpass_extra
+                x = np.array([K.lowpass_runs(row, np.isfinite(row), fs, cutoff)[0] for row in x])
         mean = np.nanmean(x, axis=1, keepdims=True) if np.isfinite(x).any() else np.zeros((loci, 1))
         sd = np.nanstd(x, axis=1, keepdims=True)
         sd = np.where((sd > 0) & np.isfinite(sd), sd, 1.0)
@@ -146,14 +153,48 @@ def heartbeats(traces: DataFrame, fs: float, low: float = 0.5, high: float = 2.0
 
 
 def lowpass_cells(cells: DataFrame, fs: float, cutoff: float) -> DataFrame:
-    """Low-passed and remaining part of every locus, run by run."""
+    """Low-passed and remaining part of every locus, run by run; a task's group is a segment."""
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t_idx")
-        g["low"], g["rest"] = K.lowpass_runs(g["x"].to_numpy(float), g["m"].to_numpy(bool), fs, cutoff)
+        g = g.sort_values(["locus", "t_idx"]).reset_index(drop=True)
+        parts = [K.lowpass_runs(p["x"].to_numpy(float), p["m"].to_numpy(bool), fs, cutoff) for _, p in g.groupby("locus", sort=True)]
+        g["low"], g["rest"] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         return g[[*KEY, "t_idx", "locus", "low", "rest"]]
 
-    return cells.groupBy(*KEY, "locus").applyInPandas(one, "subject_id string, visit_id string, segment_label string, t_idx int, locus int, low double, rest double")
+    return cells.groupBy(*KEY).applyInPandas(one, "subject_id string, visit_id string, segment_label string, t_idx int, locus int, low double, rest double")
+
+
+def cardiac_band(cells: DataFrame, protocol: Protocol, source: str = "protocol_global", width: float = 1.0, floor: float = 0.3) -> DataFrame:
+    """cardiac and noise of every cell: the band around the segment's heartbeat in its baseline (a difference of two low-passes, the lower
+    one not under ``floor`` Hz), and, in the baseline, what is left of the cell beside its locus's median and that band.
+
+    Without a heartbeat the band is zero where a cell is observed. Outside the baseline noise is NULL."""
+    ref, fs = protocol.reference(source), protocol.fs
+
+    def split(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["locus", "t_idx"], kind="stable").reset_index(drop=True)
+        x, m = _matrix(g, "x"), _matrix(g, "m") > 0
+        there = m & np.isfinite(x)
+        t = _matrix(g, "t")[0]
+        rest = (t >= ref.start) & (t < ref.end)
+        seen = np.where(there, x, np.nan)
+        with np.errstate(invalid="ignore"):
+            bpm = K.heartbeat(np.nansum(seen[:, rest], axis=0) / there[:, rest].sum(axis=0), fs)[0]
+        if np.isfinite(bpm):
+            low, high = (np.array([K.lowpass_runs(row, on, fs, c)[0] for row, on in zip(x, there, strict=True)]) for c in (max(floor, bpm / 60 - width / 2), bpm / 60 + width / 2))
+            band = high - low
+        else:
+            band = np.where(there, 0.0, np.nan)
+        noise = np.full(x.shape, np.nan)
+        for k in range(len(x)):
+            inside = seen[k, rest]
+            if np.isfinite(inside).any():
+                noise[k, rest] = inside - np.nanmedian(inside) - band[k, rest]
+        g["cardiac"], g["noise"] = band.ravel(), noise.ravel()
+        return g[[*KEY, "t_idx", "locus", "cardiac", "noise"]]
+
+    out = cells.groupBy(*KEY).applyInPandas(split, "subject_id string, visit_id string, segment_label string, t_idx int, locus int, cardiac double, noise double")
+    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in ("cardiac", "noise")})
 
 
 def notched_average(traces: DataFrame, fs: float, half: float = 0.2) -> DataFrame:
@@ -171,13 +212,33 @@ def notched_average(traces: DataFrame, fs: float, half: float = 0.2) -> DataFram
 
 
 def effective_rank(matrix: DataFrame, by: list[str], row: str, column: str, value: str) -> DataFrame:
-    """Variance shares of the first two components of each group's matrix: its complete rows, centred by column."""
+    """Variance shares of the first two components of each group's matrix: its complete rows, centred by column.
+
+    Tasks add up products of columns; what meets in one place is a square of the columns for each task and group, not the rows."""
     types = dict(matrix.dtypes)
+    kinds = ", ".join(f"{k} {types[k]}" for k in by)
+    width = matrix.groupBy(*by).agg(F.count_distinct(column).alias("width"))
+    there = F.count_if(F.col(value).isNotNull() & ~F.isnan(value))
+    vectors = matrix.groupBy(*by, row).agg(F.array_sort(F.collect_list(F.struct(column, value))).alias("v"), there.alias("there")).join(width, by)
+    vectors = vectors.select(*by, "width", F.when(F.col("there") == F.col("width"), F.transform("v", lambda x: x[value].cast("double"))).alias("v"))
+
+    def add(batches):
+        sums: dict[tuple, list] = {}
+        for g in batches:
+            for key, part in g.groupby(by, dropna=False, sort=False):
+                size = int(part["width"].iloc[0])
+                whole = [v for v in part["v"] if v is not None]
+                x = np.array(whole, float).reshape(len(whole), size)
+                old = sums.get(key)
+                new = [len(x), x.sum(axis=0), x.T @ x]
+                sums[key] = new if old is None else [a + b for a, b in zip(old, new, strict=True)]
+        rows = [(*k, n, s.tolist(), p.ravel().tolist()) for k, (n, s, p) in sums.items()]
+        yield pd.DataFrame(rows, columns=[*by, "n", "sums", "products"])
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.pivot_table(index=row, columns=column, values=value, dropna=False).to_numpy(float)
-        r = K.effective_rank(x)
+        sums = np.sum(np.stack(g["sums"].to_list()), axis=0)
+        r = K.rank_of_sums(int(g["n"].sum()), sums, np.sum(np.stack(g["products"].to_list()), axis=0).reshape(len(sums), len(sums)))
         return pd.DataFrame({**{k: [g[k].iloc[0]] for k in by}, "pc1": [r["pc1"]], "pc2": [r["pc2"]], "n_loci": [r["n_loci"]], "n_samples": [r["n_samples"]]})
 
-    schema = ", ".join(f"{k} {types[k]}" for k in by) + ", pc1 double, pc2 double, n_loci int, n_samples int"
-    return matrix.groupBy(*by).applyInPandas(one, schema)
+    partial = vectors.mapInPandas(add, f"{kinds}, n long, sums array<double>, products array<double>")
+    return partial.groupBy(*by).applyInPandas(one, f"{kinds}, pc1 double, pc2 double, n_loci int, n_samples int")

@@ -44,8 +44,8 @@ def normal(seed: int, *parts) -> Column:
 def curve(t: Column, knots) -> Column:
     """The monotone cubic through the knots, zero outside them and nowhere negative."""
     x, y = np.array(knots[0], float), np.array(knots[1], float)
-    # The interval is looked up in constant arrays: one small expression, whatever the number of knots.
-    fixed = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    # The interval is looked up in constant arrays, each a text that the optimiser folds: one small expression, whatever the number of knots.
+    fixed = lambda values: F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
     at = F.least(F.size(F.filter(fixed(x), lambda k: k <= t)), F.lit(len(x) - 1)) - 1
     c = [F.get(fixed(column), at) for column in K.pchip(x, y).T]
     d = t - F.get(fixed(x), at)
@@ -81,20 +81,30 @@ def configurations(cells: DataFrame, n: int) -> DataFrame:
     return cells.select(*KEY, "vessel_type").distinct().withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def build(cells: DataFrame, protocol: Protocol, n_configs: int = 10, seed: int = 0, variability: float = 0.0, jitter: int = 2, drift: float = 0.0, multipliers: tuple[float, ...] | None = None, artefacts: float = 0.0, scaled_residual: bool = False) -> DataFrame:
+def build(cells: DataFrame, protocol: Protocol, n_configs: int = 10, seed: int = 0, variability: float = 0.0, jitter: int = 2, drift: float = 0.0, multipliers: tuple[float, ...] | None = None, artefacts: float = 0.0, scaled_residual: bool = False, sweep: tuple[str, tuple[float, ...]] | None = None, factors: DataFrame | None = None) -> DataFrame:
     """Hybrid cells with truth: baseline * (1 + response / 100) + residual, with per-cycle, per-locus and per-sample hashes as draws.
 
     ``variability``: deviation of loci's amplitudes; ``jitter``: largest shift of a locus in samples; ``drift``: slow sine in percent;
     ``multipliers``: factors of the cycles' amplitudes (attenuated or uneven responses); ``artefacts``: chance of a spike at a time, on all loci;
-    ``scaled_residual``: noise grows with the response. The mask is that of the tiled residual, less dark flicker frames. Truth is the median over
+    ``scaled_residual``: noise grows with the response; ``sweep``: a knob (drift, variability, or attenuation, the factor of the last cycle) and its
+    levels, each of which every segment and configuration gets, in the column level, with the same draws; ``factors``: m0, m1, ... of each segment
+    (KEY) as factors of its cycles. The mask is that of the tiled residual, less dark flicker frames. Truth is the median over
     the observed loci."""
     from .sequences import dark_frames
 
     conf = configurations(cells, n_configs)
+    knob, levels = sweep or (None, ())
+    if knob not in (None, "drift", "variability", "attenuation"):
+        raise ValueError(f"no sweep over {knob}")
+    conf = conf.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels]))) if sweep else conf.withColumn("level", F.lit(None).cast("double"))
+    if factors is not None:
+        conf = conf.join(factors.select(*KEY, *[f"m{c.index}" for c in protocol.cycles]), KEY)
     unit = [F.col(k) for k in KEY] + [F.col("config")]
     draw = lambda lo, hi, *p: lo + (hi - lo) * uniform(seed, *p, *unit)
     artery = F.lower("vessel_type").startswith("a")
-    conf = conf.withColumns({"amp": F.when(artery, draw(2.0, 8.0, "amp")).otherwise(draw(2.0, 7.0, "amp")), "dep": F.when(artery, draw(0.5, 4.0, "dep")).otherwise(0.0), "shf": draw(-2.0, 2.0, "shf"), "cut": uniform(seed, "cut", *unit), **{f"wobble{c.index}": 1 + 0.1 * normal(seed, "cycle", c.index, *unit) for c in protocol.cycles}})
+    conf = conf.withColumns({"amp": F.when(artery, draw(1.0, 6.0, "amp")).otherwise(draw(2.0, 7.0, "amp")), "shf": draw(-2.0, 2.0, "shf"), "cut": uniform(seed, "cut", *unit), **{f"wobble{c.index}": 1 + 0.1 * normal(seed, "cycle", c.index, *unit) for c in protocol.cycles}})
+    # Strong dilators constrict little: the depth falls with the amplitude.
+    conf = conf.withColumn("dep", F.when(artery, F.greatest(F.lit(0.3), 3.5 - 0.5 * (F.col("amp") - 1.0) + 0.3 * normal(seed, "dep", *unit))).otherwise(0.0))
     times = cells.select(*KEY, "t_idx", "t", "locus").distinct()
     grid = conf.join(times, KEY)
     residual = baseline_residual(cells, protocol)
@@ -103,18 +113,21 @@ def build(cells: DataFrame, protocol: Protocol, n_configs: int = 10, seed: int =
     grid = grid.join(residual.select(*KEY, "locus", "block", "residual"), [*KEY, "locus", "block"], "left")
     locus = [*unit, F.col("locus")]
     lag = F.floor((2 * jitter + 1) * uniform(seed, "lag", *locus)) - jitter if jitter else F.lit(0)
-    grid = grid.withColumn("lag", lag.cast("int")).withColumn("gain", 1 + variability * normal(seed, "gain", *locus) if variability else F.lit(1.0))
+    grid = grid.withColumn("lag", lag.cast("int")).withColumn("gain", 1 + (F.col("level") if knob == "variability" else F.lit(float(variability))) * normal(seed, "gain", *locus))
     step = 1.0 / protocol.fs
-    factor = lambda k: F.lit(float(multipliers[k]) if multipliers else 1.0)
+    last = max((c.index for c in protocol.cycles), default=-1)
+    fixed = lambda k: F.col(f"m{k}") if factors is not None else F.lit(float(multipliers[k]) if multipliers else 1.0)
+    factor = lambda k: fixed(k) * F.col("level") if knob == "attenuation" and k == last else fixed(k)
     curve_ = response(F.col("t") - F.col("lag") * step, artery, protocol, lambda k: F.col("amp") * F.col(f"wobble{k}") * factor(k), lambda k: F.col("dep") * F.col(f"wobble{k}") * factor(k), lambda k: F.col("shf"))
     grid = grid.withColumn("pct", F.col("gain") * curve_)
-    drifted = F.col("pct") + drift * F.sin(2 * float(np.pi) * 0.05 * F.col("t")) if drift else F.col("pct")
+    slow = F.col("level") if knob == "drift" else F.lit(float(drift))
+    drifted = F.col("pct") + slow * F.sin(2 * float(np.pi) * 0.05 * F.col("t"))
     spike = F.when(uniform(seed, "spike", *unit, F.col("t_idx")) < artefacts, 5 * normal(seed, "size", *unit, F.col("t_idx")) + normal(seed, "each", *locus, F.col("t_idx"))).otherwise(0.0) if artefacts else F.lit(0.0)
-    grid = grid.withColumn("m", F.col("residual").isNotNull() & F.col("rest").isNotNull() & dark_frames(grid, protocol, [*KEY, "config"]))
+    grid = grid.withColumn("m", F.col("residual").isNotNull() & F.col("rest").isNotNull() & dark_frames(grid, protocol, [*KEY, "config", "level"]))
     grow = 1 + drifted / 100 if scaled_residual else F.lit(1.0)
     grid = grid.withColumn("x", F.when(F.col("m"), F.col("rest") * (1 + drifted / 100) + F.col("residual") * grow + spike))
-    truth = F.median(F.when(F.col("m"), F.col("pct"))).over(W.partitionBy(*KEY, "config", "t_idx"))
-    return grid.withColumn("truth", truth).select(*KEY, "vessel_type", "config", "t_idx", "t", "locus", "x", "m", "truth")
+    truth = F.median(F.when(F.col("m"), F.col("pct"))).over(W.partitionBy(*KEY, "config", "level", "t_idx"))
+    return grid.withColumn("truth", truth).select(*KEY, "vessel_type", "config", *(["level"] if sweep else []), "t_idx", "t", "locus", "x", "m", "truth")
 
 
 def as_segments(hybrid: DataFrame) -> DataFrame:

@@ -18,27 +18,46 @@ def shrink_singular(y: np.ndarray, tau: float) -> tuple[np.ndarray, float]:
     return (vectors * weight) @ (vectors.T @ y), float(kept.sum())
 
 
+class _Recurrence:
+    """x[k] = g[k] + m[k] x[k-1] along the first axis, for fixed m: blocks side by side, then their starts one after the other."""
+
+    def __init__(self, m: np.ndarray):
+        self.n, width = m.shape
+        self.block = max(int(np.sqrt(self.n)), 1)
+        self.blocks = -(-self.n // self.block)
+        self.m = np.zeros((self.blocks * self.block, width))
+        self.m[: self.n] = m
+        self.m = self.m.reshape(self.blocks, self.block, width)
+        self.reach = np.cumprod(self.m, axis=1)
+
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        x = np.zeros((self.blocks * self.block, g.shape[1]))
+        x[: self.n] = g
+        x = x.reshape(self.blocks, self.block, g.shape[1])
+        for j in range(1, self.block):
+            x[:, j] += self.m[:, j] * x[:, j - 1]
+        for b in range(1, self.blocks):
+            x[b] += self.reach[b] * x[b - 1, -1]
+        return x.reshape(-1, g.shape[1])[: self.n]
+
+
 class Tridiagonal:
     """Symmetric tridiagonal systems with one off-diagonal value, one a row, factored once and solved for many right sides."""
 
     def __init__(self, diagonal: np.ndarray, off: float, least: float = 1e-12):
-        self.off = off
-        n = diagonal.shape[1]
-        self.pivot, self.ratio = np.empty_like(diagonal.T), np.zeros_like(diagonal.T)
-        d = diagonal.T
-        for k in range(n):
-            p = d[k] - (off * self.ratio[k - 1] if k else 0.0)
+        d = np.ascontiguousarray(diagonal.T)
+        self.pivot, ratio = np.empty_like(d), np.zeros_like(d)
+        for k in range(len(d)):
+            p = d[k] - (off * ratio[k - 1] if k else 0.0)
             self.pivot[k] = np.where(np.abs(p) < least, least, p)
-            self.ratio[k] = off / self.pivot[k]
+            ratio[k] = off / self.pivot[k]
+        down = -off / self.pivot
+        down[0] = 0.0
+        self.down, self.up = _Recurrence(down), _Recurrence(-ratio[::-1])
 
     def solve(self, right: np.ndarray) -> np.ndarray:
-        x = np.ascontiguousarray(right.T)
-        x[0] /= self.pivot[0]
-        for k in range(1, len(x)):
-            x[k] = (x[k] - self.off * x[k - 1]) / self.pivot[k]
-        for k in range(len(x) - 2, -1, -1):
-            x[k] -= self.ratio[k] * x[k + 1]
-        return x.T
+        x = self.down(right.T / self.pivot)
+        return self.up(x[::-1])[::-1].T
 
 
 def masked_rpca(x: np.ndarray, m: np.ndarray, lam: float = 1e-2, mu: float = 1.0, rho: float = 5.0, gamma: float = 0.0, max_iter: int = 200, tol: float = 1e-4):
@@ -124,14 +143,27 @@ def butterworth(order: int, edges: float | tuple[float, float], fs: float) -> tu
     return np.real(np.poly(z)) * gain, np.real(np.poly(digital(poles)))
 
 
-def _filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out = np.empty_like(x)
-    for k in range(x.shape[-1]):
-        out[..., k] = v = b[0] * x[..., k] + state[0]
-        for j in range(len(state) - 1):
-            state[j] = b[j + 1] * x[..., k] + state[j + 1] - a[j + 1] * v
-        state[-1] = b[-1] * x[..., k] - a[-1] * v
-    return out
+def _filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 64) -> np.ndarray:
+    """A recursive filter along the last axis, a block at a time: what the state and the block's own samples give are two matrix products."""
+    k = len(a) - 1
+    step = np.column_stack([-a[1:], np.eye(k)[:, : k - 1]])  # the next state from the last one, and from a sample
+    into = b[1:] - a[1:] * b[0]
+    powers = [np.eye(k)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    seen = np.array([p[0] for p in powers[:block]])  # outputs from the state
+    heard = np.array([b[0], *(p[0] @ into for p in powers[: block - 1])])  # outputs from one sample
+    own = np.array([[heard[i - j] if i >= j else 0.0 for j in range(block)] for i in range(block)])
+    after = np.column_stack([powers[block - 1 - j] @ into for j in range(block)])
+    flat = x.reshape(-1, x.shape[-1])
+    out, s = np.empty_like(flat), np.array([np.broadcast_to(v, x.shape[:-1]).reshape(-1) for v in state])
+    for at in range(0, flat.shape[1], block):
+        part = flat[:, at : at + block].T
+        n = len(part)
+        out[:, at : at + n] = (seen[:n] @ s + own[:n, :n] @ part).T
+        if n == block:
+            s = powers[block] @ s + after @ part
+    return out.reshape(x.shape)
 
 
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -187,11 +219,15 @@ def edge_taper(y: np.ndarray, share: float = 0.05) -> np.ndarray:
 def effective_rank(x: np.ndarray) -> dict[str, float]:
     """Shares of variance of the first two components of times x loci, over complete rows, centred by locus."""
     rows = x[np.isfinite(x).all(axis=1)] if x.size else x
-    out = {"pc1": np.nan, "pc2": np.nan, "n_loci": x.shape[1], "n_samples": len(rows)}
-    if len(rows) < 5 or x.shape[1] < 2:
+    return rank_of_sums(len(rows), rows.sum(axis=0), rows.T @ rows)
+
+
+def rank_of_sums(n: int, sums: np.ndarray, products: np.ndarray) -> dict[str, float]:
+    """The same from the number of rows, their sums and the sums of their products."""
+    out = {"pc1": np.nan, "pc2": np.nan, "n_loci": len(sums), "n_samples": n}
+    if n < 5 or len(sums) < 2:
         return out
-    centred = rows - rows.mean(axis=0)
-    var = np.sort(np.maximum(np.linalg.eigvalsh(centred.T @ centred), 0.0))[::-1]
+    var = np.sort(np.maximum(np.linalg.eigvalsh(products - np.outer(sums, sums) / n), 0.0))[::-1]
     if var.sum() > 0:
         out |= {"pc1": float(var[0] / var.sum()), "pc2": float(var[1] / var.sum())}
     return out

@@ -11,6 +11,7 @@ from ..functions.protocol import Protocol
 from ..sources.cells import KEY
 from . import kernels as K
 from .biomarkers import TRACE, biomarkers
+from .sequences import autocorrelation, holm
 
 
 def sdr(truth: Column, found: Column, least: int = 2) -> Column:
@@ -34,10 +35,27 @@ def fidelity(pairs: DataFrame, by: list[str], support: float = 0.75) -> DataFram
     return out.withColumn("delta_sdr", F.col("sdr") - F.col("sdr_in")).drop("sdr_in")
 
 
+# Biomarkers that are compared, and the measures that they are.
+BIASES = {"MD": "dil_max_bc_ext", "MC": "con_max_bc", "DA": "da_bc_ext", "tMAD30": "dil_max_30_t_ext", "tMAD": "dil_max_t_bc_ext"}
+
+
 def bias(truth: DataFrame, found: DataFrame, protocol: Protocol) -> DataFrame:
-    """found less truth for each cycle and biomarker, long: MD, MC and DA (arteries only), tMAD30, tMAD."""
-    names = {"MD": "dil_max_bc_ext", "MC": "con_max_bc", "DA": "da_bc_ext", "tMAD30": "dil_max_30_t_ext", "tMAD": "dil_max_t_bc_ext"}
-    ids = [k for k in TRACE if k != "method"]
+    """found less truth for each cycle and biomarker, long: MD, MC and DA (arteries only), tMAD30, tMAD. One truth for all methods."""
+    return _bias(truth, found, protocol, [k for k in TRACE if k != "method"])
+
+
+def bias_of_methods(truth: DataFrame, found: DataFrame, protocol: Protocol) -> DataFrame:
+    """The same where each method has a truth of its own."""
+    return _bias(truth, found, protocol, TRACE)
+
+
+def timing_bias(bias_: DataFrame, by: list[str], biomarker: str = "tMAD") -> DataFrame:
+    """Median of a time's bias over cycles."""
+    return bias_.where(F.col("biomarker") == biomarker).groupBy(*by).agg(F.median("bias").alias("timing_bias"), F.count("bias").alias("n"))
+
+
+def _bias(truth: DataFrame, found: DataFrame, protocol: Protocol, ids: list[str]) -> DataFrame:
+    names = BIASES
     a = biomarkers(truth, protocol).select(*ids, "cycle_index", *[F.col(c).alias(f"t_{n}") for n, c in names.items()])
     b = biomarkers(found, protocol).select(*TRACE, "cycle_index", *[F.col(c).alias(f"f_{n}") for n, c in names.items()])
     wide = b.join(a, [*ids, "cycle_index"])
@@ -91,13 +109,48 @@ def cluster_stats(medians: DataFrame, by: list[str], resamples: int = 5000, leas
     return medians.groupBy(*by).applyInPandas(one, schema)
 
 
+def paired_stats(table: DataFrame, by: list[str], a: str, b: str, least: int = 5, resamples: int = 5000, seed: int = 0) -> DataFrame:
+    """Median of a - b over pairs, its bootstrap interval and the signed-rank p of each group; NULL for fewer than ``least`` pairs."""
+    d = table.withColumn("d", F.col(a) - F.col(b)).where("d is not null").select(*by, "d", F.lit(1).cast("long").alias("n"))
+    return cluster_stats(d, by, resamples, least, seed).drop("n_samples").withColumnRenamed("n_clusters", "n_pairs")
+
+
+def compare_methods(table: DataFrame, value: str, cluster: str, families: dict[str, tuple[str, str, bool]], primary: tuple[str, ...], keys: list[str] | None = None, resamples: int = 5000) -> DataFrame:
+    """Each family (two methods, and whether their absolute values are compared) by its clusters' medians; the primary ones adjusted by Holm.
+
+    ``keys`` name the rows that two methods share; columns family, method_a, method_b, the statistics, p_holm (NULL outside the primary family)."""
+    parts = []
+    for family, (a, b, absolute) in families.items():
+        own = [*(keys or KEY), *[k for k in (cluster,) if k not in (keys or KEY)]]
+        x = table.where(F.col("method") == a).select(*own, F.col(value).alias("a"))
+        y = table.where(F.col("method") == b).select(*own, F.col(value).alias("b"))
+        parts.append(paired(x.join(y, own).withColumn("family", F.lit(family)), ["family"], cluster, "a", "b", absolute).withColumns({"method_a": F.lit(a), "method_b": F.lit(b)}))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    out = cluster_stats(both, ["family", "method_a", "method_b"], resamples)
+    listed = F.col("family").isin(*primary) & F.col("p").isNotNull() & ~F.isnan("p")
+    adjusted = holm(out.where(listed).withColumn("whole", F.lit(0)), "p", ["whole"]).select("family", "p_holm")
+    return out.join(adjusted, "family", "left")
+
+
 def noise_stationarity(traces: DataFrame, protocol: Protocol) -> DataFrame:
-    """Deviation in recoveries over that in baselines of each series, for the test against 1."""
-    inside = lambda name: F.when(protocol.in_phase(F.col("t"), name), F.col("y"))
-    out = traces.groupBy(*KEY).agg(F.stddev_pop(inside("recovery")).alias("sd_recovery"), F.stddev_pop(inside("baseline")).alias("sd_baseline"))
+    """Deviation and lag-1 autocorrelation in baselines and recoveries of each series, and the ratio of the deviations, for a test against 1."""
+    phase = F.when(protocol.in_phase(F.col("t"), "baseline"), "baseline").when(protocol.in_phase(F.col("t"), "recovery"), "recovery")
+    parts = traces.withColumn("phase", phase).where("phase is not null")
+    lag = autocorrelation(parts, [*KEY, "phase"]).groupBy(*KEY).pivot("phase", ["baseline", "recovery"]).agg(F.first("ac1"))
+    sd = parts.groupBy(*KEY).pivot("phase", ["baseline", "recovery"]).agg(F.stddev_pop("y"))
+    sd = sd.select(*KEY, F.col("recovery").alias("sd_recovery"), F.col("baseline").alias("sd_baseline"))
+    out = sd.join(lag.select(*KEY, F.col("baseline").alias("ac1_baseline"), F.col("recovery").alias("ac1_recovery")), KEY, "left")
     return out.withColumn("ratio", F.when(F.col("sd_baseline") > 0, F.col("sd_recovery") / F.col("sd_baseline")))
 
 
+def ratio_test(stationarity: DataFrame, cluster: str = "subject_id", resamples: int = 5000) -> DataFrame:
+    """Clusters' median ratios against 1: their median difference, interval and p."""
+    rows = stationarity.where("ratio is not null").withColumns({"whole": F.lit("all"), "one": F.lit(1.0)})
+    return cluster_stats(paired(rows, ["whole"], cluster, "ratio", "one"), ["whole"], resamples).drop("whole")
+
+
 def best_rows(df: DataFrame, n: int, value: str, *ties: str) -> DataFrame:
     """The n largest rows by value: a report, in one ordered take."""
     return df.orderBy(F.desc(value), *ties).limit(n)

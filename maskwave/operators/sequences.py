@@ -160,6 +160,11 @@ def rank_cycles(table: DataFrame, by: list[str], value: str) -> DataFrame:
     return table.withColumn("rank", F.element_at(F.array(*map(F.lit, ("highest", "middle", "lowest", "extra"))), F.least(k, F.lit(4))))
 
 
+def traces_of_ranked(ranked: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+    """The cut traces of ranked cycles, with their rank: an equi-join on segment and cycle."""
+    return cuts.join(ranked.select(*by, "cycle_index", "rank"), [*by, "cycle_index"])
+
+
 def autocorrelation(df: DataFrame, by: list[str], value: str = "y") -> DataFrame:
     """Lag-1 autocorrelation of the values that are there, in their order."""
     there = df.where(F.col(value).isNotNull()).withColumn("c", F.col(value) - F.avg(value).over(W.partitionBy(*by)))

@@ -7,6 +7,8 @@ shorter rows are padded, wider ones dropped (and counted), a leading time column
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +22,16 @@ HEADER = r"(?i)^[{\\]|diameters complete|-> position|time"
 FILE = ["path", *KEY]
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Lines to skip at the head of each file, the number of samples that files should have, and whether another number, a row that is too
+    wide, or fewer than two samples, is an error; else such files stay (or, with fewer than two samples, go)."""
+
+    skip_lines: int = 0
+    expected_samples: int | None = None
+    strict: bool = False
+
+
 def normalise(text: Column) -> Column:
     """Rich-text tokens as tabs and line ends; blank lines close up, so a blank row vanishes and later samples move ahead."""
     out = F.regexp_replace(text, r"\\(tab|cell)(?![a-zA-Z]) ?", "\t")
@@ -39,12 +51,13 @@ def named(files: DataFrame, pattern: str = NAME) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     out = files.where(F.col("path").rlike(EXTENSIONS) & name.rlike(pattern))
     out = out.withColumns({k: F.regexp_extract(name, pattern, i + 1) for i, k in enumerate(KEY)})
-    return out.withColumn("k", F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("path")))).where("k = 1").drop("k")
+    last = out.groupBy(*KEY).agg(F.max("path").alias("path"))  # names alone are ranked, not what files hold
+    return out.join(last, [*KEY, "path"], "left_semi").select("path", "content", *KEY)
 
 
-def parse(files: DataFrame, protocol: Protocol, pattern: str = NAME) -> DataFrame:
+def parse(files: DataFrame, protocol: Protocol, pattern: str = NAME, settings: Settings = Settings()) -> DataFrame:
     """Cells of text exports (columns path and content), with dropped, the number of rows that were too wide, on every cell."""
-    lines = named(files, pattern).select(*FILE, F.posexplode(F.split(normalise(F.col("content")), "\n")).alias("line", "raw"))
+    lines = named(files, pattern).select(*FILE, F.posexplode(F.split(normalise(F.col("content")), "\n")).alias("line", "raw")).where(F.col("line") >= settings.skip_lines)
     raw = F.regexp_replace("raw", r"[{}]", "")
     empty = F.trim(F.replace(raw, F.lit("\t"), F.lit(""))) == ""
     cut = F.when(raw.contains("\t"), F.split(F.regexp_replace(raw, "\t+$", ""), "\t")).otherwise(F.split(F.trim(raw), r"\s+"))
@@ -60,7 +73,13 @@ def parse(files: DataFrame, protocol: Protocol, pattern: str = NAME) -> DataFram
     padded = F.concat("v", F.array_repeat(F.lit(None).cast("double"), F.col("p") - F.col("width")))
     cells = wide.select(*FILE, "dropped", "t_idx", F.posexplode(padded).alias("locus", "x"))
     cells = drop_time(cells, FILE)
-    cells = cells.withColumn("last", F.max("t_idx").over(W.partitionBy(*FILE))).where("last >= 1")
+    cells = cells.withColumn("last", F.max("t_idx").over(W.partitionBy(*FILE)))
+    if settings.strict:
+        wanted = F.lit(settings.expected_samples) if settings.expected_samples else F.col("last") + 1
+        fault = F.when(F.col("last") < 1, "fewer than two samples").when(F.col("last") + 1 != wanted, "not as many samples as expected").when(F.col("dropped") > 0, "rows that are too wide")
+        failed = F.raise_error(F.concat_ws(": ", "path", fault)).cast("int")
+        cells = cells.withColumn("last", F.when(fault.isNotNull(), failed).otherwise(F.col("last"))).where("last >= 0")
+    cells = cells.where("last >= 1")
     return cells.select(*KEY, vessel_type(F.col("segment_label")).alias("vessel_type"), "t_idx", (F.col("t_idx") / F.lit(float(protocol.fs))).alias("t"), F.col("locus").cast("int").alias("locus"), "x", F.col("x").isNotNull().alias("m"), "dropped")
 
 
@@ -76,10 +95,10 @@ def drop_time(cells: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("locus", F.col("locus") - F.col("timed").cast("int")).drop("timed")
 
 
-def read(spark: SparkSession, folder: str, protocol: Protocol, pattern: str = NAME) -> DataFrame:
+def read(spark: SparkSession, folder: str, protocol: Protocol, pattern: str = NAME, settings: Settings = Settings()) -> DataFrame:
     """Cells of every export under a folder, by Spark's own reader of whole files."""
     files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    return parse(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")), protocol, pattern)
+    return parse(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")), protocol, pattern, settings)
 
 
 def inclusion_list(texts: DataFrame, content: str = "content") -> DataFrame:
