@@ -37,13 +37,6 @@ def hybrid_evaluation(spark, sf_dir):
     return _evaluated(spark, sf_dir)
 
 
-@query("evaluation_summary")
-def evaluation_summary(spark, sf_dir):
-    """Median sdr and biases by method and vessel, and by method alone."""
-    kinds = cells(spark, sf_dir).select(*KEY, "vessel_type").distinct()
-    return A.summary_with_all(_evaluated(spark, sf_dir).join(kinds, KEY), "vessel_type", "method", "sdr")
-
-
 def _swept(spark, sf_dir, knob, levels, methods):
     hybrid = H.build(cells(spark, sf_dir), P, 2, sweep=(knob, levels))
     out = E.evaluate(hybrid, P, methods, support=0.6, config=_SMALL, by=("level",))
