@@ -260,14 +260,13 @@ def _read(top: _Node, hashes: dict[int, int], page: Page) -> None:
 def read_page(page: str | None) -> Page:
     """The blocks of a page that are no furniture (menus, footers, forms, adverts, ...): those of its article, where it marks one, else all."""
     root = parse(page)
-    hashes = _digest(root)
     out: Page = ([], [])
     for node in _inside_out(root, lambda p: not p.skip and not (p.main and p.parent.main))[::-1]:
         if node.main:
-            _read(node, hashes, out)
+            _read(node, _boxes(node), out)
     if not out[0]:
         out[1].clear()
-        _read(root, hashes, out)
+        _read(root, _digest(root), out)
     return out
 
 
