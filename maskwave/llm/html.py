@@ -196,11 +196,17 @@ def _boxes(top: _Node) -> dict[int, int]:
     Paragraphs may be quoted and a wrapper may hold the article itself, so neither is ever a template."""
     size: dict[int, int] = {}
     found: list[_Node] = []
-    for node in _inside_out(top, lambda p: not p.skip):
+    order = _inside_out(top, lambda p: not p.skip)
+    boxed: set[int] = set()  # boxes and what is in them; prose outside boxes isn't hashed
+    for node in reversed(order):
+        if node is not top and (id(node.parent) in boxed or (node.tag not in INLINE and node.tag not in PROSE)):
+            boxed.add(id(node))
+    for node in order:
         size[id(node)] = sum(size.get(id(p), 0) if isinstance(p, _Node) else 1 if p is None else len(p.strip()) for p in node.parts)
-        node.hash = _hash(node, "box ")
-        if node is not top and node.tag not in INLINE and node.tag not in PROSE and size[id(node)]:
-            found.append(node)
+        if id(node) in boxed:
+            node.hash = _hash(node, "box ")
+            if node.tag not in INLINE and node.tag not in PROSE and size[id(node)]:
+                found.append(node)
     return {id(n): _signed(n.hash) for n in found if 2 * size[id(n)] < size[id(top)]}
 
 
