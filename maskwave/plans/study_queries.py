@@ -66,9 +66,9 @@ def sensitivity_grid(spark, sf_dir):
     return E.grid_search(H.build(cells(spark, sf_dir), P, 1), P, (0.1, 0.3, 0.55, 0.8, 1.0, 1.5), (0.0, 10.0, 100.0, 500.0, 1000.0, 5000.0), _SMALL, support=0.6)
 
 
-@query("non_stationary_study")
 def non_stationary_study(spark, sf_dir):
-    """Hybrids scaled by measured triplets, three methods, and their comparison by subjects with Holm's adjustment."""
+    """Hybrids scaled by measured triplets, three methods, and their comparison by segments with Holm's adjustment; not registered, as it takes
+    over two minutes at sf0.01."""
     c = cells(spark, sf_dir)
     triplets = M.triplets(B.biomarkers(traces(spark, sf_dir), P).select(*SEG, "cycle_index", "dil_max_bc"), SEG, "dil_max_bc")
     rows = E.evaluate(E.non_stationary(triplets, c, P, 3), P, ("rpca", "sms", "sms_avg"), support=0.6, config=_SMALL)
