@@ -5,6 +5,7 @@ Draws are hashes of seed, segment, configuration and purpose, so every sample is
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -31,6 +32,23 @@ VEIN_DILATION = (
 )
 
 
+@dataclass(frozen=True)
+class Artefacts:
+    """Events a minute, mean and deviation of their size in units of x, relative jitter of loci, share that is positive, frames of a burst."""
+
+    impulse_rate: float = 2.0
+    impulse_mean: float = 15.0
+    impulse_sd: float = 8.0
+    impulse_jitter: float = 0.15
+    burst_rate: float = 0.8
+    burst_mean: float = 12.0
+    burst_sd: float = 6.0
+    burst_jitter: float = 0.10
+    positive: float = 0.6
+    shortest: int = 3
+    longest: int = 15
+
+
 def uniform(seed: int, *parts) -> Column:
     """A number in [0, 1) from the hash of the parts."""
     h = F.xxhash64(F.lit(seed), *[F.lit(p) if isinstance(p, (str, int)) else p for p in parts])
@@ -64,6 +82,27 @@ def response(t: Column, artery: Column, protocol: Protocol, amplitude, depth, sh
     return reduce(lambda a, b: a + b, parts)
 
 
+def artefact(a: Artefacts, seed: int, fs: float, unit: list[Column], t_idx: Column, locus: Column) -> Column:
+    """Impulses of one frame and bursts of several, each on all loci at once with a size of its own for each locus.
+
+    Whether an event starts at a frame is a hash of unit and frame, so a frame knows the bursts that reach it from the frames before it:
+    no join, no window. At most one event of a kind starts at a frame; a burst goes on to its end or to the end of the recording."""
+
+    def size(kind: str, start: Column, mean: float, sd: float, jitter: float) -> Column:
+        base = F.greatest(F.lit(0.0), mean + sd * normal(seed, kind + "-size", *unit, start))
+        own = F.greatest(F.lit(0.0), base * (1 + jitter * normal(seed, kind + "-locus", *unit, start, locus)))
+        return F.when(uniform(seed, kind + "-sign", *unit, start) < a.positive, own).otherwise(-own)
+
+    def burst(back: Column) -> Column:
+        start = t_idx - back
+        frames = a.shortest + F.floor((a.longest - a.shortest + 1) * uniform(seed, "burst-frames", *unit, start))
+        on = (start >= 0) & (uniform(seed, "burst", *unit, start) < a.burst_rate / 60 / fs) & (frames > back)
+        return F.when(on, size("burst", start, a.burst_mean, a.burst_sd, a.burst_jitter)).otherwise(0.0)
+
+    impulse = F.when(uniform(seed, "impulse", *unit, t_idx) < a.impulse_rate / 60 / fs, size("impulse", t_idx, a.impulse_mean, a.impulse_sd, a.impulse_jitter)).otherwise(0.0)
+    return impulse + F.aggregate(F.sequence(F.lit(0), F.lit(a.longest - 1)), F.lit(0.0), lambda sum_, back: sum_ + burst(back))
+
+
 def baseline_residual(cells: DataFrame, protocol: Protocol) -> DataFrame:
     """What baselines hold beside each locus's median in its window, blocks one after the other: columns block, n_block, residual, rest."""
     windows = protocol.phase("baseline")
@@ -81,11 +120,11 @@ def configurations(cells: DataFrame, n: int) -> DataFrame:
     return cells.select(*KEY, "vessel_type").distinct().withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def build(cells: DataFrame, protocol: Protocol, n_configs: int = 10, seed: int = 0, variability: float = 0.0, jitter: int = 2, drift: float = 0.0, multipliers: tuple[float, ...] | None = None, artefacts: float = 0.0, scaled_residual: bool = False, sweep: tuple[str, tuple[float, ...]] | None = None, factors: DataFrame | None = None) -> DataFrame:
+def build(cells: DataFrame, protocol: Protocol, n_configs: int = 10, seed: int = 0, variability: float = 0.0, jitter: int = 2, drift: float = 0.0, multipliers: tuple[float, ...] | None = None, artefacts: Artefacts | None = None, scaled_residual: bool = False, sweep: tuple[str, tuple[float, ...]] | None = None, factors: DataFrame | None = None) -> DataFrame:
     """Hybrid cells with truth: baseline * (1 + response / 100) + residual, with per-cycle, per-locus and per-sample hashes as draws.
 
     ``variability``: deviation of loci's amplitudes; ``jitter``: largest shift of a locus in samples; ``drift``: slow sine in percent;
-    ``multipliers``: factors of the cycles' amplitudes (attenuated or uneven responses); ``artefacts``: chance of a spike at a time, on all loci;
+    ``multipliers``: factors of the cycles' amplitudes (attenuated or uneven responses); ``artefacts``: impulses and bursts (``artefact``);
     ``scaled_residual``: noise grows with the response; ``sweep``: a knob (drift, variability, or attenuation, the factor of the last cycle) and its
     levels, each of which every segment and configuration gets, in the column level, with the same draws; ``factors``: m0, m1, ... of each segment
     (KEY) as factors of its cycles. The mask is that of the tiled residual, less dark flicker frames. Truth is the median over
@@ -122,7 +161,7 @@ def build(cells: DataFrame, protocol: Protocol, n_configs: int = 10, seed: int =
     grid = grid.withColumn("pct", F.col("gain") * curve_)
     slow = F.col("level") if knob == "drift" else F.lit(float(drift))
     drifted = F.col("pct") + slow * F.sin(2 * float(np.pi) * 0.05 * F.col("t"))
-    spike = F.when(uniform(seed, "spike", *unit, F.col("t_idx")) < artefacts, 5 * normal(seed, "size", *unit, F.col("t_idx")) + normal(seed, "each", *locus, F.col("t_idx"))).otherwise(0.0) if artefacts else F.lit(0.0)
+    spike = artefact(artefacts, seed, protocol.fs, unit, F.col("t_idx"), F.col("locus")) if artefacts else F.lit(0.0)
     grid = grid.withColumn("m", F.col("residual").isNotNull() & F.col("rest").isNotNull() & dark_frames(grid, protocol, [*KEY, "config", "level"]))
     grow = 1 + drifted / 100 if scaled_residual else F.lit(1.0)
     grid = grid.withColumn("x", F.when(F.col("m"), F.col("rest") * (1 + drifted / 100) + F.col("residual") * grow + spike))
@@ -130,6 +169,35 @@ def build(cells: DataFrame, protocol: Protocol, n_configs: int = 10, seed: int =
     return grid.withColumn("truth", truth).select(*KEY, "vessel_type", "config", *(["level"] if sweep else []), "t_idx", "t", "locus", "x", "m", "truth")
 
 
+def simple_response(t: Column, protocol: Protocol, seed: int, unit: list[Column]) -> Column:
+    """A response without knots, in percent: a logistic rise in each flicker, an exponential return with an undershoot in its recovery."""
+    parts = []
+    for c in protocol.cycles:
+        draw = lambda lo, hi, what, k=c.index: lo + (hi - lo) * uniform(seed, "simple", what, k, *unit)
+        amp, depth = draw(2.0, 5.0, "amp"), draw(0.5, 2.0, "depth")
+        up, down = t - float(c.flicker.start), t - float(c.flicker.end)
+        rise = amp / (1 + F.exp(2.0 - up / draw(3.0, 8.0, "rise")))
+        back = amp * F.exp(-down / draw(5.0, 15.0, "back")) - depth * (1 - F.exp(-down / 5.0)) * F.exp(-down / 30.0)
+        parts.append(F.when(c.flicker.holds(t), rise).when((down >= 0) & (t < float(c.recovery.end)), back).otherwise(0.0))
+    return reduce(lambda a, b: a + b, parts)
+
+
+def build_simple(cells: DataFrame, protocol: Protocol, n_configs: int = 1, seed: int = 0) -> DataFrame:
+    """Hybrids of ``simple_response``: each locus's median in the reference baseline, times 1 + response / 100, with that baseline's residual
+    repeated from the first frame on; the mask stays the recording's own, and missing residuals count as zero. Columns as of ``build``."""
+    by = [*KEY, "locus"]
+    held = cells.where(protocol.reference().holds(F.col("t"))).withColumn("x", observed(F.col("x"), F.col("m")))
+    rest = F.median("x").over(W.partitionBy(*by))
+    held = held.select(*by, (F.row_number().over(W.partitionBy(*by).orderBy("t_idx")) - 1).cast("int").alias("block"), F.count(F.lit(1)).over(W.partitionBy(*by)).cast("int").alias("n_block"), rest.alias("rest"), (F.col("x") - rest).alias("residual"))
+    size = held.groupBy(*by).agg(F.first("n_block").alias("n_block"), F.first("rest").alias("rest"))
+    grid = cells.select(*KEY, "vessel_type", "t_idx", "t", "locus", "m").join(size, by).withColumn("block", F.pmod("t_idx", "n_block").cast("int"))
+    grid = grid.join(held.select(*by, "block", "residual"), [*by, "block"], "left").withColumn("config", F.explode(F.sequence(F.lit(0), F.lit(n_configs - 1))))
+    grid = grid.withColumn("truth", simple_response(F.col("t"), protocol, seed, [*map(F.col, KEY), F.col("config")]))
+    x = F.when(F.col("m"), F.col("rest") * (1 + F.col("truth") / 100) + F.coalesce("residual", F.lit(0.0)))
+    out = grid.withColumn("x", x).withColumn("m", F.col("x").isNotNull())
+    return out.select(*KEY, "vessel_type", "config", "t_idx", "t", "locus", "x", "m", "truth")
+
+
 def as_segments(hybrid: DataFrame) -> DataFrame:
     """Each configuration as a visit of its own, so every cell operator takes hybrids as they are."""
     return hybrid.withColumn("visit_id", F.concat_ws("#", "visit_id", F.col("config").cast("string"))).drop("config")

@@ -65,6 +65,12 @@ def report(cells: DataFrame, protocol: Protocol, t: Thresholds = Thresholds(), m
     return out.withColumn("passed", ~failed)
 
 
-def flat(report_: DataFrame, run_name: str) -> DataFrame:
-    """The report with nested values as JSON text and the run's name, for flat files."""
-    return report_.withColumns({"gaps": F.to_json("gaps"), "run_name": F.lit(run_name)})
+def by_recording(report_: DataFrame) -> DataFrame:
+    """One row a recording: its segments, those that passed, those with too few loci, and the mean and largest share of missing cells."""
+    counts = [F.count("*").alias("n_segments"), F.count_if("passed").alias("n_passed"), F.count_if("flag_too_few_loci").alias("n_too_few_loci")]
+    return report_.groupBy("subject_id", "visit_id").agg(*counts, F.avg("missing_total").alias("missing_mean"), F.max("missing_total").alias("missing_max"))
+
+
+def flat(report_: DataFrame, run_name: str, stage: str = "raw", scope: str = "dataset") -> DataFrame:
+    """The report with nested values as JSON text and the run's name, stage and scope, for flat files."""
+    return report_.withColumns({"gaps": F.to_json("gaps"), "run_name": F.lit(run_name), "stage": F.lit(stage), "scope": F.lit(scope)})

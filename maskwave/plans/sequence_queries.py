@@ -16,6 +16,12 @@ _W = f"PARTITION BY {IDS} ORDER BY t_idx"
 _OUT = [*SEG, "t_idx", "y"]
 
 
+def _four(df):
+    return df.withColumn("y", F.round("y", 4) + 0)
+
+
+
+
 def _frame_median(first: str, last: str) -> str:
     return TRACES_SQL + f" SELECT {IDS}, t_idx, median(y) OVER ({_W} ROWS BETWEEN {first} AND {last}) AS y FROM tr"
 
@@ -194,14 +200,38 @@ def holm(spark, sf_dir):
     return S.holm(p, "p", ["family"]).withColumn("p_holm", F.round("p_holm", 9))
 
 
-@query("polynomial_global")
+def _fit_sql(source: str, degree: int = 4) -> str:
+    """Relations for a least-squares fit over ``source`` (ids, t_idx, u, y): orthogonal polynomials of u built one after the other, where y is there."""
+    part, on = f"OVER (PARTITION BY {IDS})", "FILTER (y IS NOT NULL)"
+    steps = [f"{source}_0 AS (SELECT *, 1.0::DOUBLE AS q0, count(y) {part} AS n FROM {source})"]
+    for k in range(degree):
+        mean = f"sum(u * q{k} * q{k}) {on} {part} / sum(q{k} * q{k}) {on} {part}"
+        less = f" - sum(q{k} * q{k}) {on} {part} / sum(q{k - 1} * q{k - 1}) {on} {part} * q{k - 1}" if k else ""
+        steps.append(f"{source}_{k + 1} AS (SELECT *, (u - {mean}) * q{k}{less} AS q{k + 1} FROM {source}_{k})")
+    value = " + ".join(f"sum(y * q{k}) {on} {part} / sum(q{k} * q{k}) {on} {part} * q{k}" for k in range(degree + 1))
+    return ", ".join([*steps, f"{source}_fit AS (SELECT {IDS}, t_idx, CASE WHEN n > {degree} THEN {value} END AS y FROM {source}_{degree})"])
+
+
+def _scaled_sql(base: str, where: str) -> str:
+    """Percent of the median over ``base``, and time scaled to -1 .. 1 over the rows of ``where``."""
+    return f"""SELECT {IDS}, t_idx, 100 * ((y - b) / b) AS y, 2 * (t - min(t) OVER (PARTITION BY {IDS})) / (max(t) OVER (PARTITION BY {IDS}) - min(t) OVER (PARTITION BY {IDS})) - 1 AS u
+    FROM (SELECT *, median(y) FILTER ({base}) OVER (PARTITION BY {IDS}) AS b FROM tr) WHERE {where}"""
+
+
+@query("polynomial_global", TRACES_SQL + f", g AS ({_scaled_sql('t < 20', 'TRUE')}), {_fit_sql('g')} SELECT {IDS}, t_idx, round(y, 4) + 0 AS y FROM g_fit")
 def polynomial_global(spark, sf_dir):
-    return D.polynomial(traces(spark, sf_dir), P).select(*_OUT)
+    return _four(D.polynomial(traces(spark, sf_dir), P).select(*_OUT))
+
+
+def _cycle_fits_sql() -> str:
+    parts = [f"c{c.index} AS ({_scaled_sql(f't >= {c.flicker.start - 30} AND t < {c.flicker.start - 5}', f't >= {c.baseline.start} AND t < {c.recovery.end}')}), {_fit_sql(f'c{c.index}')}" for c in P.cycles]
+    both = " UNION ALL ".join(f"SELECT * FROM c{c.index}_fit" for c in P.cycles)
+    return f"{', '.join(parts)}, f AS ({both})"
 
 
-@query("polynomial_per_cycle")
+@query("polynomial_per_cycle", TRACES_SQL + f", {_cycle_fits_sql()} SELECT {IDS}, t_idx, round(f.y, 4) + 0 AS y FROM (SELECT {IDS}, t_idx FROM tr) LEFT JOIN f USING ({IDS}, t_idx)")
 def polynomial_per_cycle(spark, sf_dir):
-    return D.polynomial(traces(spark, sf_dir), P, per_cycle=True).select(*_OUT)
+    return _four(D.polynomial(traces(spark, sf_dir), P, per_cycle=True).select(*_OUT))
 
 
 @query("joint_loci", CELLS_SQL + """, v AS (SELECT *, vessel_type AS grp, (CASE segment_label WHEN 'A1' THEN 0 WHEN 'A2' THEN 1 WHEN 'V3' THEN 0 ELSE 1 END) * 5 + locus AS g FROM cells)

@@ -157,6 +157,13 @@ def quality_report(spark, sf_dir):
     return rounded(out, "missing_total", *_MISSING, "missing_flicker", "baseline_mean", "baseline_std", "baseline_snr_db")
 
 
+@query("quality_by_recording", _QUALITY_SQL + """SELECT subject_id, visit_id, count(*) AS n_segments, count(*) FILTER (NOT (n_loci < 3 OR missing_total > 0.5 OR mf > 0.67 OR coalesce(gaps_large, 0) > 0)) AS n_passed,
+  count(*) FILTER (n_loci < 3) AS n_too_few_loci, round(avg(CASE WHEN n_loci >= 3 THEN missing_total END), 5) AS missing_mean, round(max(CASE WHEN n_loci >= 3 THEN missing_total END), 5) AS missing_max FROM j GROUP BY ALL""")
+def quality_by_recording(spark, sf_dir):
+    report = rounded(V.report(cells(spark, sf_dir), P, V.Thresholds(min_loci=3)), "missing_total")
+    return rounded(V.by_recording(report), "missing_mean", "missing_max", digits=5)
+
+
 @query("quality_defaults", CELLS_SQL + f" SELECT {IDS}, count(DISTINCT locus) AS n_loci, TRUE AS flag_too_few_loci, CAST(NULL AS DOUBLE) AS missing_total, FALSE AS passed FROM cells GROUP BY ALL")
 def quality_defaults(spark, sf_dir):
     """The default least number of loci, which five loci don't reach: size and flag only."""

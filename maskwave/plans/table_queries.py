@@ -16,7 +16,7 @@ from ..sources import reader as R
 from ..sources.cells import CELLS_SQL, KEY
 from ..sources.sinks import widen
 from ..streaming import gaps as G
-from .registry import IDS, SEG, P, cells, load, query, rounded, traces
+from .registry import IDS, SEG, TRACES_SQL, P, cells, load, query, rounded, traces
 from .sequence_queries import _SMS
 from .signal_queries import BIOMARKER_SQL
 
@@ -50,12 +50,26 @@ def _bias(spark, sf_dir):
     return M.bias(p.select(*cols, F.col("truth").alias("y")), p.select(*cols, F.col("found").alias("y")), P)
 
 
-@query("biomarker_bias")
+def _measures_sql(value: str) -> str:
+    """The compared biomarkers of one column of the pairs, in a scope in which it is the trace."""
+    own = f"SELECT {IDS}, vessel_type, t_idx, t, {value} AS y FROM q"
+    return f"""(WITH tr AS ({own}){BIOMARKER_SQL[len(TRACES_SQL):]} SELECT {IDS}, cycle_index, dil_max_ext - bd AS MD, con_max - bd AS MC, (dil_max_ext - bd) - (con_max - bd) AS DA,
+  dil_max_30_t_ext AS tMAD30, CASE WHEN bd IS NOT NULL THEN dil_max_t_ext END AS tMAD FROM al)"""
+
+
+_BIAS_SQL = _PAIR + f""", q AS (SELECT p.*, tr.vessel_type, tr.t FROM p JOIN tr USING ({IDS}, t_idx)),
+a AS {_measures_sql('truth')}, b AS {_measures_sql('found')},
+d AS (SELECT {IDS}, b.cycle_index, n.n AS biomarker, CASE n.n WHEN 'MD' THEN b.MD - a.MD WHEN 'MC' THEN b.MC - a.MC WHEN 'DA' THEN b.DA - a.DA WHEN 'tMAD30' THEN b.tMAD30 - a.tMAD30 ELSE b.tMAD - a.tMAD END AS bias
+  FROM b JOIN a USING ({IDS}, cycle_index), (VALUES ('MD'), ('MC'), ('DA'), ('tMAD30'), ('tMAD')) n(n) WHERE n.n NOT IN ('MC', 'DA') OR segment_label LIKE 'A%')
+"""
+
+
+@query("biomarker_bias", _BIAS_SQL + f"SELECT {IDS}, 'mean' AS method, cycle_index, biomarker, round(bias, 6) + 0 AS bias FROM d")
 def biomarker_bias(spark, sf_dir):
-    return rounded(_bias(spark, sf_dir).drop("vessel_type"), "bias")
+    return _bias(spark, sf_dir).drop("vessel_type").withColumn("bias", F.round("bias", 6) + 0)
 
 
-@query("plateau_instability")
+@query("plateau_instability", _BIAS_SQL + f"SELECT {IDS}, round(avg((abs(bias) > 0.5)::INT), 6) AS instability FROM d WHERE biomarker = 'tMAD' AND bias IS NOT NULL GROUP BY ALL")
 def plateau_instability(spark, sf_dir):
     return rounded(M.plateau_instability(_bias(spark, sf_dir), SEG), "instability")
 
@@ -277,6 +291,21 @@ def hybrid_fidelity(spark, sf_dir):
     return M.fidelity(pairs, [*KEY, "method"], support=0.0)
 
 
+@query("hybrid_simple")
+def hybrid_simple(spark, sf_dir):
+    """Hybrids of the response without knots: one configuration of every segment."""
+    return H.build_simple(cells(spark, sf_dir), P)
+
+
+@query("hybrid_artefacts")
+def hybrid_artefacts(spark, sf_dir):
+    """What impulses and bursts add to every cell of every segment's first configuration."""
+    plain, with_ = H.build(cells(spark, sf_dir), P, 1), H.build(cells(spark, sf_dir), P, 1, artefacts=H.Artefacts())
+    keys = [*KEY, "config", "t_idx", "locus"]
+    both = with_.select(*keys, "x").join(plain.select(*keys, F.col("x").alias("without")), keys)
+    return both.select(*keys, F.round(F.col("x") - F.col("without"), 6).alias("artefact"))
+
+
 @query("batch_windowed_missing", "SELECT CAST(user_id % 4 AS VARCHAR) AS segment, date_trunc('hour', ts) AS \"start\", date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", count(*) AS n, count(value) AS n_valid FROM events GROUP BY ALL")
 def batch_windowed_missing(spark, sf_dir):
     """The streaming completeness report, on the whole table as one batch."""

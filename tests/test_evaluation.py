@@ -151,3 +151,28 @@ def test_ten_iterations_are_quick():
     began = time.perf_counter()
     K.masked_rpca(x, m, gamma=1000.0, max_iter=10, tol=0.0)
     assert time.perf_counter() - began < 3
+
+
+def test_artefacts_hit_all_loci_at_once_for_as_long_as_they_last(spark):
+    a = H.Artefacts(impulse_rate=0.0, burst_rate=6.0, burst_sd=0.0, burst_jitter=0.0, positive=1.0)
+    frames = spark.range(20000).select(F.col("id").cast("int").alias("t_idx"), F.explode(F.array(F.lit(0), F.lit(1))).alias("locus"))
+    out = frames.withColumn("y", H.artefact(a, 7, 10.0, [F.lit("u")], F.col("t_idx"), F.col("locus"))).toPandas()
+    one, two = (out[out.locus == k].sort_values("t_idx").y.to_numpy() for k in (0, 1))
+    assert np.allclose(one, two) and np.allclose(one / 12, np.round(one / 12))
+    on = np.flatnonzero(np.diff(np.r_[0, one != 0, 0]))
+    lengths = on[1::2] - on[::2]
+    assert 150 < len(lengths) < 250 and lengths[:-1].min() >= 3 and np.median(lengths) <= 15
+    impulses = frames.withColumn("y", H.artefact(H.Artefacts(burst_rate=0.0, impulse_rate=60.0), 7, 10.0, [F.lit("u")], F.col("t_idx"), F.col("locus"))).toPandas()
+    share = (impulses[impulses.locus == 0].y != 0).mean()
+    assert 0.08 < share < 0.12 and 10 < impulses[impulses.y > 0].y.mean() < 20
+    assert 0.5 < (impulses[impulses.y != 0].y > 0).mean() < 0.7
+
+
+def test_simple_hybrids_hold_their_response_and_the_own_mask(spark, cells):
+    flat = cells.withColumn("x", F.lit(100.0) + F.col("locus"))
+    out = H.build_simple(flat, P).toPandas()
+    held = out[out.m]
+    assert len(out) == cells.count() and len(held) == cells.where("m").count()
+    assert np.allclose(held.x, (100 + held.locus) * (1 + held.truth / 100))
+    assert (out[out.t < 50].truth == 0).all() and out[(out.t >= 60) & (out.t < 70)].truth.min() > 0.2
+    assert out.groupby(["subject_id", "segment_label", "t_idx"]).truth.nunique().max() == 1
