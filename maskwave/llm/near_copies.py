@@ -132,7 +132,7 @@ def _asked(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def candidate_links(banded: DataFrame) -> DataFrame:
-    """a, b: links whose connected parts hold every two texts that share a band or whose fingerprints operator 8 links."""
+    """a, b: links, some repeated, whose connected parts hold every two texts that share a band or whose fingerprints operator 8 links."""
     rows = banded.select("a", F.explode("bands").alias("band"))
     by_band = rows.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("band", "b")
     met = rows.join(by_band, "band").where("a <> b").select("a", "b")
@@ -141,7 +141,7 @@ def candidate_links(banded: DataFrame) -> DataFrame:
     equal = prints.join(firsts, "fp").where("a <> b").select("a", "b")
     near = links(firsts.select("fp"), DISTANCE).select(F.col("a").alias("x"), F.col("b").alias("y"))
     named = near.join(firsts.select(F.col("fp").alias("x"), F.col("b").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), "b"), "y")
-    return met.unionByName(equal).unionByName(named.select("a", "b")).distinct()
+    return met.unionByName(equal).unionByName(named.select("a", "b"))
 
 
 def near_copies(texts: DataFrame, chunk: int = CHUNK, pivots: int = PIVOTS) -> DataFrame:

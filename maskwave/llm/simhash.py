@@ -141,13 +141,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over edges (a, b), for every node that has an edge.
 
     Each round hangs the larger neighbours of a node on its smallest one, then the smaller ones; a third of all nodes in one part
-    converges in a number of rounds that grows with the logarithm of its size. Rounds are written tables, so lost executors only
-    repeat one; nothing but a sum comes to the driver.
+    converges in a number of rounds that grows with the logarithm of its size. The rounds end as soon as only stars are left, and links
+    that are stars need none. Rounds are written tables, so lost executors only repeat one; nothing but sums come to the driver.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = written(e, "links"), None
-    n = e.count()
-    while True:
+    e = written(e, "links")
+    n, unsettled = _unsettled(e)
+    while unsettled:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
         # A node that a large share of all edges ends in would be one task's work.
@@ -156,10 +156,16 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = written(small.select("x.u", "x.v").where("u <> v").distinct(), "round", instead_of=e)
-        n, *rest = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (n, rest) == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = (n, rest)
+        n, unsettled = _unsettled(e)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _unsettled(e: DataFrame) -> tuple[int, int]:
+    """Edges (u, v), u > v, and nodes that are in the way of stars: those that hang on two others, or on one while others hang on them."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    nodes = e.select(ends.alias("p")).groupBy("p.x").agg(F.sum("p.up").alias("up"), F.max("p.down").alias("down"))
+    n, unsettled = nodes.agg(F.sum("up"), F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return n or 0, unsettled
 
 
 def near_duplicates(df: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from maskwave.llm import near_copies
+from maskwave.llm import near_copies, simhash
 
 
 def test_near_copies_are_pairs_at_the_similarity(spark):
@@ -32,3 +32,22 @@ def test_blocks_of_a_large_group(spark, block):
     texts = [" ".join(["x"] * k + words[k:]) for k in range(0, 200, 8)] + ["alone in this table of texts"]
     got = near_copies.near_copies(spark.createDataFrame([(t,) for t in texts], "text string"), block).collect()
     assert len(got) == len(texts) - 1 and len({r["root"] for r in got}) == 1
+
+
+@pytest.mark.parametrize("shape", ["none", "loops", "stars", "chain", "random"])
+def test_components_are_a_plain_union(spark, shape):
+    rng = np.random.default_rng(5)
+    edges = {
+        "none": [],
+        "loops": [(3, 3), (4, 4)],
+        "stars": [(k, k % 3) for k in range(3, 30)] * 2,
+        "chain": [(k, k + 1) if k % 2 else (k + 1, k) for k in range(60)],
+        "random": [tuple(map(int, p)) for p in rng.integers(-40, 40, (45, 2))],
+    }[shape]
+    top = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in top:
+        for a, b in edges:
+            if a != b:
+                top[a] = top[b] = min(top[a], top[b])
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(top) and {r["node"]: r["root"] for r in got} == top
