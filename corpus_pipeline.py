@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A row goes only for its own text's group; rows without an id come last in it."""
     keyed = docs.select(*COLUMNS).withColumns({"key": doc_key(F.col("doc_id")), "t": near_copies.text_key(F.col("text"))})
-    rows = written(keyed.groupBy("key", "t").agg(F.count("*").alias("n")), "rows")
+    rows = keyed.groupBy("key", "t").agg(F.count("*").alias("n"))
     groups = near_copies.near_copies(docs.select("text"))
     grouped = rows.join(groups, rows["t"] == groups["node"], "left").select("key", "t", "n", F.coalesce("root", "t").alias("root"))
     first = written(grouped.groupBy("root").agg(F.min(F.struct("key", "t", "n")).alias("first")).select("first.*"), "firsts")
