@@ -1,8 +1,9 @@
 """Text exports of one segment a file, read as whole files and parsed by expressions.
 
-A file name holds subject, visit and label; files whose names don't are skipped. Lines are cut into numbers tolerantly: tabs or
-white space, decimal commas, junk is missing. The width of a file is the most frequent one of its rows, the smallest of equals;
-shorter rows are padded, wider ones dropped (and counted), a leading time column is found by its steps and removed.
+A file name holds subject, visit and label; files whose names don't are skipped. Lines are cut into numbers tolerantly: at tabs, else
+at white space, else into every number that stands in them; decimal commas, junk is missing. The width of a file is the most frequent one
+of its rows, the smallest of equals; shorter rows are padded, wider ones lose cells that are missing and are dropped (and counted) if they
+have others, a leading time column is found by its steps and removed. ``exports`` is the same as a data source of Spark's.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .cells import KEY, vessel_type
 NAME = r"([^_/]+)_([^_/]+)_([A-Za-z]\d+)"
 EXTENSIONS = r"(?i)\.(rtf|txt|csv)$"
 HEADER = r"(?i)^[{\\]|diameters complete|-> position|time"
+NUMBERS = r"([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)"
 FILE = ["path", *KEY]
 
 
@@ -60,15 +62,20 @@ def parse(files: DataFrame, protocol: Protocol, pattern: str = NAME, settings: S
     lines = named(files, pattern).select(*FILE, F.posexplode(F.split(normalise(F.col("content")), "\n")).alias("line", "raw")).where(F.col("line") >= settings.skip_lines)
     raw = F.regexp_replace("raw", r"[{}]", "")
     empty = F.trim(F.replace(raw, F.lit("\t"), F.lit(""))) == ""
-    cut = F.when(raw.contains("\t"), F.split(F.regexp_replace(raw, "\t+$", ""), "\t")).otherwise(F.split(F.trim(raw), r"\s+"))
+    words = F.split(F.trim(raw), r"\s+")
+    found = F.regexp_extract_all(F.replace(raw, F.lit(","), F.lit(".")), F.lit(NUMBERS), F.lit(0))
+    cut = F.when(raw.contains("\t"), F.split(F.regexp_replace(raw, "\t+$", ""), "\t")).when(F.size(words) > 1, words).otherwise(F.when(F.size(found) > 0, found).otherwise(words))
     lines = lines.withColumn("v", F.transform(cut, number)).withColumn("numeric", number(cut[0]).isNotNull() & cut[0].rlike(r"^\s*[-+0-9.,]"))
-    lines = lines.withColumn("data", F.col("numeric") & ~F.col("raw").rlike(HEADER) & ~empty).withColumn("blank", empty)
+    lines = lines.withColumn("data", F.col("numeric") & ~F.col("raw").rlike(HEADER) & ~empty)
     first = F.min(F.when(F.col("data"), F.col("line"))).over(W.partitionBy(*FILE))
     last = F.max(F.when(F.col("data"), F.col("line"))).over(W.partitionBy(*FILE))
-    rows = lines.where("numeric or not blank").withColumns({"first": first, "last": last}).where("line >= first and line <= last").withColumn("width", F.size("v"))
+    rows = lines.withColumns({"first": first, "last": last}).where("line >= first and line <= last").withColumn("width", F.size("v"))
     widths = rows.where("data").groupBy(*FILE, "width").agg(F.count("*").alias("n"))
     mode = widths.groupBy(*FILE).agg(F.max_by("width", F.struct("n", -F.col("width"))).alias("p"))
-    wide = rows.join(mode, FILE).withColumn("dropped", F.sum((F.col("width") > F.col("p")).cast("int")).over(W.partitionBy(*FILE))).where("width <= p")
+    # Wider rows whose further cells are all missing are cut to the width.
+    spare = F.forall(F.slice("v", F.col("p") + 1, F.greatest(F.col("width") - F.col("p"), F.lit(0))), lambda x: x.isNull())
+    trimmed = rows.join(mode, FILE).withColumn("v", F.when((F.col("width") > F.col("p")) & spare, F.slice("v", F.lit(1), F.col("p"))).otherwise(F.col("v"))).withColumn("width", F.size("v"))
+    wide = trimmed.withColumn("dropped", F.sum((F.col("width") > F.col("p")).cast("int")).over(W.partitionBy(*FILE))).where("width <= p")
     wide = wide.withColumn("t_idx", (F.row_number().over(W.partitionBy(*FILE).orderBy("line")) - 1).cast("int"))
     padded = F.concat("v", F.array_repeat(F.lit(None).cast("double"), F.col("p") - F.col("width")))
     cells = wide.select(*FILE, "dropped", "t_idx", F.posexplode(padded).alias("locus", "x"))
