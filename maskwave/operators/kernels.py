@@ -249,26 +249,27 @@ def pchip(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def wilcoxon(diff: np.ndarray) -> float:
     """Two-sided signed-rank p: zeros dropped, mean ranks; exact up to 50 pairs without ties or zeros, else normal with tie correction."""
-    from math import erfc, sqrt
-
-    n_all = len(diff)
     d = diff[diff != 0]
-    if not len(d):
-        return np.nan
     size = np.abs(d)
     order = np.sort(size)
-    left, right = np.searchsorted(order, size, "left"), np.searchsorted(order, size, "right")
-    ranks = (left + right + 1) / 2
-    plus = ranks[d > 0].sum()
-    n = len(d)
+    ranks = (np.searchsorted(order, size, "left") + np.searchsorted(order, size, "right") + 1) / 2
+    t = np.unique(size, return_counts=True)[1].astype(float)
+    return signed_rank_p(len(diff), len(d), float(ranks[d > 0].sum()), float((t**3 - t).sum()))
+
+
+def signed_rank_p(n_all: int, n: int, plus: float, ties: float) -> float:
+    """The same from the numbers of pairs (all, and those that differ), the sum of the positive ranks, and the sum of t^3 - t over ties."""
+    from math import erfc, sqrt
+
+    if not n:
+        return np.nan
     total = n * (n + 1) / 2
-    ties = np.unique(size, return_counts=True)[1]
-    if n <= 50 and n == n_all and ties.max() == 1:
+    if n <= 50 and n == n_all and ties == 0:
         ways = np.zeros(int(total) + 1)
         ways[0] = 1
         for k in range(1, n + 1):
             ways[k:] = ways[k:] + ways[:-k].copy()
         p = ways[: int(min(plus, total - plus)) + 1].sum() / 2.0**n
         return float(min(1.0, 2 * p))
-    var = n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
+    var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     return float(erfc(abs(plus - total / 2) / sqrt(var) / sqrt(2))) if var > 0 else np.nan

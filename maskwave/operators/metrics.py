@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.protocol import Protocol
 from ..sources.cells import KEY
-from . import kernels as K
+from ..sources.shared import written
+from . import ranking as R
 from .biomarkers import TRACE, biomarkers
 from .sequences import autocorrelation, holm
 
@@ -90,23 +89,15 @@ def paired(table: DataFrame, by: list[str], cluster: str, a: str, b: str, absolu
 
 
 def cluster_stats(medians: DataFrame, by: list[str], resamples: int = 5000, least: int = 3, seed: int = 0) -> DataFrame:
-    """Median over clusters, its bootstrap interval and the signed-rank p of each group of ``paired`` rows.
-
-    A group has one number for each subject of a study; resampling runs in blocks, so memory doesn't grow with the resamples."""
-    types = dict(medians.dtypes)
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort(g["d"].to_numpy(float))
-        row = {**{k: g[k].iloc[0] for k in by}, "n_clusters": len(d), "n_samples": int(g["n"].sum()), "median": np.nan, "ci_low": np.nan, "ci_high": np.nan, "p": np.nan}
-        if len(d) >= least:
-            rng = np.random.default_rng(seed)
-            block = max(1, 2_000_000 // len(d))
-            boot = np.concatenate([np.median(d[rng.integers(0, len(d), (min(block, resamples - k), len(d)))], axis=1) for k in range(0, resamples, block)])
-            row |= {"median": float(np.median(d)), "ci_low": float(np.percentile(boot, 2.5)), "ci_high": float(np.percentile(boot, 97.5)), "p": K.wilcoxon(d)}
-        return pd.DataFrame([row])
-
-    schema = ", ".join(f"{k} {types[k]}" for k in by) + ", n_clusters int, n_samples long, median double, ci_low double, ci_high double, p double"
-    return medians.groupBy(*by).applyInPandas(one, schema)
+    """Median over clusters, its bootstrap interval and the signed-rank p of each group of ``paired`` rows; NULL for fewer than ``least``.
+
+    Groups may have any number of clusters: ranks and places come from sums over sorted ranges (``ranking``)."""
+    rows = written(medians.select(*by, "d", "n"), "medians")
+    sizes = rows.groupBy(*by).agg(F.count("d").cast("int").alias("n_clusters"), F.sum("n").alias("n_samples"))
+    ranks = R.signed_ranks(rows, by, "d")
+    ranks = ranks.select(*by, R.signed_rank_p("n_all", "n", "w_plus", "ties").alias("p"))
+    out = R.same(R.same(sizes, R.median_interval(rows, by, "d", resamples, seed).drop("size"), by, "left"), ranks, by, "left")
+    return out.select(*by, "n_clusters", "n_samples", *[F.when(F.col("n_clusters") >= least, F.col(c)).alias(c) for c in ("median", "ci_low", "ci_high", "p")])
 
 
 def paired_stats(table: DataFrame, by: list[str], a: str, b: str, least: int = 5, resamples: int = 5000, seed: int = 0) -> DataFrame:

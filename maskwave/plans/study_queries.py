@@ -10,6 +10,7 @@ from ..operators import denoise as N
 from ..operators import evaluation as E
 from ..operators import hybrid as H
 from ..operators import metrics as M
+from ..operators import ranking as K
 from ..operators import sequences as S
 from ..sources.cells import KEY
 from ..sources.sinks import widen
@@ -82,6 +83,41 @@ def noise_ratio_test(spark, sf_dir):
     return M.ratio_test(M.noise_stationarity(traces(spark, sf_dir), P), "segment_label")
 
 
+_DIFFERENCES = "SELECT l_returnflag AS g, CAST(l_partkey - 20 * l_suppkey AS DOUBLE) AS d FROM lineitem"
+
+
+def _differences(spark, sf_dir):
+    return load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_partkey") - 20 * F.col("l_suppkey")).cast("double").alias("d"))
+
+
+@query(
+    "signed_rank_sums",
+    f"""WITH r AS ({_DIFFERENCES}), t AS (SELECT g, abs(d) AS size, count(*) AS n, count(*) FILTER (d > 0) AS plus FROM r WHERE d <> 0 GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY size) - (n - 1) / 2.0::DOUBLE AS rank FROM t)
+SELECT r.g, r.n_all, CAST(sum(n) AS BIGINT) AS n, CAST(sum(rank * plus) AS DOUBLE) AS w_plus, CAST(sum(rank * (n - plus)) AS DOUBLE) AS w_minus, round(CAST(sum(CAST(n AS DOUBLE) * n * n - n) AS DOUBLE), 0) AS ties
+FROM u JOIN (SELECT g, count(*) AS n_all FROM r GROUP BY ALL) r USING (g) GROUP BY ALL""",
+)
+def signed_rank_sums(spark, sf_dir):
+    """Signed-rank sums of every line item's difference of two keys: three groups, the largest of half of all rows."""
+    return K.signed_ranks(_differences(spark, sf_dir), ["g"], "d").withColumn("ties", F.round("ties", 0))
+
+
+@query(
+    "value_places",
+    f"SELECT g, d, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY g ORDER BY d) - count(*) + 1 AS BIGINT) AS low, CAST(sum(count(*)) OVER (PARTITION BY g ORDER BY d) AS BIGINT) AS high FROM ({_DIFFERENCES}) GROUP BY g, d",
+)
+def value_places(spark, sf_dir):
+    """The places that each distinct value takes among its group's sorted rows."""
+    return K.places(_differences(spark, sf_dir), ["g"], "d")
+
+
+@query("median_interval", f"SELECT g, count(*) AS size, median(d) AS median, TRUE AS inside FROM ({_DIFFERENCES}) GROUP BY ALL")
+def median_interval(spark, sf_dir):
+    """Medians, and whether the interval of their resamples holds them; the ends themselves are draws, which tests compare with plain resampling."""
+    out = K.median_interval(_differences(spark, sf_dir), ["g"], "d")
+    return out.select("g", "size", "median", ((F.col("ci_low") <= F.col("median")) & (F.col("median") <= F.col("ci_high"))).alias("inside"))
+
+
 @query("paired_statistics")
 def paired_statistics(spark, sf_dir):
     wide = load(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_suppkey").pivot("l_returnflag", ["A", "R"]).agg(F.avg("l_discount"))
