@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.missing import statistic
 from ..functions.protocol import Protocol
 from ..sources.cells import KEY
+from . import plugins
 
 TRACE = [*KEY, "vessel_type", "method"]
 
@@ -159,13 +160,20 @@ def biomarkers(traces: DataFrame, protocol: Protocol) -> DataFrame:
 
 @dataclass(frozen=True)
 class Definition:
-    """A parameter of a table: a column of ``biomarkers`` (or an expression over them) and the windows that it needs."""
+    """A parameter of a table: a column of ``biomarkers`` (or an expression over them) and the windows that it needs; or ``compute``, a function
+    of the user's own from (y, t, cycle), a whole trace by time and a cycle, to a number."""
 
     key: str
     label: str
     units: str
-    value: Callable[[], Column]
-    needs: tuple[str, ...]
+    value: Callable[[], Column] | None = None
+    needs: tuple[str, ...] = ()
+    compute: Callable | None = None
+
+
+def computed(key: str, compute: Callable, label: str = "", units: str = "signal") -> Definition:
+    """A parameter by a function ``compute(y, t, cycle) -> float``. NaN and infinities are missing; what it raises is the row's error."""
+    return Definition(key, label or key, units, compute=compute)
 
 
 def _column(name: str) -> Callable[[], Column]:
@@ -193,15 +201,33 @@ PAPER_SET = (
 def extract(traces: DataFrame, protocol: Protocol, definitions=PAPER_SET, keep_failed: bool = True) -> DataFrame:
     """Parameter table: ids, method, cycle_index, ok, error, error_stage and a column for each definition.
 
-    A definition whose window has no sample is NULL and fails the row; the first one in order names the error. Windows with
-    samples that are all missing give NULL and leave the row ok. ``keep_failed`` False drops failed rows."""
-    every = traces.select(*TRACE).distinct().withColumn("cycle_index", F.explode(F.array(*[F.lit(c.index) for c in protocol.cycles])))
-    wide = every.join(biomarkers(traces, protocol), [*TRACE, "cycle_index"], "left")
+    A definition whose window has no sample is NULL and fails the row, as one whose function raises; the first one in order names the
+    error. Windows with samples that are all missing give NULL and leave the row ok. Traces that have an ``error`` (and ``error_stage``) give
+    failed rows with it. ``keep_failed`` False drops failed rows."""
+    own = {d.key: d.compute for d in definitions if d.compute is not None}
+    failed_before = "error" in traces.columns
+    told = [F.max("error").alias("error_before"), F.max("error_stage").alias("stage_before")] if failed_before else []
+    groups = traces.groupBy(*TRACE).agg(*told) if told else traces.select(*TRACE).distinct()
+    every = groups.withColumn("cycle_index", F.explode(F.array(*[F.lit(c.index) for c in protocol.cycles])))
+    good = traces.where(F.col("error").isNull()) if failed_before else traces
+    wide = every.join(biomarkers(good, protocol), [*TRACE, "cycle_index"], "left")
+    if own:
+        wide = wide.join(plugins.parameters(good, protocol, own, TRACE), [*TRACE, "cycle_index"], "left")
     wide = wide.withColumns({n: F.coalesce(n, F.lit(0)) for n in sorted({n for d in definitions for n in d.needs})})
-    fails = [(d, ~F.coalesce(*[F.when(F.col(n) == 0, F.lit(False)) for n in d.needs], F.lit(True))) for d in definitions]
+    fails = []
+    for d in definitions:
+        if d.compute is not None:
+            fails.append((d, F.col(f"{d.key}__error").isNotNull(), F.col(f"{d.key}__error"), F.col(d.key)))
+        else:
+            empty = ~F.coalesce(*[F.when(F.col(n) == 0, F.lit(False)) for n in d.needs], F.lit(True))
+            fails.append((d, empty, F.lit("ValueError: empty window"), d.value()))
     stage, error = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for d, failed in reversed(fails):
+    for d, failed, message, _ in reversed(fails):
         stage = F.when(failed, f"compute:{d.key}").otherwise(stage)
-        error = F.when(failed, F.lit("ValueError: empty window")).otherwise(error)
-    out = wide.select(*TRACE, "cycle_index", stage.isNull().alias("ok"), error.alias("error"), stage.alias("error_stage"), *[F.when(~failed, d.value()).alias(d.key) for d, failed in fails])
+        error = F.when(failed, message).otherwise(error)
+    gone = F.lit(False)
+    if failed_before:
+        gone = F.col("error_before").isNotNull()
+        stage, error = F.when(gone, F.col("stage_before")).otherwise(stage), F.when(gone, F.col("error_before")).otherwise(error)
+    out = wide.select(*TRACE, "cycle_index", (stage.isNull() & ~gone).alias("ok"), error.alias("error"), stage.alias("error_stage"), *[F.when(~failed & ~gone, value).alias(d.key) for d, failed, _, value in fails])
     return out if keep_failed else out.where("ok")

@@ -16,6 +16,7 @@ from ..sources.cells import KEY
 from . import aggregates as A
 from . import kernels as K
 from . import sequences as S
+from .plugins import guarded
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,8 @@ class RpcaConfig:
     baseline: str = "protocol_global"
 
 
-COMPONENTS = "subject_id string, visit_id string, segment_label string, vessel_type string, t_idx int, t double, locus int, x double, m boolean, s double, a double, h double, iterations int, converged boolean, residual double"
+COMPONENTS = "subject_id string, visit_id string, segment_label string, vessel_type string, t_idx int, t double, locus int, x double, m boolean, s double, a double, h double, iterations int, converged boolean, residual double, error string"
+_PARTS = [c.split()[0] for c in COMPONENTS.split(", ")]
 
 
 def _matrix(g: pd.DataFrame, value: str) -> np.ndarray:
@@ -49,7 +51,8 @@ def _matrix(g: pd.DataFrame, value: str) -> np.ndarray:
 
 
 def decompose(cells: DataFrame, protocol: Protocol, config: RpcaConfig = RpcaConfig()) -> DataFrame:
-    """Components s, a and h of every cell: standardised by baseline, split, and scaled back (the artefact without the centre)."""
+    """Components s, a and h of every cell: standardised by baseline, split, and scaled back (the artefact without the centre). A segment that
+    cannot be split is one row with its ``error`` and no times."""
     ref = protocol.reference(config.baseline)
     if config.fill:
         cells = S.interpolate(cells.withColumn("x", observed(F.col("x"), F.col("m"))), [*KEY, "vessel_type", "locus"], "x").withColumn("m", F.col("x").isNotNull())
@@ -77,9 +80,9 @@ def decompose(cells: DataFrame, protocol: Protocol, config: RpcaConfig = RpcaCon
         s, a, info = K.masked_rpca((x - mu) / sd, m, **(knobs | own))
         g["s"], g["a"], g["h"] = (s * sd + np.nan_to_num(mu)).ravel(), (a * sd).ravel(), high.ravel()
         g["iterations"], g["converged"], g["residual"] = info["iterations"], info["converged"], info["residual"]
-        return g[[c.split()[0] for c in COMPONENTS.split(", ")]]
+        return g
 
-    return cells.groupBy(*KEY).applyInPandas(split, COMPONENTS)
+    return cells.groupBy(*KEY).applyInPandas(guarded(split, _PARTS), COMPONENTS)
 
 
 def rpca_trace(cells: DataFrame, protocol: Protocol, config: RpcaConfig = RpcaConfig()) -> DataFrame:
@@ -91,7 +94,7 @@ def rpca_trace(cells: DataFrame, protocol: Protocol, config: RpcaConfig = RpcaCo
     if config.harmonize == "percent_then_aggregate":
         base = F.median(F.when(ref.holds(F.col("t")) & F.col("m"), F.col("s"))).over(W.partitionBy(*KEY, "locus"))
         gated = gated.withColumn("s", to_percent(F.col("s"), base))
-    y = gated.groupBy(*KEY, "vessel_type", "t_idx", "t").agg(F.median(observed(F.col("s"), F.col("m"))).alias("y"), F.first("ok").alias("ok"))
+    y = gated.groupBy(*KEY, "vessel_type", "t_idx", "t").agg(F.median(observed(F.col("s"), F.col("m"))).alias("y"), F.first("ok").alias("ok"), F.max("error").alias("error"))
     y = y.withColumn("y", F.when(F.col("ok"), F.col("y"))).drop("ok")
     if config.harmonize == "aggregate_then_percent":
         y = S.percent_of_window(y, ref, [*KEY, "vessel_type"])
@@ -133,12 +136,12 @@ def group_rpca_trace(cells: DataFrame, protocol: Protocol, lam: float = 1e-2, mu
         s, a, info = K.masked_rpca(np.nan_to_num((x - mean) / sd), np.ones(x.shape, bool), lam, mu, rho, gamma, max_iter, tol)
         g["s"], g["a"], g["h"] = (s * sd + np.nan_to_num(mean)).ravel(), (a * sd + np.nan_to_num(mean)).ravel(), 0.0
         g["iterations"], g["converged"], g["residual"] = info["iterations"], info["converged"], info["residual"]
-        return g[[c.split()[0] for c in COMPONENTS.split(", ")]]
+        return g
 
-    parts = wide.groupBy("subject_id", "visit_id", "vessel_type").applyInPandas(split, COMPONENTS)
+    parts = wide.groupBy("subject_id", "visit_id", "vessel_type").applyInPandas(guarded(split, _PARTS), COMPONENTS)
     if average:
         parts = S.moving_mean(parts, [*KEY, "vessel_type", "locus"], average, "s")
-    return parts.groupBy(*KEY, "vessel_type", "t_idx", "t").agg(F.avg(observed(F.col("s"), F.col("m"))).alias("y"))
+    return parts.groupBy(*KEY, "vessel_type", "t_idx", "t").agg(F.avg(observed(F.col("s"), F.col("m"))).alias("y"), F.max("error").alias("error"))
 
 
 def heartbeats(traces: DataFrame, fs: float, low: float = 0.5, high: float = 2.0) -> DataFrame:

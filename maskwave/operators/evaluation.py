@@ -26,7 +26,8 @@ _KNOWN: dict[str, Preprocessor] = {}
 
 
 def register(name: str, run: Preprocessor) -> None:
-    """Makes a preprocessor of the user's known by a name; a known name is replaced."""
+    """Makes a preprocessor of the user's known by a name; a known name is replaced. ``plugins.segments`` and ``plugins.recordings`` make one of a
+    function over arrays. A preprocessor may add ``error``, which rows of segments that it could not do have."""
     _KNOWN[name] = run
 
 
@@ -40,10 +41,20 @@ register("raw", lambda cells, protocol: S.percent_of_window(A.aggregate_loci(cel
 
 
 def preprocess(cells: DataFrame, protocol: Protocol, name: str = "rpca", **options) -> DataFrame:
-    """Traces of a named preprocessor, with its name as ``method``."""
+    """Traces of a named preprocessor, with its name as ``method``. A segment that it could not do, or whose cells have an ``error`` (of its
+    file), is one row with ``error`` and ``error_stage`` and without times; all others have their traces."""
     if name not in _KNOWN:
         raise ValueError(f"unknown preprocessor {name}; known: {', '.join(sorted(_KNOWN))}")
-    return _KNOWN[name](cells, protocol, **options).select(*KEY, "vessel_type", "t_idx", "t", "y").withColumn("method", F.lit(name))
+    ids, nothing = [*KEY, "vessel_type"], F.lit(None)
+    unread = None
+    if "error" in cells.columns:
+        unread = cells.where(F.col("error").isNotNull()).groupBy(*ids).agg(F.max("error").alias("error"))
+        unread = unread.select(*ids, nothing.cast("int").alias("t_idx"), nothing.cast("double").alias("t"), nothing.cast("double").alias("y"), "error", F.lit("read").alias("error_stage"))
+        cells = cells.where(F.col("error").isNull()).drop("error")
+    traces = _KNOWN[name](cells, protocol, **options)
+    error = F.col("error") if "error" in traces.columns else nothing.cast("string")
+    traces = traces.select(*ids, "t_idx", "t", "y", error.alias("error"), F.when(error.isNotNull(), F.lit(f"preprocess:{name}")).alias("error_stage"))
+    return (traces if unread is None else traces.unionByName(unread)).withColumn("method", F.lit(name))
 
 
 def as_cells(traces: DataFrame) -> DataFrame:
