@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -40,7 +41,8 @@ ROWS = 65_536
 class Options:
     """fs: samples a second (required to read). skip_lines: head of a file that is no plain table. end: seconds of the protocol, and strict:
     whether files must have ceil(end * fs) samples. mode: FAILFAST, DROPMALFORMED, or PERMISSIVE (a row with the error for the file).
-    subjects, visits, segments: the only ones whose files are read, between commas."""
+    subjects, visits, segments: the only ones whose files are read, between commas. recordings: a Parquet table of subject_id and visit_id, the
+    only recordings whose files are read."""
 
     fs: float = 0.0
     skip_lines: int = 4
@@ -53,6 +55,7 @@ class Options:
     subjects: str = ""
     visits: str = ""
     segments: str = ""
+    recordings: str = ""
 
     @classmethod
     def of(cls, given: dict) -> Options:
@@ -229,17 +232,25 @@ class ExportReader(DataSourceReader):
         given = (self.options.subjects, self.options.visits, self.options.segments)
         self.wanted = [{w.strip() for w in text.split(",")} if text else None for text in given]
 
-    def partitions(self) -> list[InputPartition]:
+    def files(self) -> list[tuple[tuple[str, str, str], tuple[str, int]]]:
+        """((subject, visit, label), (path, bytes)) of every file that is to be read; of files with equal keys the last path."""
         store, root = _opened(self.path)
         form = self.form(self.options)
+        only = None
+        if self.options.recordings:
+            held, at = _opened(self.options.recordings)
+            table = ds.dataset(at, filesystem=held, format="parquet").to_table(columns=list(KEYS[:2]))
+            only = set(zip(*(c.to_pylist() for c in table.columns), strict=True))
         last: dict[tuple, tuple[str, int]] = {}
-        listed = store.get_file_info(pafs.FileSelector(root, recursive=True))
-        for info in sorted(listed, key=lambda i: i.path):
+        for info in sorted(store.get_file_info(pafs.FileSelector(root, recursive=True)), key=lambda i: i.path):
             keys = form.keys(info.base_name) if info.type == pafs.FileType.File else None
-            if keys is not None and all(w is None or k in w for w, k in zip(self.wanted, keys, strict=True)):
-                last[keys] = (info.path, info.size or 0)  # of files with equal keys the last path stays
+            if keys is not None and all(w is None or k in w for w, k in zip(self.wanted, keys, strict=True)) and (only is None or keys[:2] in only):
+                last[keys] = (info.path, info.size or 0)
+        return sorted(last.items(), key=lambda x: x[1])
+
+    def partitions(self) -> list[InputPartition]:
         out, held, size = [], [], 0
-        for keys, (path, n) in sorted(last.items(), key=lambda x: x[1]):
+        for keys, (path, n) in self.files():
             if held and size + n > self.options.partition_bytes:
                 out.append(Files(tuple(held)))
                 held, size = [], 0
@@ -354,3 +365,9 @@ def source(form: type[ExportFormat] = ExportFormat) -> type[DataSource]:
 def register(spark: SparkSession, form: type[ExportFormat] = ExportFormat) -> None:
     """Makes a format known to a session by its name: ``spark.read.format(form.name)``."""
     spark.dataSource.register(source(form))
+
+
+def listed(spark: SparkSession, path: str, form: type[ExportFormat] = ExportFormat, **more):
+    """subject_id, visit_id, segment_label, path, bytes of the files that a format would read; nothing is parsed."""
+    found = ExportReader(form, {"path": path, "fs": "1", **more}).files()
+    return spark.createDataFrame([(*keys, p, n) for keys, (p, n) in found], "subject_id string, visit_id string, segment_label string, path string, bytes long")
