@@ -14,10 +14,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hot_keys, spread_join, table, written
 from .urls import url_parts
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 # Elements by what they are for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +30,8 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
 FURNITURE = frozenset("nav footer aside form dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = frozenset("ad ads advert advertisement adsbygoogle banner breadcrumb breadcrumbs comment comments comment-list consent cookie cookies cookie-banner disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related share sharing sidebar site-footer site-header social sponsored subscribe toolbar widget".split())
+#: Names that say, inside an article, no more than the element <header> does: that a box begins it.
+HEADS = frozenset("header masthead".split())
 #: Articles of these classes are readers' remarks wherever they stand.
 REMARKS = frozenset("comment comments comment-list".split())
 #: A subtree is a template if this share of its host's distinct pages has it, and at least so many of them.
@@ -40,7 +43,7 @@ KEPT_INSIDE = INLINE | frozenset("p li div".split())
 
 
 class _Node:
-    __slots__ = ("tag", "names", "parent", "parts", "skip", "main", "hash")
+    __slots__ = ("tag", "names", "parent", "parts", "skip", "main", "hash", "named")
 
     def __init__(self, tag: str, names: frozenset, parent: _Node | None):
         self.tag, self.names, self.parent = tag, names, parent
@@ -50,7 +53,9 @@ class _Node:
         self.main = inside or tag in MAIN
         remark = tag == "article" and bool(names & (NAMES if inside else REMARKS))
         body = tag in ("html", "body") or (tag in MAIN and not remark)
-        self.skip = bool(parent and parent.skip) or (not body and (tag in FURNITURE or (tag == "header" and not inside) or bool(names & NAMES)))
+        # Inside an article names speak for boxes alone; whether a paragraph or heading of such a name is furniture, its count decides.
+        self.named = inside and not body and bool(names & NAMES) and (tag in PROSE or tag in INLINE or not names & NAMES - HEADS)
+        self.skip = bool(parent and parent.skip) or (not body and (tag in FURNITURE or (tag == "header" and not inside) or (bool(names & NAMES) and not self.named)))
 
 
 def _names(attributes: str) -> frozenset:
@@ -63,19 +68,61 @@ def _names(attributes: str) -> frozenset:
     return frozenset(out)
 
 
-def _tokens(page: str) -> Iterator[re.Match]:
-    """Tags, comments and texts in order; what a raw element holds is passed over up to its end tag, or the page's end."""
-    at = 0
-    while at < len(page):
-        for m in TOKEN.finditer(page, at):
-            yield m
-            tag = m.group(2)
-            if tag and not m.group(1) and tag.lower() in RAW and not m.group(3).endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, m.end())
-                at = end.end() if end else len(page)
-                break
-        else:
+class _Ends:
+    """Where tags end: the first > outside quotes. From a mark (>, " or ') outside quotes the way on is always the same, so marks from which
+    no end was found are remembered, and each is passed once."""
+
+    def __init__(self, page: str):
+        self.page, self.near, self.dead = page, -1, set()
+
+    def _mark(self, at: int) -> int:
+        found = SPECIAL.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+    def of(self, at: int) -> int:
+        """The place of the > of a tag whose name ends at ``at``, or -1."""
+        if self.near < at:
+            self.near = self._mark(at)
+        passed, mark = [], self.near
+        while mark < len(self.page) and mark not in self.dead:
+            if self.page[mark] == ">":
+                return mark
+            passed.append(mark)
+            close = self.page.find(self.page[mark], mark + 1)
+            mark = self._mark(close + 1) if close >= 0 else len(self.page)
+        self.dead.update(passed)
+        return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[str | None, str, str]]:
+    """(tag, attributes, "" or "/" for an end tag) of tags and (None, text, "") of texts, in order; comments and what a raw element holds up
+    to its end tag, or the page's end, are passed over. A < that begins no tag is text."""
+    at, ends, size, last = 0, _Ends(page), len(page), page.rfind(">")
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0:
+            yield None, page[at:], ""
             return
+        if begin > at:
+            yield None, page[at:begin], ""
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if page.startswith(("<!", "<?"), begin) and last > begin:
+            at = page.find(">", begin) + 1
+            continue
+        m = TAG.match(page, begin)
+        end = ends.of(m.end()) if m and last > begin else -1
+        if end < 0:
+            yield None, "<", ""
+            at = begin + 1
+            continue
+        tag, attributes, at = m.group(2), page[m.end() : end], end + 1
+        yield tag, attributes, m.group(1)
+        if tag.lower() in RAW and not m.group(1) and not attributes.endswith("/"):
+            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            at = close.end() if close else size
 
 
 class _Open:
@@ -122,15 +169,12 @@ class _Open:
 
 
 def parse(page: str | None) -> _Node:
-    """A tree of elements and texts; unclosed elements end where HTML lets them, and a cut page ends all of them. Linear in the page."""
+    """A tree of elements and texts; unclosed elements end where HTML lets them, and a cut page ends all of them. In time linear in the page."""
     root = _Node("", frozenset(), None)
     opened = _Open(root)
-    for m in _tokens(page or ""):
-        closing, tag = m.group(1), m.group(2)
+    for tag, text, closing in _tokens(page or ""):
         if tag is None:
-            piece = m.group()
-            if piece[0] != "<" or len(piece) == 1:
-                opened.nodes[-1].parts.append(piece)
+            opened.nodes[-1].parts.append(text)
             continue
         tag = tag.lower()
         if closing:
@@ -146,10 +190,10 @@ def parse(page: str | None) -> _Node:
                 opened.nodes[-1].parts.append(None)
             continue
         opened.begin(tag)
-        if m.group(3).endswith("/"):
+        if text.endswith("/"):
             continue
         node = opened.nodes[-1]
-        child = _Node(tag, _names(m.group(3)), node)
+        child = _Node(tag, _names(text), node)
         node.parts.append(child)
         opened.push(child)
     return root
@@ -191,21 +235,22 @@ def _digest(root: _Node) -> dict[int, int]:
 
 
 def _boxes(top: _Node) -> dict[int, int]:
-    """Hashes of the boxes in an article: blocks that are no prose (div, section, ul, ...) and hold less than half of its text.
+    """Hashes of the boxes in an article: blocks that are no prose (div, section, ul, ...), or have a name of furniture, and hold less than half
+    of its text.
 
-    Paragraphs may be quoted and a wrapper may hold the article itself, so neither is ever a template."""
+    Other paragraphs may be quoted and a wrapper may hold the article itself, so neither is ever a template."""
     size: dict[int, int] = {}
     found: list[_Node] = []
     order = _inside_out(top, lambda p: not p.skip)
     boxed: set[int] = set()  # boxes and what is in them; prose outside boxes isn't hashed
     for node in reversed(order):
-        if node is not top and (id(node.parent) in boxed or (node.tag not in INLINE and node.tag not in PROSE)):
+        if node is not top and (id(node.parent) in boxed or node.named or (node.tag not in INLINE and node.tag not in PROSE)):
             boxed.add(id(node))
     for node in order:
         size[id(node)] = sum(size.get(id(p), 0) if isinstance(p, _Node) else 1 if p is None else len(p.strip()) for p in node.parts)
         if id(node) in boxed:
             node.hash = _hash(node, "box ")
-            if node.tag not in INLINE and node.tag not in PROSE and size[id(node)]:
+            if (node.named or (node.tag not in INLINE and node.tag not in PROSE)) and size[id(node)]:
                 found.append(node)
     return {id(n): _signed(n.hash) for n in found if 2 * size[id(n)] < size[id(top)]}
 
@@ -304,7 +349,8 @@ def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
     Each page is parsed into a tree; every element's subtree outside the marked article is hashed, and inside it every box (no prose, and less
     than half of its text); the distinct pages of each host that have a hash are counted, and subtrees that recur on a ``share`` of the host's distinct pages, and on ``least``, are deleted. What elements
     say of themselves (nav, footer, form, class "ad", ...) removes furniture that differs from page to page; the marked article, where there is
-    one, is the main text without its recurring boxes; a paragraph in it that many articles quote is kept. Blocks are joined by line ends, white space in them
+    one, is the main text without its recurring boxes; a paragraph in it that many articles quote is kept. In an article such names speak for boxes
+    alone (and not "header"): a paragraph, heading or span that has one goes if it recurs like a box. Blocks are joined by line ends, white space in them
     becomes one space.
 
     Null, empty and textless pages give "". Rows without a host count together. Rows of a host with the same html are one page, given
@@ -318,9 +364,9 @@ def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
     hashed = keyed.select("host", "a", "b", "html").mapInArrow(_hashes, "host long, a long, b int, hashes array<long>")
     parsed = keyed.select("page_id", "url", "a", "b", "html").mapInArrow(_blocks, "page_id long, url string, a long, b int, blob binary")
     seen = hashed.select("a", "b", "host", F.explode("hashes").alias("hash")).distinct().withColumn("at", F.xxhash64("host", "hash"))
-    sizes = keyed.select("host", "a", "b").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = written(keyed.select("host", "a", "b").distinct().groupBy("host").agg(F.count("*").alias("pages")), "hosts")
     counted = seen.groupBy("at").agg(F.count("*").alias("n"), F.first("host").alias("host")).where(F.col("n") >= least)
-    often = counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * share - 1e-9).select("at")
+    often = spread_join(counted, sizes, "host", hot_keys(sizes, "host", "pages"), F.col("at")).where(F.col("n") >= F.col("pages") * share - 1e-9).select("at")
     mine = seen.join(often, "at").groupBy("a", "b").agg(F.collect_set("hash").alias("templates"))
     out = parsed.join(mine, ["a", "b"], "left")
 
