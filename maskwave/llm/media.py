@@ -60,6 +60,8 @@ def _png(b: memoryview, value: _Value, start: int) -> Found:
     at, first = 8, None
     while at + 12 <= len(b):
         size, name = struct.unpack_from(">I", b, at)[0], bytes(b[at + 4 : at + 8])
+        if at == 8 and (size != 13 or name != b"IHDR"):  # before any sum over bytes
+            return None
         if at + 12 + size > len(b) or zlib.crc32(b[at + 4 : at + 8 + size]) != struct.unpack_from(">I", b, at + 8 + size)[0]:
             return None
         if (at == 8) != (name == b"IHDR"):
@@ -112,15 +114,24 @@ def _bmp(b: memoryview, value: _Value, start: int) -> Found:
     return (size, body, size - body) if not spare and head in (12, 40, 108, 124) and 26 <= body < size <= len(b) else None
 
 
+#: Bytes that a gzip member is unpacked by.
+CHUNK = 1 << 18
+
+
 def _gzip(b: memoryview, value: _Value, start: int) -> Found:
     if len(b) < 18 or b[2] != 8 or b[3] & 0xE0:
         return None
-    d = zlib.decompressobj(31)
+    # What it unpacks to is thrown away as it comes, so a small member that holds much costs no memory.
+    d, at, given = zlib.decompressobj(31), 0, b""
     try:
-        d.decompress(b)
+        while not d.eof and (given or at < len(b)):
+            if not given:
+                given, at = bytes(b[at : at + CHUNK]), at + CHUNK
+            d.decompress(given, CHUNK)
+            given = d.unconsumed_tail
     except zlib.error:
         return None
-    length = len(b) - len(d.unused_data)
+    length = min(at, len(b)) - len(d.unused_data)
     return (length, 10, length - 18) if d.eof else None
 
 

@@ -69,3 +69,22 @@ def test_hot_keys_are_dealt(spark):
     right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     hot = common.hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "k")
     assert hot == [0] and sorted(common.spread_join(left, right, "k", hot, F.col("id")).collect()) == sorted(left.join(right, "k").collect())
+
+
+def test_gzip_members_are_unpacked_in_bounded_memory():
+    import gzip
+    import resource
+    import zlib
+
+    from maskwave.llm import media
+
+    deflate = zlib.compressobj(9, zlib.DEFLATED, 31)
+    zeros = bytes(1 << 20)
+    packed = b"".join(deflate.compress(zeros) for _ in range(300)) + deflate.flush()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = media.parts_of(b"ab" + packed + b"tail")
+    assert [(p[1], p[2]) if isinstance(p, tuple) else p for p in found] and any(len(packed) in tuple(p) for p in found)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000
+    short = gzip.compress(b"some text")
+    assert any(len(short) in tuple(p) for p in media.parts_of(short + short[:-3]))
+    assert not media.parts_of(packed[:-20])
