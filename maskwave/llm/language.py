@@ -3,27 +3,32 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that belong to them, for texts that have any.
+MARKED = regex.compile(r"\p{L}[\p{L}\p{M}\u200c\u200d]*")
 # Folds, and the one that is held out.
 FOLDS, HELD = 4, 2
 #: Different texts of each language that the model is fitted on, those with the smallest hashes.
 SAMPLE = 3000
-#: The model's size: its grams, dealt evenly to the languages (each has its own most frequent ones), and the least for each.
-GRAMS, LEAST_GRAMS = 60_000, 1000
+#: Whole words are grams if the sample has them so often; grams of two and three letters all are.
+WORD_LEAST = 5
 #: Cells of a table that grams are looked up in directly; where letters are too many for one, they are searched for.
 DIRECT = 1 << 24
+#: Cells of a table of all scores; a model of more grams and languages is filled in for the grams of a batch alone.
+WHOLE = 1 << 24
 #: What a change of language from one word to the next costs, in natural logarithms of probability.
 SWITCH = 6.0
 # First code points of ranges and their scripts.
@@ -66,9 +71,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; numerals such as ½ or Ⅷ are none."""
-    found = WORD.findall(text.lower()) if text else []
-    return [p for w in found for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    """Lower-cased runs of letters with their marks; numerals such as ½ or Ⅷ are none."""
+    if not text:
+        return []
+    text = text.lower()
+    if text.isascii() or not _has_marks(text):
+        return [p for w in WORD.findall(text) for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+    return MARKED.findall(text)
+
+
+def _has_marks(text: str) -> bool:
+    """False where no character can be a mark: those below U+0300 aren't."""
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return regex.search(r"\p{M}", text) is not None
 
 
 def grams_of(word: str) -> list[str]:
@@ -98,12 +116,14 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(words)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple:
-    """(languages, gram table) from text and lang of rows with a language: naive Bayes over grams of two and three letters and words.
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple:
+    """(id, languages, grams, and their scores) from text and lang of rows with a language: naive Bayes over grams of two and three letters
+    and frequent words.
 
-    Fitted on ``sample`` different texts of each language at most (the smallest hashes; a text counts once, whatever its copies) and on
-    each language's most frequent grams, ``grams`` in all: the two bounds of the model. Every language that occurs is told apart; the
-    model grows with their number. Scoring covers every word of every text. Rows without text or language don't count.
+    Fitted on ``sample`` different texts of each language at most (the smallest hashes; a text counts once, whatever its copies), which is the
+    one bound of the model: every gram of letters that the sample has counts, and every word that it has five times. A gram holds scores
+    for the languages that have it alone, so the model grows with the samples, not with their number squared. Scoring covers every word
+    of every text. Rows without text or language don't count; without any there are no languages.
     """
     keyed = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     texts = keyed.select("lang", "h").distinct()
@@ -117,27 +137,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> tuple:
 
     counted = once.select("lang", "text").mapInArrow(_gram_counts, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     counted = written(counted, "grams")
-    quota = max(LEAST_GRAMS, grams // max(counted.select("lang").distinct().count(), 1))
-    best = counted.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).where(F.col("k") <= quota).select("g").distinct()
-    rows = counted.join(best, "g").groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy("g").collect()  # bounded by the model's size
+    often = counted.groupBy("g").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).where((F.length("g") < 4) | (F.col("n") >= WORD_LEAST))
+    rows = often.orderBy("g").collect()  # grams of the sample, which is bounded
     langs = sorted({lang for r in rows for lang in r["by"]})
     place = {lang: k for k, lang in enumerate(langs)}
-    counts = np.zeros((len(rows), len(langs)))
-    for k, r in enumerate(rows):
-        for lang, n in r["by"].items():
-            counts[k, place[lang]] = n
     names = tuple(r["g"] for r in rows)
     kind = np.array([min(len(g), 4) - 2 for g in names], np.int64)
-    scores, rest = np.zeros(counts.shape, np.float32), np.zeros((3, len(langs)), np.float32)
+    starts = np.concatenate([[0], np.cumsum([len(r["by"]) for r in rows], dtype=np.int64)]).astype(np.int64)
+    column = np.array([place[lang] for r in rows for lang in r["by"]], np.int32)
+    counts = np.array([n for r in rows for n in r["by"].values()], float)
+    gram = np.repeat(np.arange(len(rows)), np.diff(starts))
+    rest, values = np.zeros((3, len(langs)), np.float32), np.zeros(len(counts), np.float32)
     for k in range(3):
-        mine = kind == k
-        whole = counts[mine].sum(axis=0) + 0.5 * max(int(mine.sum()), 1) + 1
-        scores[mine], rest[k] = np.log((counts[mine] + 0.5) / whole), np.log(0.5 / whole)
+        mine = kind[gram] == k
+        whole = np.bincount(column[mine], weights=counts[mine], minlength=len(langs)) + 0.5 * max(int((kind == k).sum()), 1) + 1
+        rest[k], values[mine] = np.log(0.5 / whole), np.log((counts[mine] + 0.5) / 0.5)  # over what the language gives any other gram
     # A language writes the scripts that hold a hundredth of its grams.
     script = np.array([_script_number(g.strip()) if g.strip() else -1 for g in names], np.int64)
-    weight = np.array([counts[script == k].sum(axis=0) for k in range(len(_SCRIPT_NAMES))]).reshape(len(_SCRIPT_NAMES), len(langs))
+    weight = np.zeros((len(_SCRIPT_NAMES), len(langs)))
+    at = script[gram] if len(gram) else script[:0]
+    np.add.at(weight, (at[at >= 0], column[at >= 0]), counts[at >= 0])
     able = weight >= 0.01 * np.maximum(weight.sum(axis=0), 1)
-    return tuple(langs), names, scores.tobytes(), rest.tobytes(), able.tobytes()
+    return uuid.uuid4().hex, tuple(langs), names, starts, column, values, rest, able
 
 
 class _Table:
@@ -165,31 +186,45 @@ class WordScorer:
     """Log probability of words in each language, many words at once; a script that no language writes says nothing, others leave
     only theirs. Letters that no gram of the model holds share one code."""
 
-    def __init__(self, model: tuple):
-        self.langs, grams, scores, rest, able = model
-        size = len(self.langs)
-        scores = np.frombuffer(scores, np.float32).reshape(len(grams), size)
-        rest = np.frombuffer(rest, np.float32).reshape(3, size)
+    def __init__(self, model: tuple, whole: int = WHOLE):
+        _, self.langs, grams, self.starts, self.column, self.values, self.rest, able = model
         letters = sorted({c for g in grams if len(g) < 4 for c in g} - {" "})
         code = {" ": 0} | {c: k + 2 for k, c in enumerate(letters)}
         self.of_point = np.ones(0x110000, np.int32)
         for c, k in code.items():
             self.of_point[ord(c)] = k
         width = len(code) + 1
-        rows = [[k for k, g in enumerate(grams) if len(g) == n] for n in (2, 3)]
+        rows = [np.array([k for k, g in enumerate(grams) if len(g) == n], np.int64) for n in (2, 3)]
         two, three = (np.array([[code[c] for c in grams[k]] for k in mine], np.int64).reshape(-1, n) for mine, n in zip(rows, (2, 3), strict=True))
         self.two = _Table(np.vstack([two, three[:, :2]]), width)
         begins = self.two.number(three[:, 0], three[:, 1])
         self.three = _Table(np.column_stack([begins, three[:, 2]]), width)
-        self.tables = []
-        for k, (table, at) in enumerate(((self.two, self.two.number(two[:, 0], two[:, 1])), (self.three, self.three.number(begins, three[:, 2])))):
-            held = np.tile(rest[k], (table.size, 1))
-            held[at] = scores[rows[k]]
-            self.tables.append(held)
-        whole = [k for k, g in enumerate(grams) if len(g) > 3]
-        self.whole = {grams[k][1:-1]: j + 2 for j, k in enumerate(whole)}
-        self.whole_scores = np.vstack([rest[2], np.zeros((1, size), np.float32), scores[whole]])
-        self.able = np.frombuffer(able, bool).reshape(len(_SCRIPT_NAMES), size)[_SCRIPT_OF_RANGE]
+        self.gram_of = []  # of each number of a table the gram, or -1
+        for table, at, mine in ((self.two, self.two.number(two[:, 0], two[:, 1]), rows[0]), (self.three, self.three.number(begins, three[:, 2]), rows[1])):
+            held = np.full(table.size, -1, np.int64)
+            held[at] = mine
+            self.gram_of.append(held)
+        words = [k for k, g in enumerate(grams) if len(g) > 3]
+        self.whole = {grams[k][1:-1]: j + 1 for j, k in enumerate(words)}  # 0: another word
+        self.gram_of.append(np.array([-1, *words], np.int64))
+        self.tables = [self._filled(k, np.arange(len(g))) if len(g) * len(self.langs) <= whole else None for k, g in enumerate(self.gram_of)]
+        self.able = able[_SCRIPT_OF_RANGE]
+
+    def _filled(self, kind: int, numbers: np.ndarray) -> np.ndarray:
+        """A row of scores for each number."""
+        out = np.tile(self.rest[kind], (len(numbers), 1))
+        gram = self.gram_of[kind][numbers]
+        there = np.flatnonzero(gram >= 0)
+        first, size = self.starts[gram[there]], self.starts[gram[there] + 1] - self.starts[gram[there]]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(there) else np.zeros(0, np.int64)
+        out[np.repeat(there, size), self.column[at]] += self.values[at]
+        return out
+
+    def _rows(self, kind: int, numbers: np.ndarray) -> np.ndarray:
+        if self.tables[kind] is not None:
+            return self.tables[kind][numbers]
+        some, back = np.unique(numbers, return_inverse=True)
+        return self._filled(kind, some)[back]
 
     def scores(self, words: list[str]) -> np.ndarray:
         """One row a word, its best language at 0."""
@@ -199,13 +234,14 @@ class WordScorer:
         size = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
         pair = self.two.number(codes[:-1], codes[1:])
-        part = self.tables[0][pair]
-        inner = self.tables[1][self.three.number(pair[:-1], codes[2:])]
+        part = self._rows(0, pair)
+        inner = self._rows(1, self.three.number(pair[:-1], codes[2:]))
         inner[codes[1:-1] == 0] = 0  # runs over the space between two words
         part[:-1] += inner
         total = np.add.reduceat(part, starts, axis=0)
         get = self.whole.get
-        total += self.whole_scores[np.fromiter((get(w, 0) if len(w) > 1 else 1 for w in words), np.int64, len(words))]
+        longer = size > 1
+        total[longer] += self._rows(2, np.fromiter((get(w, 0) for w in words), np.int64, len(words))[longer])
         total /= 2
         able = self.able[np.searchsorted(_FROM, points[starts + 1], "right") - 1]
         total[~able] = -np.inf
@@ -250,9 +286,15 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) ->
     return out
 
 
-@lru_cache(maxsize=2)
+_SCORERS: dict[str, WordScorer] = {}
+
+
 def _scorer(model: tuple) -> WordScorer:
-    return WordScorer(model)
+    """The scorer of a model, made once a worker."""
+    if model[0] not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model[0]] = WordScorer(model)
+    return _SCORERS[model[0]]
 
 
 SPANS = "struct<lang:string,score:double,spans:array<struct<lang:string,first_word:int,n_words:int>>>"
@@ -295,12 +337,13 @@ def identify(df: DataFrame, model: tuple, text: str = "text", out: str = "langua
     """Adds ``out``: language, score and spans (language, first word, words) of each whole text; replaces a column of that name.
 
     Null, empty and letterless texts are ``und`` with score 0 and no spans, as is every text under a model without languages; repeated
-    rows get the same; an empty table gives an empty result.
+    rows get the same; an empty table gives an empty result. The model, whose size the sample bounds, is broadcast.
     """
+    held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(SPANS)
     def of(texts: pd.Series) -> pd.DataFrame:
-        scorer, rows = _scorer(model), []
+        scorer, rows = _scorer(held.value), []
         values = texts.tolist()
         for k in range(0, len(values), 1024):
             rows += label_texts(values[k : k + 1024], scorer)

@@ -450,7 +450,41 @@ def test_many_languages_and_scripts(spark):
 def test_copies_do_not_fill_the_sample(spark):
     rows = [("the same text again", "en")] * 500 + [(f"other words {chr(97 + k % 26) * 5} number", "en") for k in range(40)]
     model = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample=20)
-    assert "oth" in model[1]
+    assert "oth" in model[2]
+
+
+def test_words_keep_their_marks():
+    assert language.words_of("हिन्दी में, Ⅷ ½ naïve e\u0301t\u00e9 12x") == ["हिन्दी", "में", "naïve", "e\u0301t\u00e9", "x"]
+    assert language.words_of("Ⅷ ½ A1b_c") == ["a", "b", "c"]
+
+
+def test_scores_are_those_of_plain_sums(spark):
+    """Grams counted and smoothed one by one; the table of all scores and the one of a batch's grams give the same."""
+    rng = np.random.default_rng(11)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(1, 6)))
+    texts = [(" ".join(word(a) for _ in range(30)), lang) for lang, a in (("x", "abcde"), ("y", "cdefg"), ("z", "абвг")) for _ in range(12)]
+    model = language.fit(spark.createDataFrame(texts, "text string, lang string"))
+    counts, words = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for t, lang in texts:
+        for w in t.split():
+            for g in language.grams_of(w):
+                counts[g][lang] += 1
+                words[g] += 1
+    held = {g: c for g, c in counts.items() if len(g) < 4 or words[g] >= language.WORD_LEAST}
+    assert set(model[2]) == set(held)
+    whole = {(k, lang): sum(c[lang] for g, c in held.items() if min(len(g), 4) == k) + 0.5 * sum(min(len(g), 4) == k for g in held) + 1 for k in (2, 3, 4) for lang in "xyz"}
+
+    def plain(w):
+        grams = language.grams_of(w)[1:] + ([f" {w} "] if len(w) > 1 else [])
+        total = np.array([sum(np.log((held.get(g, {}).get(lang, 0) + 0.5) / whole[min(len(g), 4), lang]) for g in grams) / 2 for lang in "xyz"])
+        total[[w[0] > "z", w[0] > "z", w[0] <= "z"]] = -np.inf
+        total -= total.max()
+        return np.where(np.isneginf(total), -30, np.maximum(total, -12))
+
+    asked = [word("abcdefgh") for _ in range(200)] + [word("абвгд") for _ in range(50)] + ["q", "ж"]
+    want = np.array([plain(w) for w in asked])
+    assert np.allclose(language.WordScorer(model).scores(asked), want, atol=2e-3)
+    assert np.allclose(language.WordScorer(model, whole=0).scores(asked), want, atol=2e-3)
 
 
 # Mixing.
