@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import hot_keys, spread_join, table, written
 from .urls import url_parts
 
+#: A text, or a tag whose attributes hold neither < nor >: what most of a page is. It looks no further than the next of these.
+PLAIN = re.compile("<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>|[^<]+")
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
@@ -99,30 +101,44 @@ def _tokens(page: str) -> Iterator[tuple[str | None, str, str]]:
     to its end tag, or the page's end, are passed over. A < that begins no tag is text."""
     at, ends, size, last = 0, _Ends(page), len(page), page.rfind(">")
     while at < size:
-        begin = page.find("<", at)
-        if begin < 0:
-            yield None, page[at:], ""
+        for m in PLAIN.finditer(page, at):
+            if m.start() != at:
+                break
+            at = m.end()
+            closing, tag, attributes = m.groups()
+            if tag is None:
+                yield None, m.group(), ""
+                continue
+            yield tag, attributes, closing
+            if tag.lower() in RAW and not closing and not attributes.endswith("/"):
+                at = _after_raw(page, tag, at)
+                break
+        if at >= size:
             return
-        if begin > at:
-            yield None, page[at:begin], ""
-        if page.startswith("<!--", begin):
-            end = page.find("-->", begin + 4)
+        if page[at] != "<" or PLAIN.match(page, at):
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
             at = end + 3 if end >= 0 else size
             continue
-        if page.startswith(("<!", "<?"), begin) and last > begin:
-            at = page.find(">", begin) + 1
+        if page.startswith(("<!", "<?"), at) and last > at:
+            at = page.find(">", at) + 1
             continue
-        m = TAG.match(page, begin)
-        end = ends.of(m.end()) if m and last > begin else -1
+        m = TAG.match(page, at)
+        end = ends.of(m.end()) if m and last > at else -1
         if end < 0:
             yield None, "<", ""
-            at = begin + 1
+            at += 1
             continue
         tag, attributes, at = m.group(2), page[m.end() : end], end + 1
         yield tag, attributes, m.group(1)
         if tag.lower() in RAW and not m.group(1) and not attributes.endswith("/"):
-            close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else size
+            at = _after_raw(page, tag, at)
+
+
+def _after_raw(page: str, tag: str, at: int) -> int:
+    close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+    return close.end() if close else len(page)
 
 
 class _Open:
