@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import spark_words, table, written
+from .common import SALTS, spark_words, table, written
 
 # The weights of the sources in order, repeating; the share of all words; copies of a document at most.
 WEIGHTS = (5, 2, 1)
@@ -94,7 +94,8 @@ def mix(df: DataFrame, seed: int = 7, leaf: int = LEAF, weights=WEIGHTS, share:
     empty table gives an empty result.
     """
     words = F.size(spark_words(F.col("text"))).cast("long")
-    docs = written(df.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("own")), "sizes")  # the texts are read once
+    docs = df.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("own"), F.monotonically_increasing_id().alias("row"))
+    docs = written(docs, "sizes")  # the texts are read once
     targets = source_targets(docs, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     docs = docs.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")), "left").withColumn("rate", rate)
@@ -131,8 +132,13 @@ def mix(df: DataFrame, seed: int = 7, leaf: int = LEAF, weights=WEIGHTS, share:
     alone = given.where("rows is null or rows = 1").withColumn("bit", F.coalesce("extra", F.lit(0)))
     out = alone
     if not extra.where("rows > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("unit").orderBy("size"))  # the rows are equal, so any of them may be the first
-        out = alone.unionByName(given.where("rows > 1").withColumn("bit", (nth <= F.col("extra")).cast("long")))
+        # The rows are equal, so any of them may be the first; a document of very many is numbered in parts.
+        many = given.where("rows > 1").withColumn("deal", F.pmod("row", F.lit(SALTS)))
+        deals = many.groupBy("unit", "deal").agg(F.count("*").alias("held"))
+        before = F.coalesce(F.sum("held").over(Window.partitionBy("unit").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        nth = F.col("before") + F.row_number().over(Window.partitionBy("unit", "deal").orderBy("row"))
+        many = many.join(deals.select("unit", "deal", before.alias("before")), ["unit", "deal"])
+        out = alone.unionByName(many.withColumn("bit", (nth <= F.col("extra")).cast("long")).drop("deal", "before"))
     out = out.withColumn("copies", (F.col("whole") + F.col("bit")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
