@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rolling, word_hashes, written
+from .common import hot_keys, rolling, spread_join, word_hashes, written
 from .simhash import DISTANCE, bits_of, components, links
 
 # Words of a shingle and the Jaccard similarity of two near copies, as 4/5.
@@ -134,11 +134,11 @@ def _asked(group: pd.DataFrame) -> pd.DataFrame:
 def candidate_links(banded: DataFrame) -> DataFrame:
     """a, b: links, some repeated, whose connected parts hold every two texts that share a band or whose fingerprints operator 8 links."""
     rows = banded.select("a", F.explode("bands").alias("band"))
-    by_band = rows.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("band", "b")
-    met = rows.join(by_band, "band").where("a <> b").select("a", "b")
+    by_band = written(rows.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("most"), F.count("*").alias("n")).where("b < most").select("band", "b", "n"), "shared-bands")
+    met = spread_join(rows, by_band.drop("n"), "band", hot_keys(by_band, "band"), F.col("a")).where("a <> b").select("a", "b")
     prints = banded.select("fp", "a").distinct()
-    firsts = prints.groupBy("fp").agg(F.min("a").alias("b"))
-    equal = prints.join(firsts, "fp").where("a <> b").select("a", "b")
+    firsts = written(prints.groupBy("fp").agg(F.min("a").alias("b"), F.count("*").alias("n")), "prints")
+    equal = spread_join(prints, firsts.drop("n"), "fp", hot_keys(firsts, "fp"), F.col("a")).where("a <> b").select("a", "b")
     near = links(firsts.select("fp"), DISTANCE).select(F.col("a").alias("x"), F.col("b").alias("y"))
     named = near.join(firsts.select(F.col("fp").alias("x"), F.col("b").alias("a")), "x").join(firsts.select(F.col("fp").alias("y"), "b"), "y")
     return met.unionByName(equal).unionByName(named.select("a", "b"))
@@ -158,10 +158,10 @@ def near_copies(texts: DataFrame, chunk: int = CHUNK, pivots: int = PIVOTS) -> D
     banded = written(keyed.mapInArrow(_signed, "t string, size long, fp long, bands array<long>").select("t", F.xxhash64("t").alias("a"), "size", "fp", "bands"), "bands")
     parts = components(candidate_links(banded))
     found = written(banded.select("t", "a", "size").distinct().join(parts, F.col("a") == F.col("node")).select("t", "root", "size"), "candidates")
-    weight = found.groupBy("root").agg(F.sum("size").alias("whole"), F.count("*").alias("n"))
+    weight = written(found.groupBy("root").agg(F.sum("size").alias("whole"), F.count("*").alias("n")), "parts")
     # One row of each text, whatever its copies, meets the candidates.
     once = keyed.groupBy("t").agg(F.first("text").alias("text"))
-    sets = found.join(weight, "root").join(once, "t").select("t", "root", "whole", "n", "text").mapInArrow(_sets, "t string, root long, whole long, n long, shingles binary")
+    sets = spread_join(found, weight, "root", hot_keys(weight, "root"), F.col("t")).join(once, "t").select("t", "root", "whole", "n", "text").mapInArrow(_sets, "t string, root long, whole long, n long, shingles binary")
     sets = written(sets, "sets")
     pairs = sets.where(F.col("whole") <= chunk).select("root", "t", "shingles").groupBy("root").applyInPandas(_small, "a string, b string")
     big = sets.where(F.col("whole") > chunk)

@@ -154,7 +154,8 @@ def components(edges: DataFrame) -> DataFrame:
         hot = hot_keys(e.groupBy("v").agg(F.count("*").alias("n")), "v") if n > 200_000 else []
         large = spread_join(e, low, "v", hot, F.col("u")).select("u", F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        hot = hot_keys(e.groupBy("u").agg(F.count("*").alias("n")), "u") if n > 200_000 else []  # the same nodes begin the new edges
+        small = spread_join(large, least, "u", hot, F.col("v")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = written(small.select("x.u", "x.v").where("u <> v").distinct(), "round", instead_of=e)
         n, unsettled = _unsettled(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
