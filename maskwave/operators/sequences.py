@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.missing import finite, to_percent
 from ..functions.protocol import Cycle, Protocol
+from . import sliding
 
 
 def _order(by: list[str]):
@@ -34,6 +35,16 @@ def running_median(df: DataFrame, by: list[str], first: int, last: int, value: s
     return F.percentile(F.col(value), F.lit(0.5)).over(_order(by).rowsBetween(first, last))
 
 
+#: Frames of more rows than this are served by a sorted window (``sliding``) instead of being sorted anew for every row.
+LONG = 31
+
+
+def _medians(df: DataFrame, by: list[str], first: int, last: int, value: str) -> DataFrame:
+    if last - first >= LONG:
+        return sliding.by_series(df, by, value, lambda y: sliding.frames(y, first, last)[0])
+    return df.withColumn(value, running_median(df, by, first, last, value))
+
+
 def kotliar_median(df: DataFrame, by: list[str], fs: float, seconds: float = 4.0, value: str = "y") -> DataFrame:
     """Running median over w samples that begins half a window after each; the last half window has none."""
     w = max(1, round(seconds * fs))
@@ -41,22 +52,24 @@ def kotliar_median(df: DataFrame, by: list[str], fs: float, seconds: float = 4.0
         return df
     h = w // 2
     left = F.count(F.lit(1)).over(W.partitionBy(*by)) - F.row_number().over(_order(by))
-    return df.withColumn(value, F.when(left >= h, running_median(df, by, h, h + w - 1, value)))
+    return _medians(df, by, h, h + w - 1, value).withColumn(value, F.when(left >= h, F.col(value)))
 
 
 def centred_median(df: DataFrame, by: list[str], w: int, value: str = "y") -> DataFrame:
     """Running median over 2 * (w // 2) + 1 samples."""
-    return df.withColumn(value, running_median(df, by, -(w // 2), w // 2, value))
+    return _medians(df, by, -(w // 2), w // 2, value)
 
 
 def causal_median(df: DataFrame, by: list[str], w: int, value: str = "y") -> DataFrame:
-    return df.withColumn(value, running_median(df, by, -(w - 1), 0, value))
+    return _medians(df, by, -(w - 1), 0, value)
 
 
 def padded_median(df: DataFrame, by: list[str], w: int, value: str = "y") -> DataFrame:
     """Centred running median with the end values repeated beyond the ends; w must be odd."""
     if w % 2 == 0:
         raise ValueError("the window must be odd")
+    if w > LONG:
+        return sliding.by_series(df, by, value, lambda y: sliding.padded(y, w))
     h = w // 2
     order, whole = _order(by), W.partitionBy(*by).orderBy("t_idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     got = F.collect_list(F.struct(F.col(value).alias("v"))).over(order.rowsBetween(-h, h))
@@ -82,6 +95,11 @@ def array_median(a: Column) -> Column:
 
 def hampel(df: DataFrame, by: list[str], k: int = 5, n_sigmas: float = 3.0, value: str = "y", to_null: bool = False) -> DataFrame:
     """Replaces values further than ``n_sigmas`` scaled median deviations from the median of their frame, judged on the input."""
+    if 2 * k + 1 > LONG:
+        kept = df.withColumns({"outlier": F.lit(False), "w": F.col(value)})
+        found = sliding.by_series(kept, by, value, lambda y: sliding.hampel(y, k, n_sigmas)[0])
+        odd = F.col("w").isNotNull() & ~F.col(value).eqNullSafe(F.col("w"))
+        return found.withColumn("outlier", odd).withColumn(value, F.when(F.col("outlier") & F.lit(to_null), F.lit(None).cast("double")).otherwise(F.col(value))).drop("w")
     frame = F.collect_list(value).over(_order(by).rowsBetween(-k, k))
     out = df.withColumn("w", frame).withColumn("med", array_median(F.col("w")))
     out = out.withColumn("sigma", 1.4826 * array_median(F.transform("w", lambda v: F.abs(v - F.col("med")))))
