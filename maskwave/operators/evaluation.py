@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.protocol import Protocol
 from ..sources import reader
 from ..sources.cells import KEY
+from ..sources.shared import written
 from . import aggregates as A
 from . import biomarkers as B
 from . import denoise as N
@@ -93,34 +94,49 @@ def evaluate(hybrid: DataFrame, protocol: Protocol, methods=tuple(METHODS), supp
     Frames in which fewer than ``support`` of the loci are observed count for none of the distances. Biases are columns
     ``bias_<biomarker>_c<cycle>``. ``by``: further columns of the hybrid (levels of a sweep) that stay beside the rows.
 
-    The hybrid and the recovered traces are read several times; they are persisted on the executors, memory and disk, and built again where
-    one is lost."""
+    ``sdr_c<cycle>`` is the sdr over the frames of one cycle alone. The hybrid, its frames and the recovered traces are tables in the shared folder, so
+    each later step is a plan of its own and starts from them when an executor is lost. A segment that a method could not do has NULLs."""
     ids = ["config", *by]
-    tag = F.concat_ws("#", "visit_id", *[F.col(c).cast("string") for c in ids])
-    cells = hybrid.withColumns({"whole_visit": F.col("visit_id"), "visit_id": tag}).persist()
-    names = cells.select(*KEY, "whole_visit", *ids).distinct()
-    frames = cells.groupBy(*D.BY, "t_idx", "t").agg(F.first("truth").alias("y"), (F.avg(F.col("m").cast("int")) >= support).alias("held")).persist()
-    truth, fair = frames.drop("held"), None
-    found, known = [], []
+    tag = F.to_json(F.struct("visit_id", *ids))  # a visit of its own for each configuration and level, whatever is NULL
+    cells = written(hybrid.withColumns({"whole_visit": F.col("visit_id"), "visit_id": tag}), "hybrid")
+    names = cells.select(*D.BY, "whole_visit", *ids).distinct()
+    raw = F.median(F.when(F.col("m"), F.col("x"))).alias("y")
+    frames = cells.groupBy(*D.BY, "t_idx", "t").agg(F.first("truth").alias("truth"), (F.avg(F.col("m").cast("int")) >= support).alias("held"), raw)
+    frames = written(frames, "frames")
+    traces = frames.select(*D.BY, "t_idx", "t", "y")
+    smoothed = {"sms": D.sms, "sms_avg": D.sms_average}
+    found = []
     for name in methods:
-        how, averaged = METHODS[name]
-        options = {} if how != "rpca" else {f: getattr(c, f) for c in [replace(config, gamma=0.0) if name == "rpca_gamma0" else config] for f in c.__dataclass_fields__}
-        found.append(preprocess(cells.drop("whole_visit", "truth", *ids), protocol, how, **options).withColumn("method", F.lit(name)))
-        if averaged and fair is None:
-            fair = average_truth(truth, protocol)
-        known.append((fair if averaged else truth).select(*D.BY, "t_idx", "t", "y").withColumn("method", F.lit(name)))
-    found, known = reduce(DataFrame.unionByName, found).persist(), reduce(DataFrame.unionByName, known).persist()
-    corrupt = preprocess(cells.drop("whole_visit", "truth", *ids), protocol, "raw").select(*KEY, "t_idx", F.col("y").alias("corrupt"))
+        how, _ = METHODS[name]
+        if how in smoothed:
+            part = smoothed[how](traces, protocol).withColumn("method", F.lit(name))
+        else:
+            knobs = replace(config, gamma=0.0) if name == "rpca_gamma0" else config
+            options = {f: getattr(knobs, f) for f in knobs.__dataclass_fields__} if how == "rpca" else {}
+            part = preprocess(cells.drop("whole_visit", "truth", *ids), protocol, how, **options).where("error is null").withColumn("method", F.lit(name))
+        found.append(part.select(*D.BY, "t_idx", "t", "y", "method"))
+    found = written(reduce(DataFrame.unionByName, found), "found")
+    fair = [m for m in methods if METHODS[m][1]]
+    truth = frames.select(*D.BY, "t_idx", "t", F.col("truth").alias("y"))
+    kinds, known = F.when(F.col("method").isin(*fair), "fair").otherwise("own") if fair else F.lit("own"), truth.withColumn("method", F.lit("own"))
+    sides = S.percent_of_window(frames, protocol.reference(), D.BY).withColumnRenamed("y", "corrupt").where("held").drop("t")
+    if fair:
+        averaged = written(average_truth(truth, protocol).select(*D.BY, "t_idx", "t", "y"), "fair")
+        known = known.unionByName(averaged.withColumn("method", F.lit("fair")))
+        sides = sides.join(averaged.select(*KEY, "t_idx", F.col("y").alias("fair")), [*KEY, "t_idx"], "left")
     keys = [*KEY, "method"]
-    pairs = known.withColumnRenamed("y", "truth").join(found.select(*keys, "t_idx", F.col("y").alias("found")), [*keys, "t_idx"], "left")
-    pairs = pairs.join(frames.select(*KEY, "t_idx", "held"), [*KEY, "t_idx"]).join(corrupt, [*KEY, "t_idx"], "left")
-    out = M.fidelity(pairs.where("held"), keys, support=0.0).drop("support")
-    bias = M.bias_of_methods(known, found, protocol)
+    pairs = found.select(*keys, "t_idx", "t", F.col("y").alias("found")).join(sides.drop("vessel_type"), [*KEY, "t_idx"])
+    pairs = pairs.withColumn("truth", F.when(kinds == "fair", F.col("fair")).otherwise(F.col("truth")) if fair else F.col("truth"))
+    cycles = {f"sdr_c{c.index}": protocol.in_cycle(F.col("t"), c.index) for c in protocol.cycles}
+    out = M.fidelity(pairs, keys, support=0.0, within=cycles).drop("support")
+    bias = M.bias_of_kinds(known, found, protocol, kinds)
     wide = bias.withColumn("name", F.concat_ws("_", F.lit("bias"), "biomarker", F.concat(F.lit("c"), "cycle_index")))
     columns = [f"bias_{n}_c{c.index}" for c in protocol.cycles for n in M.BIASES]
-    wide = wide.groupBy(*keys).pivot("name", columns).agg(F.first("bias"))
-    rows = names.join(out, KEY).join(M.plateau_instability(bias, keys), keys, "left").join(wide, keys, "left")
-    return rows.withColumn("visit_id", F.col("whole_visit")).drop("whole_visit")
+    still = (F.col("biomarker") == "tMAD") & F.col("bias").isNotNull()
+    moved = F.avg(F.when(still, (F.abs("bias") > 0.5).cast("int"))).alias("instability")
+    wide = wide.groupBy(*keys).agg(moved, *[F.first(F.when(F.col("name") == n, F.col("bias")), ignorenulls=True).alias(n) for n in columns])
+    rows = names.withColumn("method", F.explode(F.array(*map(F.lit, methods)))).join(out, keys, "left").join(wide, keys, "left")
+    return rows.withColumn("visit_id", F.col("whole_visit")).drop("whole_visit", "vessel_type")
 
 
 def numbered(df: DataFrame, by: list[str], name: str, parts: int = 64) -> tuple[DataFrame, int]:
@@ -146,7 +162,7 @@ def grid_search(hybrid: DataFrame, protocol: Protocol, lams: tuple[float, ...],
     segment's matrix with each pair of them is a group of its own."""
     pairs = F.array(*[F.struct(F.lit(float(x)).alias("lam"), F.lit(float(y)).alias("gamma")) for x in lams for y in gammas])
     tagged = hybrid.withColumn("g", F.explode(pairs)).select("*", "g.lam", "g.gamma").drop("g")
-    tagged = tagged.withColumn("visit_id", F.concat_ws("#", "visit_id", "config", "lam", "gamma"))
+    tagged = written(tagged.withColumn("visit_id", F.to_json(F.struct("visit_id", "config", "lam", "gamma"))), "grid")
     truth = tagged.groupBy(*KEY, "t_idx").agg(F.first("lam").alias("lam"), F.first("gamma").alias("gamma"), F.first("truth").alias("truth"), (F.avg(F.col("m").cast("int")) >= support).alias("held"))
     found = N.rpca_trace(tagged.drop("truth", "config"), protocol, config).select(*KEY, "t_idx", F.col("y").alias("found"))
     each = truth.where("held").join(found, [*KEY, "t_idx"], "left").groupBy(*KEY, "lam", "gamma").agg(M.sdr(F.col("truth"), F.col("found"), least=10).alias("sdr"))

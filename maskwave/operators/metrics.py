@@ -26,11 +26,13 @@ def nmse(truth: Column, found: Column, least: int = 2) -> Column:
     return F.when((F.count_if(both) >= least) & (signal > 0), error / signal)
 
 
-def fidelity(pairs: DataFrame, by: list[str], support: float = 0.75) -> DataFrame:
-    """SDR, NMSE and gain over the corrupted trace from columns truth, corrupt and found; NULL where under ``support`` of the rows have a pair."""
-    out = pairs.groupBy(*by).agg(sdr(F.col("truth"), F.col("found")).alias("sdr"), nmse(F.col("truth"), F.col("found")).alias("nmse"), sdr(F.col("truth"), F.col("corrupt")).alias("sdr_in"), F.avg((F.col("truth").isNotNull() & F.col("found").isNotNull()).cast("int")).alias("support"))
+def fidelity(pairs: DataFrame, by: list[str], support: float = 0.75, within: dict[str, Column] | None = None) -> DataFrame:
+    """SDR, NMSE and gain over the corrupted trace from columns truth, corrupt and found; NULL where under ``support`` of the rows have a pair.
+    ``within``: further SDRs by name, each over the rows where its condition holds."""
+    parts = [sdr(F.when(on, F.col("truth")), F.col("found")).alias(n) for n, on in (within or {}).items()]
+    out = pairs.groupBy(*by).agg(*parts, sdr(F.col("truth"), F.col("found")).alias("sdr"), nmse(F.col("truth"), F.col("found")).alias("nmse"), sdr(F.col("truth"), F.col("corrupt")).alias("sdr_in"), F.avg((F.col("truth").isNotNull() & F.col("found").isNotNull()).cast("int")).alias("support"))
     gate = F.col("support") >= support
-    out = out.withColumns({"sdr": F.when(gate, F.col("sdr")), "nmse": F.when(gate, F.col("nmse"))})
+    out = out.withColumns({n: F.when(gate, F.col(n)) for n in ("sdr", "nmse", *(within or {}))})
     return out.withColumn("delta_sdr", F.col("sdr") - F.col("sdr_in")).drop("sdr_in")
 
 
@@ -48,6 +50,14 @@ def bias_of_methods(truth: DataFrame, found: DataFrame, protocol: Protocol) -> D
     return _bias(truth, found, protocol, TRACE)
 
 
+def bias_of_kinds(truths: DataFrame, found: DataFrame, protocol: Protocol, kind: Column) -> DataFrame:
+    """The same against one of several truths, named by their ``method``; ``kind`` says which one a row of ``found`` is compared with."""
+    ids = [k for k in TRACE if k != "method"]
+    a = biomarkers(truths, protocol).select(*ids, "cycle_index", F.col("method").alias("kind"), *[F.col(c).alias(f"t_{n}") for n, c in BIASES.items()])
+    b = biomarkers(found, protocol).withColumn("kind", kind).select(*TRACE, "cycle_index", "kind", *[F.col(c).alias(f"f_{n}") for n, c in BIASES.items()])
+    return _long(b.join(a, [*ids, "cycle_index", "kind"]).drop("kind"))
+
+
 def timing_bias(bias_: DataFrame, by: list[str], biomarker: str = "tMAD") -> DataFrame:
     """Median of a time's bias over cycles."""
     return bias_.where(F.col("biomarker") == biomarker).groupBy(*by).agg(F.median("bias").alias("timing_bias"), F.count("bias").alias("n"))
@@ -57,7 +67,11 @@ def _bias(truth: DataFrame, found: DataFrame, protocol: Protocol, ids: list[str]
     names = BIASES
     a = biomarkers(truth, protocol).select(*ids, "cycle_index", *[F.col(c).alias(f"t_{n}") for n, c in names.items()])
     b = biomarkers(found, protocol).select(*TRACE, "cycle_index", *[F.col(c).alias(f"f_{n}") for n, c in names.items()])
-    wide = b.join(a, [*ids, "cycle_index"])
+    return _long(b.join(a, [*ids, "cycle_index"]))
+
+
+def _long(wide: DataFrame) -> DataFrame:
+    names = BIASES
     long = wide.select(*TRACE, "cycle_index", F.explode(F.array(*[F.struct(F.lit(n).alias("biomarker"), (F.col(f"f_{n}") - F.col(f"t_{n}")).alias("bias")) for n in names])).alias("b")).select(*TRACE, "cycle_index", "b.*")
     return long.where(~F.col("biomarker").isin("MC", "DA") | F.lower("vessel_type").startswith("a"))
 

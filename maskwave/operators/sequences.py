@@ -136,11 +136,9 @@ def resample(df: DataFrame, grid: DataFrame, by: list[str], value: str = "y") ->
 
 def stack_cycles(df: DataFrame, protocol: Protocol, by: list[str]) -> DataFrame:
     """Rows inside cycles (baseline start, or 30 s before flicker, to recovery end) with cycle_index and offset in samples."""
-    out = None
-    for c in protocol.cycles:
-        start = c.baseline.start if c.baseline else c.flicker.start - 30
-        part = df.where((F.col("t") >= start) & (F.col("t") < c.recovery.end)).withColumn("cycle_index", F.lit(c.index))
-        out = part if out is None else out.unionByName(part)
+    spans = [(c.index, c.baseline.start if c.baseline else c.flicker.start - 30, c.recovery.end) for c in protocol.cycles]
+    inside = F.array(*[F.when((F.col("t") >= a) & (F.col("t") < b), F.lit(k)) for k, a, b in spans])
+    out = df.withColumn("cycle_index", F.explode(F.filter(inside, lambda k: k.isNotNull())))
     return out.withColumn("offset", F.row_number().over(W.partitionBy(*by, "cycle_index").orderBy("t_idx")) - 1)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.protocol import Cycle, Protocol, standard
 from ..operators.aggregates import aggregate_loci
 from ..sources.cells import CELLS_SQL, from_events
+from ..sources.shared import plain_unions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,6 +33,8 @@ def query(name: str, sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, in a session in which unions don't pass their inputs' partitioning on (``shared.plain_unions``)."""
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -41,7 +41,7 @@ def hybrid_evaluation(spark, sf_dir):
 def _swept(spark, sf_dir, knob, levels, methods):
     hybrid = H.build(cells(spark, sf_dir), P, 2, sweep=(knob, levels))
     out = E.evaluate(hybrid, P, methods, support=0.6, config=_SMALL, by=("level",))
-    return out.groupBy("level", "method").agg(F.median("sdr").alias("median_sdr"), F.avg("sdr").alias("mean_sdr"), F.median("delta_sdr").alias("median_delta"), F.count("sdr").alias("n"))
+    return out.groupBy("level", "method").agg(F.median("sdr").alias("median_sdr"), F.avg("sdr").alias("mean_sdr"), F.median("delta_sdr").alias("median_delta"), F.median("sdr_c2").alias("median_sdr_c2"), F.count("sdr").alias("n"))
 
 
 @query("drift_sweep")

@@ -312,3 +312,34 @@ def batch_windowed_missing(spark, sf_dir):
     e = load(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 4).cast("string").alias("segment"), "value")
     out = G.windowed_missing(e)
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+_GATED = f"SELECT {IDS}, t_idx // 40 AS part, truth, corrupt, found, (truth IS NOT NULL AND found IS NOT NULL)::INT AS there FROM p"
+
+
+@query("fidelity_gated", _PAIR + f""", g AS ({_GATED}), a AS (SELECT {IDS}, part, avg(there) >= 0.75 AS enough, {_db('truth', 'found')} AS sdr, CASE WHEN count(*) FILTER (there = 1) >= 2 AND sum(truth * truth) FILTER (there = 1) > 0 THEN sum((truth - found) ** 2) FILTER (there = 1) / sum(truth * truth) FILTER (there = 1) END AS nmse, {_db('truth', 'corrupt')} AS sdr_in, avg(there) AS support FROM g GROUP BY ALL)
+SELECT {IDS}, part, round(CASE WHEN enough THEN sdr END, 6) AS sdr, round(CASE WHEN enough THEN nmse END, 6) AS nmse, round(CASE WHEN enough THEN sdr - sdr_in END, 6) AS delta_sdr, round(support, 6) AS support FROM a""")
+def fidelity_gated(spark, sf_dir):
+    """Distances over stretches of 40 frames, only where three quarters of a stretch have a pair."""
+    pairs = _pairs(spark, sf_dir).withColumn("part", F.floor(F.col("t_idx") / 40))
+    return rounded(M.fidelity(pairs, [*SEG, "part"], support=0.75), "sdr", "nmse", "delta_sdr", "support")
+
+
+@query("paired_cluster_medians", f"""WITH w AS (SELECT l_linenumber, l_suppkey, l_quantity, avg(l_discount) FILTER (l_returnflag = 'A') - avg(l_discount) FILTER (l_returnflag = 'R') AS d FROM {_LINES} GROUP BY ALL)
+SELECT l_linenumber, l_suppkey, round(median(d), 9) + 0.0::DOUBLE AS d, count(*) AS n FROM w WHERE d IS NOT NULL GROUP BY ALL""")
+def paired_cluster_medians(spark, sf_dir):
+    """What the cluster statistics start from: each cluster's median difference of two methods, by group."""
+    wide = load(spark, sf_dir, _LINES).groupBy("l_linenumber", "l_suppkey", "l_quantity").pivot("l_returnflag", ["A", "R"]).agg(F.avg("l_discount"))
+    return rounded(M.paired(wide, ["l_linenumber"], "l_suppkey", "A", "R"), "d", digits=9).withColumn("d", F.col("d") + 0.0)
+
+
+@query("hybrid_simple_residuals", CELLS_SQL + f""", h AS (SELECT {IDS}, locus, x, row_number() OVER (PARTITION BY {IDS}, locus ORDER BY t_idx) - 1 AS k, count(*) OVER (PARTITION BY {IDS}, locus) AS n, median(x) OVER (PARTITION BY {IDS}, locus) AS rest FROM cells WHERE t < 20)
+SELECT c.subject_id, c.visit_id, c.segment_label, c.t_idx, c.locus, c.m AND h.rest IS NOT NULL AS m, round(CASE WHEN c.m THEN coalesce(h.x - h.rest, CASE WHEN h.rest IS NOT NULL THEN 0 END) END, 6) AS residual
+FROM cells c JOIN h ON h.subject_id = c.subject_id AND h.visit_id = c.visit_id AND h.segment_label = c.segment_label AND h.locus = c.locus AND h.k = c.t_idx % h.n""")
+def hybrid_simple_residuals(spark, sf_dir):
+    """What a simple hybrid has beside its response: the baseline's residual, repeated, on the recording's own mask."""
+    c = cells(spark, sf_dir)
+    rest = A.baseline_per_locus(c, P.reference())
+    both = H.build_simple(c, P).join(rest, [*KEY, "locus"], "left")
+    residual = F.col("x") - F.col("base") * (1 + F.col("truth") / 100)
+    return rounded(both.select(*SEG, "t_idx", "locus", "m", residual.alias("residual")), "residual")
