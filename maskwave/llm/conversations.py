@@ -77,22 +77,30 @@ def prepared(df: DataFrame) -> DataFrame:
 
 
 def faults(rows: DataFrame) -> DataFrame:
-    """Adds fault (blank, duplicate, truncated or null: the first that holds), initial and sign, the letter of the signature, to ``prepared``
-    rows from a written table. A row is a duplicate if one before it in its conversation has its role and text; the first place of each is
-    an aggregate, so a text repeated without end is no task's burden."""
+    """conv, turn, role, tie, id, initial, fault (blank, duplicate, truncated or null: the first that holds) and sign, the letter of the signature,
+    of ``prepared`` rows from a written table. A row is a duplicate if one before it in its conversation has its role and text; the first
+    place of each is an aggregate, so a text repeated without end is no task's burden.
+
+    Texts stay where they are: a digest stands for them. Only where rows of one turn and role have different texts, ``tie`` holds the text,
+    which then orders them; elsewhere it is empty."""
     bare = F.rtrim(F.col("text"), F.lit(BLANKS))
     blank, open_ = bare == "", ~F.substring(bare, -1, 1).isin(".", "!", "?")
-    marked = rows.withColumns({"blank": blank, "open": open_, "said": F.md5(F.concat_ws("\x00", "role", "text").cast("binary"))})
+    said = F.md5(F.concat_ws("\x00", "role", "text").cast("binary"))
+    marked = written(rows.select("conv", "turn", "role", "id", blank.alias("blank"), open_.alias("open"), said.alias("said")), "marked")
     place = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"), F.col("id").alias("id"))
     first = marked.where(~F.col("blank")).groupBy("conv", "said").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select(F.col("conv").alias("f_conv"), F.col("said").alias("f_said"), F.col("first.id").alias("f_id"))
     told = marked.join(first, F.col("conv").eqNullSafe(F.col("f_conv")) & (F.col("said") == F.col("f_said")), "left")
+    ties = marked.groupBy("conv", "turn", "role").agg(F.min("said").alias("a"), F.max("said").alias("b")).where("a <> b")
+    ties = ties.select(F.col("conv").alias("t_conv"), F.col("turn").alias("t_turn"), F.col("role").alias("t_role"))
+    tied = rows.join(ties, F.col("conv").eqNullSafe(F.col("t_conv")) & F.col("turn").eqNullSafe(F.col("t_turn")) & (F.col("role") == F.col("t_role")))
+    told = told.join(tied.select("id", F.col("text").alias("tie")), "id", "left")
     again = ~F.col("blank") & F.col("f_id").isNotNull() & (F.col("f_id") != F.col("id"))
     fault = F.when(F.col("blank"), "blank").when(again, "duplicate").when(F.col("open"), "truncated")
     initial = F.substring("role", 1, 1)
     role = F.when(initial.isin("s", "u", "a"), initial).otherwise("o")
     sign = F.when(fault.isin("blank", "duplicate"), "d").when(fault == "truncated", F.upper(role)).otherwise(role)
-    return told.select("conv", "turn", "role", "text", "id", initial.alias("initial"), fault.alias("fault"), sign.alias("sign"))
+    return told.select("conv", "turn", "role", F.coalesce("tie", F.lit("")).alias("tie"), "id", initial.alias("initial"), fault.alias("fault"), sign.alias("sign"))
 
 
 def _segments(kind: pa.DataType):
@@ -137,7 +145,7 @@ def segments(marked: DataFrame) -> DataFrame:
 
     Rows are sorted by ranges of all of these, so a conversation of any size is spread over as many tasks as its rows need."""
     kind = to_arrow_type(marked.schema["conv"].dataType)
-    order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text", "id"]
+    order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "tie", "id"]
     ranged = marked.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "id", "sign", "initial")
     conv = dict(marked.dtypes)["conv"]
     return ranged.mapInArrow(_segments(kind), f"conv {conv}, part long, seq long, ids array<long>, signature string, first string, last string, illegal long")
