@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import comparisons as C
+from ..operators import denoise as N
 from ..operators import plotdata as D
+from ..operators import quality as V
 from ..operators import sequences as S
+from ..sources.cells import CELLS_SQL, is_artery, is_vein
 from .registry import IDS, SEG, TRACES_SQL, P, cells, load, query, rounded, traces
 
 _PIXELS = 40
@@ -99,3 +102,36 @@ def study_comparisons(spark, sf_dir):
 def amplitude_summary(spark, sf_dir):
     """Signed and absolute biases of amplitudes by vessel, condition and method."""
     return rounded(C.amplitude_summary(_study(spark, sf_dir)), "mean", "sd", digits=9)
+
+
+# What SQL can say of results that it cannot compute.
+
+
+@query("rpca_invariants", CELLS_SQL + f" SELECT {IDS}, count(*) AS n, count(x) AS n_observed, 0 AS off_mask, 0 AS missing, TRUE AS within, CAST(NULL AS VARCHAR) AS error FROM cells GROUP BY ALL")
+def rpca_invariants(spark, sf_dir):
+    """Every cell is decomposed, nothing is sparse where nothing was observed, and no run takes more iterations than it may."""
+    parts = N.decompose(cells(spark, sf_dir), P, N.RpcaConfig(support_frac=0.6))
+    sums = [F.count("*").alias("n"), F.count("x").alias("n_observed"), F.count_if(~F.col("m") & (F.col("a") != 0)).cast("int").alias("off_mask"), F.count_if(F.col("s").isNull() | F.isnan("s")).cast("int").alias("missing")]
+    return parts.groupBy(*SEG).agg(*sums, (F.max("iterations") <= 70).alias("within"), F.max("error").alias("error"))
+
+
+@query("effective_rank_bounds", "SELECT label, CAST(len(any_value(embedding)) AS INTEGER) AS n_loci, CAST(count(*) AS INTEGER) AS n_samples, TRUE AS shares FROM embeddings GROUP BY ALL")
+def effective_rank_bounds(spark, sf_dir):
+    """Sizes of every group's matrix, and shares of its two first components that are in order and no more than the whole."""
+    rows = load(spark, sf_dir, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("k", "v"))
+    out = N.effective_rank(rows, ["label"], "vec_id", "k", "v")
+    return out.select("label", F.col("n_loci").cast("int").alias("n_loci"), F.col("n_samples").cast("int").alias("n_samples"), ((F.col("pc1") >= F.col("pc2")) & (F.col("pc2") >= 0) & (F.col("pc1") + F.col("pc2") <= 1 + 1e-9)).alias("shares"))
+
+
+@query("vessel_predicates", CELLS_SQL + f" SELECT DISTINCT {IDS}, lower(vessel_type) LIKE 'a%' OR upper(segment_label) LIKE 'A%' AS artery, lower(vessel_type) LIKE 'v%' OR upper(segment_label) LIKE 'V%' AS vein FROM cells")
+def vessel_predicates(spark, sf_dir):
+    kind, label = F.col("vessel_type"), F.col("segment_label")
+    return cells(spark, sf_dir).select(*SEG, is_artery(kind, label).alias("artery"), is_vein(kind, label).alias("vein")).distinct()
+
+
+@query("quality_flat", CELLS_SQL + f" SELECT {IDS}, count(DISTINCT locus) AS n_loci, 'night' AS run_name, 'raw' AS stage, 'dataset' AS scope, TRUE AS nested_is_text FROM cells GROUP BY ALL")
+def quality_flat(spark, sf_dir):
+    """The quality report as one flat row a segment, for files without nested values."""
+    out = V.flat(V.report(cells(spark, sf_dir), P, V.Thresholds(min_loci=3)), "night")
+    text = dict(out.dtypes)["gaps"] == "string"
+    return out.select(*SEG, "n_loci", "run_name", "stage", "scope", F.lit(text).alias("nested_is_text"))

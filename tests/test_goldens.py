@@ -101,3 +101,14 @@ def test_a_golden_of_rows_in_any_order(spark, tmp_path):
     df = spark.range(1000).select("id", (F.col("id") / 7).alias("v"))
     G.write(df.orderBy(F.desc("id")), f"{tmp_path}/o")
     G.check(spark, df.repartition(9), f"{tmp_path}/o", ["id"])
+
+
+def test_a_notch_takes_the_heartbeat_away(spark):
+    fs, t = 25.0, np.arange(1500)
+    slow, beat = np.sin(2 * np.pi * 0.05 * t / fs), np.sin(2 * np.pi * 1.2 * t / fs)
+    rows = [("1", "0", "A1", int(k), float(slow[k] + beat[k])) for k in t] + [("2", "0", "A1", int(k), None if k == 7 else float(beat[k])) for k in t]
+    out = N.notched_average(spark.createDataFrame(rows, "subject_id string, visit_id string, segment_label string, t_idx int, y double"), fs).toPandas().sort_values("t_idx")
+    got = out[out["subject_id"] == "1"]["y"].to_numpy()
+    assert np.abs(got - slow)[200:-200].max() < 0.15
+    kept = out[out["subject_id"] == "2"]["y"].to_numpy()
+    assert np.isnan(kept[7]) and np.allclose(np.delete(kept, 7), np.delete(beat, 7))

@@ -104,3 +104,10 @@ def test_wilcoxon_exact_is_the_enumeration(sizes, data):
     low = min(ranks[d > 0].sum(), ranks[d < 0].sum())
     hits = sum(sum(r for k, r in enumerate(ranks) if bits >> k & 1) <= low for bits in range(1 << len(d)))
     assert np.isclose(K.wilcoxon(d.astype(float)), min(1, 2 * hits / 2 ** len(d)))
+
+
+def test_tapers_fall_to_zero_at_both_ends():
+    y = np.ones(200)
+    t = K.edge_taper(y, 0.1)
+    assert t[0] == 0 and t[-1] == 0 and (t[20:-20] == 1).all() and np.allclose(t, t[::-1]) and (np.diff(t[:20]) > 0).all() and (y == 1).all()
+    assert K.edge_taper(np.ones(3)).tolist() == [0.0, 1.0, 0.0]
