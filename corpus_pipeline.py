@@ -17,7 +17,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents with a toxicity of 0.5 or more; the lexicon is learned from the labelled rows outside the held-out fold."""
+    """Rejects documents with a toxicity of 0.5 or more; the lexicon is learned from the labelled rows outside the held-out fold.
+
+    Null and empty texts have no toxic word and stay, as do rows without an id; equal rows are judged alike; an empty table stays empty."""
     text_batches(spark)
     known = toxicity.labelled(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     scored = toxicity.toxicity(docs.select(*COLUMNS), toxicity.learn_lexicon(known))
@@ -27,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest id of each group of near copies: texts that share 80 % of their five-word shingles, compared whole.
 
-    A row goes only for its own text's group; rows without an id come last in it."""
+    A row goes only for its own text's group; rows without an id come last in it. Null and blank texts count as equal texts, of which the
+    smallest id stays. Of rows that are equal in id and text one stays; an empty table stays empty."""
     keyed = docs.select(*COLUMNS).withColumns({"key": doc_key(F.col("doc_id")), "t": near_copies.text_key(F.col("text"))})
     rows = keyed.groupBy("key", "t").agg(F.count("*").alias("n"))
     groups = near_copies.near_copies(docs.select("text"))
@@ -41,14 +44,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose own text holds a benchmark item, whatever other rows of their id hold."""
+    """Drops documents whose own text holds a benchmark item, whatever other rows of their id hold.
+
+    Null and empty texts hold none and stay; equal rows go or stay together; without items, or without documents, nothing goes."""
     keyed = docs.select(*COLUMNS).withColumn("key", near_copies.text_key(F.col("text")))
     leaked = decontaminate.held(keyed.select("key", "text"), table(spark, sf_dir, "benchmark")).select("key").distinct()
     return keyed.join(leaked, "key", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by its kind; n_chars follows the new text."""
+    """Replaces every secret by its kind; n_chars follows the new text. Null texts stay null, with null n_chars; no row goes."""
     out = secrets.redact(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
@@ -56,7 +61,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy that is taken, numbered by copy, with the document's columns and its source's target.
 
-    A document is an id and a text: rows without an id, or of one id, are rounded and joined each by its own text."""
+    A document is an id and a text: rows without an id, or of one id, are rounded and joined each by its own text. Null and empty texts have size
+    0 and are not taken; a null source is a source; an empty table gives an empty mix."""
     own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), near_copies.text_key(F.col("text")))
     keyed = docs.select(*COLUMNS).withColumn("key", own)
     units = mixing.mix(keyed.select(F.col("key").alias("doc_id"), "source", "text"))
