@@ -146,6 +146,7 @@ def held(docs: DataFrame, items: DataFrame, contained: float = CONTAINED, keys:
 
 
 def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``leaks`` of all documents and all benchmark items."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -395,5 +395,6 @@ def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``main_text`` of all pages."""
     out = main_text(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -353,6 +353,7 @@ def identify(df: DataFrame, model: tuple, text: str = "text", out: str = "langua
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fit`` on the rows outside the held-out fold, ``identify`` on all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
     out = identify(docs.select("doc_id", "text"), model)

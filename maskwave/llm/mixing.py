@@ -144,4 +144,5 @@ def mix(df: DataFrame, seed: int = 7, leaf: int = LEAF, weights=WEIGHTS, share:
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of all documents."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")

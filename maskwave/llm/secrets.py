@@ -94,6 +94,7 @@ BASE = ("assign", "access", "hex")
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scan`` of all documents, spans joined as the contract says."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), out="s").select("doc_id", "s")
     base = F.filter("s", lambda x: x["kind"].isin(*BASE))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

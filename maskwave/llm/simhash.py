@@ -191,5 +191,6 @@ def near_duplicates(df: DataFrame, distance: int = DISTANCE, bucket: int = BUCKE
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents, fingerprints as hex digits."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

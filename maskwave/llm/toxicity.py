@@ -225,6 +225,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon of the rows outside the held-out fold, and the score of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = learn_lexicon(labelled(docs, table(spark, sf_dir, "labels")))
     out = toxicity(docs, lexicon)

@@ -80,6 +80,7 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge`` of all pages by the contract's rules."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
