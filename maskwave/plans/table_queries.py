@@ -233,10 +233,8 @@ def reader_cells(spark, sf_dir):
     """Files built from orders, one a customer, with a header, decimal commas and tabs, and read back by the reader."""
     o = load(spark, sf_dir, "orders")
     line = F.concat_ws("\t", F.replace(F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(",")), (F.col("o_totalprice").cast("decimal(12,2)") + F.lit(1)).cast("string"))
-    rows = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))).alias("ls"))
-    content = F.concat(F.lit("Diameters complete\nname\n\nPosition -> position\n"), F.array_join(F.transform("ls", lambda s: s["l"]), "\n"))
-    files = rows.select(F.concat(F.lit("/data/S"), "o_custkey", F.lit("_0_A1.txt")).alias("path"), content.alias("content"))
-    return R.parse(files, P.__class__("p", 25.0)).drop("dropped")
+    path = F.concat(F.lit("/data/S"), "o_custkey", F.lit("_0_A1.txt"))
+    return R.parse(R.built(o, path, "o_orderkey", line, "Diameters complete\nname\n\nPosition -> position"), P.__class__("p", 25.0)).drop("dropped")
 
 
 # Kernels and hybrids: tested by properties, brute force and closed forms.
