@@ -43,6 +43,5 @@ def export_line_branches(spark, sf_dir):
     a, b, kind = F.col("price").cast("string"), (F.col("price") + 1).cast("string"), F.col("o_orderkey") % 5
     line = F.when(kind == 0, F.replace(F.concat(a, F.lit("\t"), b), F.lit("."), F.lit(","))).when(kind == 1, F.concat(a, F.lit("  "), b))
     line = line.when(kind == 2, F.concat(F.lit("+"), a, F.lit(";"), b, F.lit(";"))).when(kind == 3, F.concat(a, F.lit("\tn.a."))).otherwise(F.concat(a, F.lit("\t"), b, F.lit("\t-")))
-    rows = o.groupBy("s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda r: r["l"]), "\n").alias("body"))
-    files = rows.select(F.concat(F.lit("/data/S"), "s", F.lit("_0_V3.txt")).alias("path"), F.concat(F.lit("Diameters complete\nname\n\n1 -> position\n"), "body").alias("content"))
-    return R.parse(files, Protocol("p", 25.0)).drop("dropped")
+    path = F.concat(F.lit("/data/S"), "s", F.lit("_0_V3.txt"))
+    return R.parse(R.built(o, path, "o_orderkey", line, "Diameters complete\nname\n\n1 -> position"), Protocol("p", 25.0)).drop("dropped")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from maskwave.functions.protocol import Protocol
 from maskwave.plans.catalog import QUERIES
@@ -42,9 +43,18 @@ def test_a_time_column_and_places_go_on_over_parts(spark, monkeypatch):
     assert [(r["t_idx"], r["locus"], r["x"], r["dropped"]) for r in rows] == [(i, 0, float(k), 1) for i, k in enumerate(k for k in range(20) if k != 7)]
 
 
-@pytest.mark.parametrize("name", ["reader_cells"])
+@pytest.mark.parametrize("name", ["reader_cells", "export_line_branches"])
 def test_no_task_holds_the_rows_of_files(spark, name):
     """Rows and cells are made after the last shuffle; windows ran over all of them before."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     made = plan.index("Generate posexplode")
     assert "Window" not in plan and "Exchange" not in plan[:made]
+
+
+def test_built_files_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(R, "SPAN", 10)
+    rows = spark.range(95).select(F.col("id").alias("o"))
+    files = R.built(rows, F.concat(F.lit("/x/s"), (F.col("o") % 2).cast("string"), F.lit("_0_A1.txt")), "o", F.col("o").cast("string"), "head\n-> position")
+    assert files.count() == 2 * (1 + 10) and files.agg(F.max(F.size(F.split("content", "\n")))).first()[0] == 5
+    got = R.parse(files, P).orderBy("subject_id", "t_idx").select("subject_id", "t_idx", "x").collect()
+    assert [tuple(r) for r in got] == [(f"s{k}", i, float(v)) for k in (0, 1) for i, v in enumerate(range(k, 95, 2))]
